@@ -7,24 +7,97 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import exact_dedup, knn_quality, langid, line_dedup, mixing, quality_rules, simhash
 from .common import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.selection(mixing.leaves(table(spark, sf_dir, "documents")))
+
+
+def op4_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op3_mixing": op3_mixing,
+    "op4_knn_quality": op4_knn_quality,
     "op5_simhash": op5_simhash,
+    "op8_quality_rules": op8_quality_rules,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_langid": op10_langid,
 }
 
+def _level(name: str, key: str, parent: str, given: str, weight: str, source: str) -> str:
+    """One level of the budget tree, as CTEs that end in ``name`` (key..., given)."""
+    part = f"PARTITION BY {parent}" if parent else ""
+    last = key.split(", ")[-1]
+    return f"""
+        {name}_a AS (SELECT {key}, sum(tokens) * {mixing.MAX_EPOCHS} AS room, {weight} AS weight FROM stats GROUP BY {key}),
+        {name}_b AS (SELECT a.*, {given} AS above FROM {name}_a a {source}),
+        {name}_c AS (SELECT *, (above - coalesce(sum(room) OVER ({part} ORDER BY room / weight, {last} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / (sum(weight) OVER ({part}) - coalesce(sum(weight) OVER ({part} ORDER BY room / weight, {last} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM {name}_b),
+        {name} AS (SELECT {key}, CASE WHEN room / weight <= level THEN room::DOUBLE
+            ELSE (max(CASE WHEN room / weight > level THEN level END) OVER ({part})) * weight END AS given FROM {name}_c)"""
+
+
+_LANGUAGE_WEIGHT = "CASE language " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in mixing.WEIGHTS["language"].items()) + " ELSE 1 END"
+_MIXING = f"""
+    WITH narrow AS (
+        SELECT doc_id, CASE WHEN regexp_matches(coalesce(source, ''), '[0-9]$') THEN 'domain' || (right(source, 1)::INT % 4)::VARCHAR ELSE 'other' END AS domain,
+               coalesce(lang, '') AS language, coalesce(source, '') AS source,
+               coalesce(len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')), 0) AS tokens
+        FROM documents),
+    usable AS (SELECT * FROM narrow WHERE tokens > 0),
+    stats AS (SELECT domain, language, source, count(*) AS docs, sum(tokens)::BIGINT AS tokens FROM usable GROUP BY ALL),
+    {_level("l1", "domain", "", f"floor((SELECT sum(tokens) FROM usable) * {mixing.BUDGET_SHARE}::DOUBLE)", "1", "")},
+    {_level("l2", "domain, language", "domain", "l1.given", _LANGUAGE_WEIGHT, "JOIN l1 USING (domain)")},
+    {_level("l3", "domain, language, source", "domain, language", "l2.given", "1", "JOIN l2 USING (domain, language)")},
+    plan AS (SELECT s.*, given, least(floor(given / tokens), {mixing.MAX_EPOCHS})::BIGINT AS epochs FROM stats s JOIN l3 USING (domain, language, source)),
+    placed AS (SELECT u.*, epochs, floor(given)::BIGINT - epochs * p.tokens AS rest,
+                  ('0x' || left(md5('{mixing.SEED}:' || epochs::VARCHAR || ':' || doc_id::VARCHAR), 13))::BIGINT AS place
+           FROM usable u JOIN plan p USING (domain, language, source)),
+    summed AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, language, source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM placed)
+    SELECT doc_id, domain, language, source, tokens, copies
+    FROM (SELECT *, epochs + (rest > 0 AND upto <= rest)::BIGINT AS copies FROM summed) WHERE copies > 0
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": f"""
+        WITH lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents),
+        boiler AS (SELECT line FROM lines WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}),
+        numbered AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+        kept AS (SELECT n.doc_id, count(*) AS n_lines, count(b.line) AS n_removed_lines,
+                        coalesce(string_agg(n.line, chr(10) ORDER BY i) FILTER (b.line IS NULL), '') AS text
+                 FROM numbered n LEFT JOIN boiler b USING (line) GROUP BY n.doc_id)
+        SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed_lines, 0) AS n_removed_lines, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM (SELECT doc_id FROM documents) LEFT JOIN kept USING (doc_id)
+    """,
+    "op3_mixing": _MIXING,
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
