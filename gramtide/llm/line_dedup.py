@@ -18,8 +18,7 @@ MIN_SITES = 10
 LG_K = 10
 #: Estimates within this share of the threshold (six standard errors) are counted exactly.
 MARGIN = 0.2
-#: Rows up to which the hashes of boilerplate lines, or the ids of documents that hold them, are broadcast (16 to
-#: some 100 bytes each); beyond it they are joined by a shuffle.
+#: Hashes of boilerplate lines up to which they are broadcast (16 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
 
@@ -58,7 +57,7 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
     found = boilerplate(docs, site, min_sites)
     found = F.broadcast(found) if small_enough(found, BROADCAST_ROWS) else found
     held = cut(_lines(docs, site).join(found, "h", "left_semi").groupBy(F.col("doc_id").alias("held_by")).agg(F.collect_set("h").alias("gone")))
-    held = F.broadcast(held) if small_enough(held, BROADCAST_ROWS) else held
+    # documents are always shuffled to their lines: this side grows with them, so it is never broadcast
     lines = F.split("text", "\n")
     joined = docs.select(*names).join(held, F.col("doc_id").eqNullSafe(F.col("held_by")), "left")
     stay = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("gone"), _hash(x)))
