@@ -13,3 +13,22 @@ def tfidf(counts: DataFrame, min_df: int, max_df: float) -> DataFrame:
     weight = F.col("n") * (F.log((1 + F.col("size")) / (1 + F.col("df"))) + 1)
     rows = counts.join(df, "gram").select("id", "gram", weight.alias("w"))
     return rows.select("id", "gram", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))).alias("tfidf"))
+
+
+def residuals(series: DataFrame, clip: float | None = 8.0) -> DataFrame:
+    """series(mot, date, x, n_tot) with z, the Poisson residual at the word's mean rate, cut to +-clip."""
+    w = Window.partitionBy("mot")
+    mu = F.sum("x").over(w) / F.sum("n_tot").over(w)
+    z = (F.col("x") - F.col("mu") * F.col("n_tot")) / F.sqrt(F.nullif(F.col("mu") * F.col("n_tot"), F.lit(0.0)))
+    z = z if clip is None else F.greatest(F.lit(-clip), F.least(F.lit(clip), z))
+    return series.withColumn("mu", mu).withColumn("z", z)
+
+
+def pairs(long: DataFrame, value: str) -> DataFrame:
+    """(mot_i, mot_j, r), mot_i < mot_j: Pearson correlation of all words over their common days.
+
+    The vocabulary is a chosen one (the result has a row for each pair); partial sums are taken before the shuffle.
+    """
+    a = long.select(F.col("mot").alias("mot_i"), "date", F.col(value).cast("double").alias("a"))
+    b = long.select(F.col("mot").alias("mot_j"), "date", F.col(value).cast("double").alias("b"))
+    return a.join(b, "date").where("mot_i < mot_j").groupBy("mot_i", "mot_j").agg(F.corr("a", "b").alias("r"))

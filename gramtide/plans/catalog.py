@@ -1,6 +1,6 @@
 """All queries."""
 
-from . import text_queries  # noqa: F401
+from . import monitor_queries, series_queries, text_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
