@@ -18,7 +18,7 @@ def articles_csv(spark: SparkSession, path: str, columns: tuple[str, ...] = ("da
     """
     schema = ARTICLE + (", _corrupt_record string" if rejects else "")
     reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE" if rejects else "DROPMALFORMED")
-    df = reader.option("columnNameOfCorruptRecord", "_corrupt_record").csv(path) if rejects else reader.csv(path)
+    df = reader.option("columnNameOfCorruptRecord", "_corrupt_record").option("columnPruning", False).csv(path) if rejects else reader.csv(path)
     return df if rejects else df.select(*columns)
 
 
