@@ -44,13 +44,13 @@ def upper_tail(k, mean, r: float | None = None, terms: int = 100_000) -> np.ndar
     sum close to one.
     """
     k, mean = np.broadcast_arrays(np.asarray(k, np.float64), np.asarray(mean, np.float64))
+    shape, k, mean = k.shape, np.atleast_1d(k), np.atleast_1d(mean)
     out = np.ones(k.shape)
     logp = (lambda x, m: poisson_logpmf(x, m)) if r is None else (lambda x, m: nb_logpmf(x, m, r))
     high = (k > mean) & (k > 0)
     if high.any():
         x, m = k[high].copy(), mean[high]
-        term, total = np.exp(np.maximum(logp(x, m), -745.0)), 0.0
-        first = term.copy()
+        term = np.exp(logp(x, m))
         total = term.copy()
         for _ in range(terms):
             term = term * (m / (x + 1) if r is None else (x + r) / (x + 1) * m / (r + m))
@@ -58,12 +58,12 @@ def upper_tail(k, mean, r: float | None = None, terms: int = 100_000) -> np.ndar
             x += 1
             if (term <= 1e-17 * total).all():
                 break
-        out[high] = np.where(first > 0, total, 0.0)
+        out[high] = total
     low = ~high & (k > 0)
     for i in zip(*np.nonzero(low), strict=True):
         below = np.arange(int(k[i]))
         out[i] = max(0.0, 1.0 - np.exp(logp(below, mean[i])).sum())
-    return np.minimum(out, 1.0)
+    return np.minimum(out, 1.0).reshape(shape)
 
 
 def gamma_upper(a: float, x: float) -> float:

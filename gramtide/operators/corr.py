@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,3 +34,67 @@ def pairs(long: DataFrame, value: str) -> DataFrame:
     a = long.select(F.col("mot").alias("mot_i"), "date", F.col(value).cast("double").alias("a"))
     b = long.select(F.col("mot").alias("mot_j"), "date", F.col(value).cast("double").alias("b"))
     return a.join(b, "date").where("mot_i < mot_j").groupBy("mot_i", "mot_j").agg(F.corr("a", "b").alias("r"))
+
+
+#: Words of a correlation matrix that one task works on, at most: 8 n^2 bytes.
+MAX_WORDS = 6000
+
+
+def matrix(pairs: pd.DataFrame) -> tuple[list[str], np.ndarray]:
+    """The full matrix of (mot_i, mot_j, r)."""
+    words = sorted(set(pairs["mot_i"]) | set(pairs["mot_j"]))
+    if len(words) > MAX_WORDS:
+        raise ValueError(f"a matrix of {len(words)} words; at most {MAX_WORDS}")
+    at = {w: k for k, w in enumerate(words)}
+    c = np.eye(len(words))
+    i, j = pairs["mot_i"].map(at).to_numpy(), pairs["mot_j"].map(at).to_numpy()
+    c[i, j] = c[j, i] = pairs["r"].to_numpy()
+    return words, c
+
+
+def average_linkage(distance: np.ndarray, cut: float) -> np.ndarray:
+    """Group numbers by average linkage, joined while the mean distance is at most ``cut``."""
+    d = distance.astype(float).copy()
+    np.fill_diagonal(d, np.inf)
+    n, size = len(d), np.ones(len(d))
+    group = np.arange(n)
+    while n > 1:
+        i, j = np.unravel_index(np.argmin(d), d.shape)
+        if d[i, j] > cut:
+            break
+        new = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        d[i], d[:, i] = new, new
+        d[i, i] = np.inf
+        d[j], d[:, j] = np.inf, np.inf
+        size[i] += size[j]
+        group[group == j] = i
+        n -= 1
+    return np.unique(group, return_inverse=True)[1]
+
+
+def fit_noise(values: np.ndarray, q: float, rounds: int = 15) -> tuple[float, float, float]:
+    """(variance, lower edge, upper edge) of the Marchenko-Pastur bulk: eigenvalues over the edge leave, again and again."""
+    bulk = np.sort(values)
+    for _ in range(rounds):
+        s2 = float(bulk.mean()) if len(bulk) else 0.0
+        edge = s2 * (1 + np.sqrt(q)) ** 2
+        inside = bulk[bulk <= edge]
+        if len(inside) == len(bulk):
+            break
+        bulk = inside
+    return s2, s2 * (1 - np.sqrt(q)) ** 2, s2 * (1 + np.sqrt(q)) ** 2
+
+
+def denoised(c: np.ndarray, days: int) -> np.ndarray:
+    """The matrix with its noise eigenvalues replaced by their mean, scaled back to a unit diagonal."""
+    values, vectors = np.linalg.eigh(c)
+    noise = values <= fit_noise(values, len(c) / days)[2]
+    values = np.where(noise, values[noise].mean() if noise.any() else 0.0, values)
+    out = (vectors * values) @ vectors.T
+    scale = np.sqrt(np.maximum(np.diag(out), 1e-12))
+    return out / scale[:, None] / scale[None]
+
+
+def on_matrix(pairs: DataFrame, run, schema: str) -> DataFrame:
+    """Applies a function of (words, matrix) to a bounded correlation matrix, in one task."""
+    return pairs.groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: run(*matrix(pdf)), schema)

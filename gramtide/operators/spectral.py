@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,3 +23,142 @@ def median_distance(df: DataFrame, key: str, vector: str, shift: int) -> DataFra
     v = df.select(F.col(key).alias("i"), F.col(vector).cast("array<double>").alias("a"))
     pairs = v.join(v.select((F.col("i") - shift).alias("i"), F.col("a").alias("b")), "i")
     return pairs.agg(F.percentile(_squared_distance("a", "b"), F.lit(0.5)).alias("median")).withColumn("gamma", 1 / (2 * F.col("median")))
+
+
+# What follows works on one matrix at a time. A matrix of windows has D columns (tens to a hundred): its D x D moments
+# are summed by Spark, and only they reach one task. Kernel matrices are n x n by nature; n is bounded by MAX_KERNEL.
+
+#: Rows of a kernel matrix, at most: 8 n^2 bytes are held in one task.
+MAX_KERNEL = 6000
+
+
+def covariance(df: DataFrame, vector: str, keys: list[str]) -> DataFrame:
+    """(keys..., n, mean, cov): moments of a vector column, summed by tasks before one row for each task is shuffled."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+
+    def part(batches):
+        held: dict[tuple, list] = {}
+        for b in batches:
+            for key, g in b.groupby(keys, dropna=False, sort=False) if keys else [((), b)]:
+                m = np.stack(g[vector].to_numpy()).astype(float)
+                h = held.setdefault(tuple(key), [0, 0.0, 0.0])
+                h[0] += len(m)
+                h[1] = h[1] + m.sum(0)
+                h[2] = h[2] + m.T @ m
+        yield pd.DataFrame([(*k, n, s.tolist(), q.ravel().tolist()) for k, (n, s, q) in held.items()], columns=[*keys, "n", "s", "q"])
+
+    sums = df.select(*keys, vector).mapInPandas(part, f"{fields}{', ' if keys else ''}n long, s array<double>, q array<double>")
+
+    def total(key, g: pd.DataFrame) -> pd.DataFrame:
+        n, s, q = int(g["n"].sum()), sum(np.array(x) for x in g["s"]), sum(np.array(x) for x in g["q"])
+        mean = s / n
+        cov = q.reshape(len(s), len(s)) - n * np.outer(mean, mean)
+        return pd.DataFrame([(*key, n, mean.tolist(), cov.ravel().tolist())], columns=[*keys, "n", "mean", "cov"])
+
+    grouped = sums.groupBy(*keys) if keys else sums.groupBy(F.lit(0).alias("all"))
+    if not keys:
+        inner = total
+        total = lambda key, g: inner((), g)
+    return grouped.applyInPandas(total, f"{fields}{', ' if keys else ''}n long, mean array<double>, cov array<double>")
+
+
+def decomposed(cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(components as rows, shares), largest first; a component's largest entry is positive."""
+    values, vectors = np.linalg.eigh(cov)
+    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1].T
+    signs = np.sign(vectors[np.arange(len(vectors)), np.abs(vectors).argmax(1)])
+    return vectors * np.where(signs == 0, 1, signs)[:, None], values / max(values.sum(), 1e-300)
+
+
+def components(df: DataFrame, vector: str, keys: list[str]) -> DataFrame:
+    """(keys..., rank, share, component, mean): principal components of a vector column."""
+    moments = covariance(df, vector, keys)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                d = len(r.mean)
+                comp, share = decomposed(np.array(r.cov).reshape(d, d))
+                rows += [(*[getattr(r, k) for k in keys], i + 1, float(share[i]), comp[i].tolist(), list(r.mean)) for i in range(d)]
+            yield pd.DataFrame(rows, columns=[*keys, "rank", "share", "component", "mean"])
+
+    return moments.mapInPandas(run, f"{fields}{', ' if keys else ''}rank long, share double, component array<double>, mean array<double>")
+
+
+def _dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def projections(df: DataFrame, vector: str, comps: DataFrame, k: int) -> DataFrame:
+    """df with ``proj``: coordinates of the centred vectors on the first k components (one small row, broadcast)."""
+    few = comps.where(F.col("rank") <= k).groupBy(F.lit(1).alias("one")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "component"))), lambda s: s.component).alias("comps"), F.first("mean").alias("mean")).drop("one")
+    centred = F.zip_with(F.col(vector).cast("array<double>"), F.col("mean"), lambda x, m: x - m)
+    return df.crossJoin(F.broadcast(few)).withColumn("centred", centred).withColumn("proj", F.transform("comps", lambda c: _dot(c, F.col("centred")))).drop("comps", "mean", "centred")
+
+
+def concentration(spectrum: DataFrame, keys: list[str], rank_of: int) -> DataFrame:
+    """spectrum(keys..., rank, share) -> k50, k50 over rank, effective rank, shares of 3, 6, 10 components, gain of 6."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy("rank")
+    cum = spectrum.withColumn("cum", F.sum("share").over(w))
+    upto = lambda k: F.max(F.when(F.col("rank") <= min(k, rank_of), F.col("cum")))
+    out = cum.groupBy(*keys).agg(F.min(F.when(F.col("cum") >= 0.5, F.col("rank"))).alias("k50"), (1 / F.sum(F.col("share") * F.col("share"))).alias("effective_rank"), *[upto(k).alias(f"cum{k}") for k in (3, 6, 10)])
+    return out.withColumn("k50_share", F.col("k50") / rank_of).withColumn("gain6", F.col("cum6") / (min(6, rank_of) / rank_of))
+
+
+def shuffled_columns(df: DataFrame, key: list[str], vector: str, seed: int) -> DataFrame:
+    """Null model: each place of the vectors permuted on its own, by a seeded hash order; keys keep their rows.
+
+    Two orders of the rows are matched for each place: by key and by hash. Ranks are taken inside hash ranges and
+    shifted by the sizes of the ranges before, so no task sorts a whole place.
+    """
+    from pyspark.sql import Window
+
+    long = df.select(*key, F.posexplode(vector).alias("j", "v")).withColumn("by_key", F.xxhash64(*key, F.lit(seed))).withColumn("by_hash", F.xxhash64(*key, "j", F.lit(seed + 1)))
+
+    def ranked(column: str) -> DataFrame:
+        part = F.shiftright(F.col(column), 56)
+        rows = long.withColumn("part", part)
+        sizes = rows.groupBy("j", "part").agg(F.count("*").alias("size"))
+        before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.partitionBy("j").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
+        rank = F.row_number().over(Window.partitionBy("j", "part").orderBy(column, *key))
+        return rows.withColumn("r", rank).join(F.broadcast(before), ["j", "part"]).withColumn("r", F.col("r") + F.col("before"))
+
+    rows, values = ranked("by_key").select(*key, "j", "r"), ranked("by_hash").select("j", "r", "v")
+    back = rows.join(values, ["j", "r"]).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda s: s.v).alias(vector))
+    return back
+
+
+def rotated(df: DataFrame, key: list[str], vector: str, seed: int) -> DataFrame:
+    """Null model: each vector turned by a seeded offset of its own."""
+    from .windows import roll
+
+    return df.withColumn(vector, roll(F.col(vector), F.pmod(F.xxhash64(*key, F.lit(seed)), F.size(vector))))
+
+
+def kernel_spectra(df: DataFrame, vector: str, gammas: list[float], keep: int = 30) -> DataFrame:
+    """(gamma, rank, share, n): spectrum of the doubly centred RBF kernel; shares are of trace(K) - sum(K) / n.
+
+    The kernel of n vectors is one n x n matrix in one task: more than MAX_KERNEL vectors are an error.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = np.stack(pdf["z"].to_numpy()).astype(float)
+        if len(z) > MAX_KERNEL:
+            raise ValueError(f"a kernel of {len(z)} vectors; at most {MAX_KERNEL}")
+        sq = (z**2).sum(1)
+        dist = np.maximum(sq[:, None] + sq[None] - 2 * z @ z.T, 0)
+        out = []
+        for g in gammas:
+            k = np.exp(-g * dist)
+            mean = k.mean(0)
+            total = np.trace(k) - k.sum() / len(k)
+            centred = k - mean[:, None] - mean[None] + k.mean()
+            values = np.linalg.eigvalsh(centred)[::-1]
+            out += [(g, i + 1, float(v / total), len(z)) for i, v in enumerate(values[:keep])]
+        return pd.DataFrame(out, columns=["gamma", "rank", "share", "n"])
+
+    return df.select(F.lit(0).alias("all"), F.col(vector).cast("array<double>").alias("z")).groupBy("all").applyInPandas(run, "gamma double, rank long, share double, n long")
