@@ -22,14 +22,21 @@ from pyspark.sql import functions as F
 from .common import text_slices
 
 SPACE = "▁"
+#: Marks at which a run of letters may end for good, if the vocabulary allows it.
+MARKS = ",.!?;:*#$%&|"
 #: Characters after which the surviving paths are looked at.
 COMMIT_EVERY = 48
-#: Words that a worker remembers, and their greatest length.
+#: Words that a worker remembers, in each of two generations, and their greatest length.
 REMEMBERED, REMEMBERED_LENGTH = 400_000, 40
+#: Signs up to which a word's steps are taken without the window.
+SHORT = 400
 #: Remembered answers on neighbouring pieces.
 PAIRS = 2_000_000
 
 
+_LETTER = re.compile(r"[^\W\d_]")
+
+
 class Pieces:
     """A vocabulary: pieces with their ranks, the bytes of unknown characters."""
 
@@ -41,14 +48,27 @@ class Pieces:
         self.score = {pieces[i]: scores[i] for i in usable}
         self.longest = max((len(pieces[i]) for i in usable), default=1)
         self.characters = {c for i in usable for c in pieces[i] if c in self.score}
+        # the order of merges: ranks of pieces by score; characters come before all merges
+        order = {score: k for k, score in enumerate(sorted({v for p, v in self.score.items() if len(p) > 1}, reverse=True))}
+        self.rank = {p: order[v] if len(p) > 1 else -1 for p, v in self.score.items()}
+        self.split: dict[str, tuple[str, str]] = {}
         self.id: dict[str, int] = {}
         for i in usable:  # pieces that merges can't reach never occur
-            self.id[pieces[i]] = i
-        self.id = {p: i for p, i in self.id.items() if len(p) == 1 or self.merge(p) == [p]}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        # where no piece goes on with a space sign after another sign, every such place is a boundary
+            last = self.merge(pieces[i], stop=2)
+            if len(pieces[i]) == 1 or (len(last) == 2 and last[0] + last[1] == pieces[i]):
+                self.id[pieces[i]] = i
+                self.split[pieces[i]] = tuple(last)
+        # every beginning of a piece, and the id where it is a piece itself
+        self.prefix = {p[:k]: -1 for p in self.id for k in range(1, len(p))} | self.id
+        self.pairs: dict[int, bool] = {}
+        # where no piece goes on with a space sign after another sign, every such place is a boundary; so is the end
+        # of a run of letters before a mark that no piece has after a letter
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.id)
-        self.words = None if crossing else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        after = {y for p in self.id for x, y in zip(p, p[1:], strict=False) if _LETTER.match(x)}
+        alone = "".join(c for c in "\n\t\r" if c not in self.characters)  # becomes bytes, so it bounds all runs
+        marks = re.escape("".join(sorted(set(MARKS) - after)) + alone)
+        ends = f"{SPACE}*[^\\W\\d_]+(?=[{SPACE}{marks}]|$)|" if marks else ""
+        self.words = None if crossing else re.compile(f"{ends}{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else ""))
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -60,10 +80,10 @@ class Pieces:
         special = {i for i in n if model.is_control(i) or model.is_unknown(i) or model.is_unused(i)}
         return cls([model.id_to_piece(i) for i in n], [model.get_score(i) for i in n], special, byte_ids, model.unk_id())
 
-    def merge(self, text: str) -> list[str]:
+    def merge(self, text: str, stop: int = 1) -> list[str]:
         """The merges of a short text one by one, best score first, leftmost of equals: the plain definition."""
         parts = list(text)
-        while True:
+        while len(parts) > stop:
             best = None
             for i in range(len(parts) - 1):
                 score = self.score.get(parts[i] + parts[i + 1])
@@ -72,16 +92,32 @@ class Pieces:
             if best is None:
                 return parts
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        return parts
 
     def stay(self, left: str, right: str) -> bool:
         """Whether two neighbouring pieces, taken alone, stay these two."""
-        key = (left, right)
+        key = self.id[left] << 24 | self.id[right]
         if (known := self.pairs.get(key)) is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self.merge(left + right) == [left, right]
+            known = self.pairs[key] = self._stay(left, right)
         return known
 
+    def _stay(self, left: str, right: str) -> bool:
+        """Undoes the merges of both pieces, the latest first, and asks each time whether a merge over the place
+        between them would have come before the one just undone. Of equal ranks the leftmost merge comes first."""
+        rank, before = self.rank, len(self.rank) + 1
+        while True:
+            if rank.get(left + right, before) < before:
+                return False
+            a, b = rank[left], rank[right]
+            if a > b:
+                left, before = self.split[left][1], a
+            elif b >= 0:
+                right, before = self.split[right][0], b + 1
+            else:
+                return True
+
     def of_unknown(self, character: str) -> list[int]:
         return [self.byte_ids[b] for b in character.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
 
@@ -145,7 +181,7 @@ class Encoder(dict):
 
     def __init__(self, pieces: Pieces):
         super().__init__()
-        self.pieces = pieces
+        self.pieces, self.older = pieces, {}
 
     def stream(self, text: Iterable[str]) -> Iterator[int]:
         """Ids of a text that comes in parts of any length."""
@@ -156,11 +192,51 @@ class Encoder(dict):
                 begun = True
         yield from run.finish()
 
-    def __missing__(self, word: str) -> list[int]:
-        run = Viterbi(self.pieces)
-        ids = [*run.feed(word), *run.finish()]
+    def _word(self, word: str) -> tuple[int, ...]:
+        """The same for a short word, longest pieces first: a place has one best path, so the first path of neighbours
+        that stay is the one, and a place that it can't go on from is never tried again."""
+        pieces = self.pieces
+        prefix, pairs, n = pieces.prefix.get, pieces.pairs.get, len(word)
+        ends, ids = [0], [-1]  # of the pieces on the path
+        at, last, longest = 0, -1, n
+        dead = ()  # places that no best path goes through
+        while at < n:
+            end, best, known = at + 1, 0, 0
+            while end <= longest and (i := prefix(word[at:end])) is not None:
+                if i >= 0:
+                    best, known = end, i
+                end += 1
+            while best:
+                if best not in dead and (not at or (ok := pairs(last << 24 | known)) or (ok is None and pieces.stay(pieces.text[last], word[at:best]))):
+                    ends.append(best)
+                    ids.append(known)
+                    at, last, longest = best, known, n
+                    break
+                end, best = best - 1, 0
+                while end > at:
+                    if (i := prefix(word[at:end])) >= 0:
+                        best, known = end, i
+                        break
+                    end -= 1
+            else:  # one step back, to a shorter piece
+                dead = {at, *dead}
+                longest = ends.pop() - 1
+                ids.pop()
+                at, last = ends[-1], ids[-1]
+        return tuple(ids[1:])
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if (ids := self.older.get(word)) is None:
+            if (whole := self.pieces.id.get(word)) is not None:
+                ids = (whole,)
+            elif len(word) <= SHORT and self.pieces.characters.issuperset(word):
+                ids = self._word(word)
+            else:
+                run = Viterbi(self.pieces)
+                ids = (*run.feed(word), *run.finish())
         if len(word) <= REMEMBERED_LENGTH:
-            if len(self) >= REMEMBERED:
+            if len(self) >= REMEMBERED:  # what isn't used again until the next time is forgotten then
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -203,6 +279,18 @@ class Decoder:
         return "".join(parts)[1:] if parts and parts[0][:1] == " " else "".join(parts)
 
 
+_LOADED: dict[str, tuple[Encoder, Decoder]] = {}
+
+
+def loaded(model_path: str) -> tuple[Encoder, Decoder]:
+    """The coders of a model; a worker keeps them, with the words that they remember, from task to task."""
+    if model_path not in _LOADED:
+        _LOADED.clear()
+        pieces = Pieces.load(model_path)
+        _LOADED[model_path] = Encoder(pieces), Decoder(pieces)
+    return _LOADED[model_path]
+
+
 def encoded(docs: DataFrame, model_path: str) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, ids array<int>, n_tokens, round_trip), one row for each row of docs.
 
@@ -211,8 +299,7 @@ def encoded(docs: DataFrame, model_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.load(model_path)
-        encoder, decoder = Encoder(pieces), Decoder(pieces)
+        encoder, decoder = loaded(model_path)
         for whole in batches:
             for batch in text_slices(whole):
                 values, ends, same = [], [0], []
@@ -231,7 +318,7 @@ def decoded(tokens: DataFrame, model_path: str) -> DataFrame:
     """tokens(doc_id, ids, ...) -> (doc_id, text), one row for each row; null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(Pieces.load(model_path))
+        decoder = loaded(model_path)[1]
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([decoder.decode(ids or []) for ids in batch.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
