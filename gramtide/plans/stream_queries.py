@@ -45,7 +45,7 @@ def stream_dedup(t: Tables):
     return t.spark.read.schema("user_id long, event_type string").parquet(out)
 
 
-@query("stream_windows", "SELECT event_type, time_bucket(INTERVAL 12 HOURS, ts::TIMESTAMP, TIMESTAMP '2024-01-01') AS start, count(*) AS n FROM events GROUP BY ALL HAVING start + INTERVAL 12 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+@query("stream_windows", "SELECT * FROM (SELECT event_type, time_bucket(INTERVAL 12 HOURS, ts::TIMESTAMP, TIMESTAMP '2024-01-01') AS start, count(*) AS n FROM events GROUP BY ALL) WHERE start + INTERVAL 12 HOURS <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
 def stream_windows(t: Tables):
     """Half-days that the watermark has closed."""
     out = _folder(t, "windows")
