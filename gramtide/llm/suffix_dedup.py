@@ -8,7 +8,8 @@ as they can:
 1. Level 32. Every window is filed under one of its 32-byte strings, that with the least rank (the last of equals),
    which depends on the window's bytes only. Windows in a row that share it form a run; the corpus has about one run
    for 30 bytes. Spark sorts the runs by the rank of their string. A run whose string occurs nowhere else is unique
-   and done. A run whose bytes all occur in an earlier run is repeated as a whole and done.
+   and done. A run whose bytes all occur in an earlier run is repeated as a whole and done (within one text this is
+   seen before anything is shuffled, so periodic texts make no crowd).
 2. Level 100, the threshold. Of the runs that share their string with different ones the bytes are sorted by string,
    and the windows of each get their rank from the pair of ranks of 64 bytes at offsets 0 and 36. A window whose rank
    has an earlier place is repeated. Where very many different runs share a string, single windows are sorted by
@@ -84,11 +85,26 @@ def _runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return base[at], _pair(windows[first], windows[first + size - 1]) + size.astype(np.uint64), first, size
 
 
+_FILED = pa.schema([("doc_id", pa.int64()), ("string", pa.int64()), ("whole", pa.int64()), ("run", pa.int64()), ("upto", pa.int64())])
+
+
+def _own_repeats(string: np.ndarray, run: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(runs to file, begins, ends): later runs of a text that equal one of its own earlier runs are repeated without
+    asking the corpus; successive ones are one stretch. Periodic texts have a run for each period otherwise."""
+    _, at, which = np.unique(run, return_index=True, return_inverse=True)
+    later = np.flatnonzero((at[which] != np.arange(len(run))) & (string == string[at[which]]))
+    if not len(later):
+        return np.arange(len(run)), later, later
+    begin, end = first[later], first[later] + size[later]
+    new = np.concatenate([[True], begin[1:] != end[:-1]])
+    return np.setdiff1d(np.arange(len(run)), later), begin[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
+
+
 def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "string", "whole", "run"]
+    """Runs of each text, as (string, whole, run); stretches that a text repeats of itself, as (run, upto) = (a, b)."""
     for whole in batches:
         for batch in text_slices(whole):
-            ids, columns = [], ([], [], [])
+            ids, columns, known = [], ([], [], [], []), []
             texts = batch.column("text").cast(pa.binary())
             for k in range(batch.num_rows):
                 if not texts[k].is_valid:
@@ -96,11 +112,18 @@ def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data = np.frombuffer(texts[k].as_buffer(), np.uint8)
                 for at in range(0, len(data) - LENGTH + 1, SEGMENT):
                     string, run, first, size = _runs(data[at : at + SEGMENT + LENGTH - 1])
-                    ids.append(np.full(len(first), k))
-                    for column, values in zip(columns, (string.view(np.int64), run.view(np.int64), (first + at) << 7 | size), strict=True):
-                        column.append(values)
+                    filed, a, b = _own_repeats(string, run, first, size)
+                    # stretches stand under a string of their own, so that none of them gathers in one task
+                    parts = zip(columns, (string[filed].view(np.int64), run[filed].view(np.int64), (first[filed] + at) << 7 | size[filed], np.zeros(len(filed), np.int64)), (run[: len(a)].view(np.int64), a, a + at, b + at), strict=True)
+                    for column, values, own in parts:
+                        column += [values, own]
+                    ids.append(np.full(len(filed) + len(a), k))
+                    known.append(np.repeat([False, True], [len(filed), len(a)]))
             if ids:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.concatenate(ids))), *(pa.array(np.concatenate(c)) for c in columns)], names)
+                arrays = [np.concatenate(c) for c in columns]
+                mask = ~np.concatenate(known)
+                upto = pa.array(arrays[3], mask=mask)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.concatenate(ids))), *map(pa.array, arrays[:3]), upto], schema=_FILED)
 
 
 def _bytes_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -216,13 +239,15 @@ def remove_repeats(docs: DataFrame, many_runs: int = MANY_RUNS) -> DataFrame:
     is earlier than the other, and all of them lose what any of them loses at that place.
     """
     docs = docs.select("doc_id", "text")
-    filed = docs.mapInArrow(_filed, "doc_id long, string long, whole long, run long").repartition("string")
-    same = Window.partitionBy("string", "whole").orderBy("doc_id", "run")
-    every = Window.partitionBy("string")
-    ranked = filed.withColumn("rank", F.rank().over(same))
+    filed = docs.mapInArrow(_filed, "doc_id long, string long, whole long, run long, upto long").repartition("string")
+    kind = F.col("upto").isNotNull()
+    same = Window.partitionBy("string", "kind", "whole").orderBy("doc_id", "run")
+    every = Window.partitionBy("string", "kind")
+    ranked = filed.withColumn("kind", kind).withColumn("rank", F.rank().over(same))
     ranked = ranked.withColumn("runs", F.sum((F.col("rank") == 1).cast("long")).over(every))
-    found = stored(ranked.where("rank > 1 or runs > 1").select("doc_id", "run", F.when(F.col("rank") == 1, F.col("string")).alias("string"), (F.col("runs") > many_runs).alias("many")))
-    repeated = found.where("string is null").select("doc_id", F.expr("run >> 7").alias("a"), F.expr("(run >> 7) + (run & 127)").alias("b"))
+    kept = ranked.where("kind or rank > 1 or runs > 1")
+    found = stored(kept.select("doc_id", "run", "upto", F.when(~F.col("kind") & (F.col("rank") == 1), F.col("string")).alias("string"), (F.col("runs") > many_runs).alias("many")))
+    repeated = found.where("string is null").select("doc_id", F.expr("if(upto is null, run >> 7, run)").alias("a"), F.expr("coalesce(upto, (run >> 7) + (run & 127))").alias("b"))
     some = found.where("string is not null").select(F.col("doc_id").alias("of"), "run", "string", "many")
     texts = docs.join(some, F.col("doc_id").eqNullSafe(F.col("of")))
     piece = F.substring(F.col("text").cast("binary"), F.expr("int(run >> 7) + 1"), F.expr("int(run & 127) + 99"))
