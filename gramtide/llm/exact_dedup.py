@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_enough, stored, text_slices
+from .common import cut, sized_join, small_enough, stored, text_slices
 
 #: Two primes just under 2 ** 31: a byte times a residue, summed over a chunk, stays under 2 ** 63.
 PRIMES = (2147483647, 2147483629)
@@ -96,10 +96,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
     differ = cut(chunks.groupBy("fp", "n", "place").agg((F.min("chunk") != F.max("chunk")).alias("differ")).where("differ").select("fp", "n").distinct())
     # where one fingerprint has different texts, its rows are told apart by their digest
-    split = F.when(F.col("apart").isNotNull(), F.col("sha"))
-    told = prints.join(differ.withColumn("apart", F.lit(True)), ["fp", "n"], "left").select("doc_id", "fp", "n", "sha", F.coalesce(split, F.lit("")).alias("own"))
+    told = prints.withColumn("own", F.lit(""))
+    if differ.limit(1).count():
+        apart = sized_join(prints, differ.withColumn("apart", F.lit(True)), ["fp", "n"], "left")
+        told = apart.withColumn("own", F.when(F.col("apart"), F.col("sha")).otherwise("")).drop("apart")
     groups = cut(told.groupBy("fp", "n", "own").agg(F.count("*").alias("group_size"), F.max("doc_id").alias("keep_id")).where("group_size > 1"))
-    return told.join(groups, ["fp", "n", "own"], "left").select(
+    return sized_join(told, groups, ["fp", "n", "own"], "left", BROADCAST_ROWS).select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
