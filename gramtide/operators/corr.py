@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 def tfidf(counts: DataFrame, min_df: int, max_df: float) -> DataFrame:
     """counts(id, gram, n) -> (id, gram, tfidf): smoothed idf, rows of length 1."""
-    size = counts.agg(F.countDistinct("id").alias("size"))
-    df = counts.groupBy("gram").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("size")))
+    # both sums read n, so that they share the shuffle of the counts
+    size = counts.agg(F.countDistinct(F.when(F.col("n") > 0, F.col("id"))).alias("size"))
+    df = counts.groupBy("gram").agg(F.sum((F.col("n") > 0).cast("long")).alias("df")).crossJoin(F.broadcast(size)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("size")))
     weight = F.col("n") * (F.log((1 + F.col("size")) / (1 + F.col("df"))) + 1)
     rows = counts.join(df, "gram").select("id", "gram", weight.alias("w"))
     return rows.select("id", "gram", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))).alias("tfidf"))

@@ -28,11 +28,22 @@ def grams_of(tokens: Column, size: int) -> Column:
 
 
 def counts(articles: DataFrame, size: int = 1, keys: Sequence[str] = ("media", "date")) -> DataFrame:
-    """articles(keys..., contenu) -> keys..., gram, n. Map-side partial sums go before the one shuffle."""
-    rows = sentence_tokens(articles, *keys)
-    # exploding once more keeps the planner from inlining the extraction into the lambda below
-    rows = rows.select(*keys, F.explode(grams_of(F.col("tokens"), size)).alias("gram"))
-    return rows.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
+    """articles(keys..., contenu) -> keys..., gram, n. Map-side partial sums go before the one shuffle.
+
+    Rows without a key or a text are left out. The filters are there for the planner too: joins would infer them on
+    one side only, and two uses of the same counts would no longer share their shuffle.
+    """
+    rows = articles
+    for k in (*keys, "contenu"):
+        rows = rows.where(F.col(k).isNotNull())
+    parts = rows.select(*keys, F.explode(text.sentences(F.col("contenu"))).alias("sentence"))
+    tokens = F.regexp_extract_all("sentence", F.lit(text.TOKEN), F.lit(0))
+    if size > 1:
+        # exploding an array of one keeps the planner from inlining the extraction into the lambda below
+        parts = parts.select(*keys, F.explode(F.array(tokens)).alias("tokens"))
+        tokens = grams_of(F.col("tokens"), size)
+    grams = parts.select(*keys, F.explode(tokens).alias("gram")).where(F.col("gram").isNotNull())
+    return grams.groupBy(*keys, "gram").agg(F.count("*").alias("n"))
 
 
 def daily_totals(grams: DataFrame, keys: Sequence[str] = ("media", "date")) -> DataFrame:
@@ -76,11 +87,15 @@ def evolution(top: DataFrame, totals: DataFrame, resolution: str, before: int, a
 
 
 def series(grams: DataFrame, totals: DataFrame, wanted: Sequence[str], low: int = 19000101, high: int = 21001231) -> DataFrame:
-    """(media, gram, date, n, total) for each wanted gram and each day that has a total; absent days are 0."""
+    """(media, gram, date, n, total) for each wanted gram and each day that has a total; absent days are 0.
+
+    Wanted grams are picked by a join, so that totals and counts of the same articles share one shuffle; filter a
+    stored table of grams before.
+    """
     days = totals.where(F.col("date").between(low, high))
-    names = days.sparkSession.createDataFrame([(w,) for w in wanted], "gram string")
-    found = grams.where(F.col("gram").isin(*wanted) & F.col("date").between(low, high))
-    return days.crossJoin(F.broadcast(names)).join(found, ["media", "gram", "date"], "left").select("media", "gram", "date", F.coalesce("n", F.lit(0)).alias("n"), "total")
+    names = F.broadcast(days.sparkSession.createDataFrame([(w,) for w in wanted], "gram string"))
+    found = grams.where(F.col("date").between(low, high)).join(names, "gram")
+    return days.crossJoin(names).join(found, ["media", "gram", "date"], "left").select("media", "gram", "date", F.coalesce("n", F.lit(0)).alias("n"), "total")
 
 
 def rolled_up(series: DataFrame, resolution: str) -> DataFrame:

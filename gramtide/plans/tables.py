@@ -27,7 +27,7 @@ class Tables:
     @cached_property
     def articles(self) -> DataFrame:
         """(id, media, section, date, contenu): languages as media, sources as sections, 120 days."""
-        d = self.raw("documents")
+        d = self.raw("documents").where("lang is not null")
         day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 120).cast("int"))
         return d.select(F.col("doc_id").alias("id"), F.col("lang").alias("media"), F.col("source").alias("section"), dates.day_number(day).alias("date"), F.col("text").alias("contenu"))
 
