@@ -54,8 +54,11 @@ def _step(name: str, share: float) -> list[int]:
     return [_hash(f"\0{name}:{k}") for k in (at - 1, at, at, at + 1)]
 
 
-def _terms(text: str, known: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(words and shapes, whole-text terms) of a text, as hashed ids with repeats."""
+#: Counted terms: (ids, counts) of the words and shapes, (ids, counts) of the whole text. At most 2 * TERMS numbers each.
+Terms = tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def _terms(text: str, known: dict[str, tuple[int, int]]) -> Terms:
     words = text.split()
     pairs = []
     for w in words:
@@ -77,7 +80,7 @@ def _terms(text: str, known: dict[str, tuple[int, int]]) -> tuple[np.ndarray, np
         *_step("size", np.log2(1 + len(words)) / 16),
         *_step("longest", max(map(len, words), default=0) / 100),
     ]
-    return np.array(pairs, np.int64).reshape(-1), np.array(whole, np.int64)
+    return np.unique(np.array(pairs, np.int64).reshape(-1), return_counts=True), np.unique(np.array(whole, np.int64), return_counts=True)
 
 
 class Space:
@@ -87,32 +90,29 @@ class Space:
         self.idf, self.project, self.vectors, self.labels = idf, project, vectors, labels
 
 
-def _weights(terms: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _weights(terms: Terms, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ids, values = [], []
-    for part, weight in zip(terms, (1.0, WHOLE), strict=True):
-        i, c = np.unique(part, return_counts=True)
+    for (i, c), weight in zip(terms, (1.0, WHOLE), strict=True):
         v = (1 + np.log(c)) * idf[i]
         ids.append(i)
         values.append(weight * v / (np.linalg.norm(v) or 1.0))
     return np.concatenate(ids), np.concatenate(values).astype(np.float32)
 
 
-def fit(texts: list[str], labels: list[int]) -> Space:
+def fit(terms: list[Terms], labels: list[int]) -> Space:
     """Latent space of a bounded labelled sample, by randomised subspace iteration."""
-    known: dict[str, tuple[int, int]] = {}
-    terms = [_terms(t, known) for t in texts]
     seen = np.zeros(TERMS)
-    for a, b in terms:
+    for (a, _), (b, _) in terms:
         seen[np.union1d(a, b)] += 1
-    idf = np.log((1 + len(texts)) / (1 + seen)) + 1
-    matrix = np.zeros((len(texts), TERMS), np.float32)
+    idf = np.log((1 + len(terms)) / (1 + seen)) + 1
+    matrix = np.zeros((len(terms), TERMS), np.float32)
     for row, t in zip(matrix, terms, strict=True):
         i, v = _weights(t, idf)
         np.add.at(row, i, v)
-    k = min(DIMENSIONS, *matrix.shape) if len(texts) else 1
+    k = min(DIMENSIONS, *matrix.shape) if terms else 1
     base = np.random.default_rng(0).standard_normal((TERMS, k)).astype(np.float32)
     for _ in range(4):
-        base = np.linalg.qr(matrix.T @ (matrix @ base))[0] if len(texts) else base
+        base = np.linalg.qr(matrix.T @ (matrix @ base))[0] if terms else base
     vectors = matrix @ base
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     return Space(idf, np.ascontiguousarray(base), vectors, np.array(labels, np.float32))
@@ -151,6 +151,20 @@ def scores(docs: DataFrame, space: Space) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def _counted(learn: DataFrame) -> DataFrame:
+    """(doc_id, quality, a, an, b, bn): the counted terms of the sample, so that no text reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in text_slices(whole):
+                known: dict[str, tuple[int, int]] = {}
+                terms = [_terms(t or "", known) for t in batch.column("text").to_pylist()]
+                lists = [pa.array([t[part][k].tolist() for t in terms], pa.list_(pa.int64())) for part in (0, 1) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), *lists], ["doc_id", "quality", "a", "an", "b", "bn"])
+
+    return learn.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, a array<long>, an array<long>, b array<long>, bn array<long>")
+
+
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_label: int = MAX_PER_LABEL) -> DataFrame:
     """docs(doc_id, text, ...), labels(doc_id, quality) -> (doc_id, held_out, score, predicted), one row for each row.
 
@@ -164,11 +178,9 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
     known = cut(known.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = cut(known.where("quality = 1").orderBy(*order).limit(per_label).unionByName(known.where("quality = 0").orderBy(*order).limit(per_label)))
-    learn = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
-    texts, values = [], []
-    for r in learn.toLocalIterator():
-        texts.append(r["text"])
-        values.append(int(r["quality"]))
-    order = sorted(range(len(texts)), key=lambda i: (texts[i], values[i]))  # the order of partitions doesn't count
-    space = fit([texts[i] for i in order], [values[i] for i in order])
+    learn = _counted(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    rows = sorted((r["doc_id"], int(r["quality"]), *map(tuple, (r["a"], r["an"], r["b"], r["bn"]))) for r in learn.toLocalIterator())
+    rows = [r for k, r in enumerate(rows) if not k or r[0] != rows[k - 1][0]]  # rows that repeat an id: one of them
+    as_terms = lambda r: tuple((np.array(i, np.int64), np.array(c, np.int64)) for i, c in (r[2:4], r[4:6]))
+    space = fit([as_terms(r) for r in rows], [r[1] for r in rows])
     return scores(docs, space).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))
