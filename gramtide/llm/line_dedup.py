@@ -56,12 +56,12 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
     found = boilerplate(docs, site, min_sites)
     found = F.broadcast(found) if small_enough(found, BROADCAST_ROWS) else found
-    held = cut(_lines(docs, site).join(found, "h", "left_semi").groupBy(F.col("doc_id").alias("held_by")).agg(F.collect_set("h").alias("gone")))
+    held = cut(_lines(docs, site).join(found, "h", "left_semi").groupBy(F.col("doc_id").alias("__held_by")).agg(F.collect_set("h").alias("__gone")))
     # documents are always shuffled to their lines: this side grows with them, so it is never broadcast
     lines = F.split("text", "\n")
-    joined = docs.select(*names).join(held, F.col("doc_id").eqNullSafe(F.col("held_by")), "left")
-    stay = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("gone"), _hash(x)))
-    out = joined.select(*names, F.when(F.col("gone").isNotNull(), stay).alias("stay"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"))
-    removed = F.when(F.col("stay").isNotNull(), F.col("n_lines") - F.size("stay")).otherwise(F.lit(0)).cast("long")
-    cleaned = F.when(F.col("stay").isNotNull(), F.array_join("stay", "\n")).otherwise(F.col("text"))
+    joined = docs.select(*names).join(held, F.col("doc_id").eqNullSafe(F.col("__held_by")), "left")
+    stay = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__gone"), _hash(x)))
+    out = joined.select(*names, F.when(F.col("__gone").isNotNull(), stay).alias("__stay"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"))
+    removed = F.when(F.col("__stay").isNotNull(), F.col("n_lines") - F.size("__stay")).otherwise(F.lit(0)).cast("long")
+    cleaned = F.when(F.col("__stay").isNotNull(), F.array_join("__stay", "\n")).otherwise(F.col("text"))
     return out.select(*[cleaned.alias("text") if c == "text" else F.col(c) for c in names], F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"), removed.alias("n_removed_lines"))

@@ -27,7 +27,7 @@ def docs(spark):
         df = spark.createDataFrame(full, SCHEMA)
         from pyspark.sql import functions as F
 
-        for name in ("fp", "n", "key", "part", "a", "b", "root", "line", "place", "size", "score", "tokens"):
+        for name in ("fp", "n", "key", "part", "a", "b", "root", "line", "place", "size", "score", "tokens", "gone", "stay", "held_by", "taken", "h", "site", "of", "kind", "run", "member", "quality", "stratum", "n_lines"):
             df = df.withColumn(name, F.lit("clash"))
         return df
 
