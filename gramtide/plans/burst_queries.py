@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates
+from ..functions import dates, text
 from ..operators import corr, peaks, series, spectral, vocab, windows
-from .registry import query
+from .registry import query, sql
 from .series_queries import _spearman, array_windows, long_windows
 from .tables import Tables
 
@@ -41,10 +41,25 @@ def fit_iterated(t: Tables):
     return out
 
 
-for _name, _law in (("pvalues_poisson", "poisson"), ("pvalues_nb", "nb"), ("pvalues_bnb", "bnb")):
+for _name, _law in (("pvalues_nb", "nb"), ("pvalues_bnb", "bnb")):
     query(_name)(lambda t, law=_law: peaks.daily_pvalues(words(t), law))
 
 
+def _poisson(source: str) -> str:
+    """(mot, date, x, n_tot, p) of a dense series by SQL: one minus the terms under x, for counts that allow it."""
+    m = "(x_sum / n_sum * n_tot)"
+    return f"SELECT mot, date, x, n_tot, CASE WHEN x = 0 THEN 1.0 ELSE greatest(0.0, 1.0 - list_sum(list_transform(range(0, x), lambda k: exp(k * ln({m}) - {m} - lgamma(k + 1))))) END AS p FROM (SELECT *, sum(x) OVER (PARTITION BY mot)::DOUBLE AS x_sum, sum(n_tot) OVER (PARTITION BY mot)::DOUBLE AS n_sum FROM {source})"
+
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_WORDS = f"(SELECT t.media || ':' || c.gram AS mot, strptime(t.date::VARCHAR, '%Y%m%d')::DATE AS date, coalesce(u.n, 0)::BIGINT AS x, t.total AS n_tot FROM (SELECT media, gram FROM cens WHERE active_days >= {MIN_DAYS} AND gram NOT IN ({_STOP}) AND NOT regexp_matches(gram, '^[0-9]') AND length(gram) > 1) c JOIN tot t USING (media) LEFT JOIN uni u ON u.media = t.media AND u.gram = c.gram AND u.date = t.date)"
+
+
+@query("pvalues_poisson", sql(f"SELECT mot, date, x, n_tot, round(p, 8) AS p FROM ({_poisson(_WORDS)})", "uni", "tot", "cens"))
+def pvalues_poisson(t: Tables):
+    return peaks.daily_pvalues(words(t), "poisson").select("mot", "date", "x", "n_tot", F.round("p", 8).alias("p"))
+
+
 @query("peaks_mass")
 def peaks_mass(t: Tables):
     return found(t)
@@ -123,8 +138,30 @@ def _candidates(t: Tables) -> DataFrame:
     return peaks.daily_pvalues(t.series, "poisson", 1, 0.05)
 
 
-@query("nms")
+_NMS = sql(
+    "\x00",
+    "bser",
+).replace(
+    "\x00",
+    f""", q AS (SELECT *, row_number() OVER (PARTITION BY mot ORDER BY date) - 1 AS pos FROM ({_poisson("bser")})),
+    pk AS (SELECT mot, pos, row_number() OVER (PARTITION BY mot ORDER BY round(-log10(greatest(p, 1e-300)), 9) DESC, pos) AS rk FROM q WHERE p < 0.05),
+    walk AS (SELECT mot, 0::BIGINT AS i, []::BIGINT[] AS kept FROM (SELECT DISTINCT mot FROM pk)
+        UNION ALL
+        SELECT w.mot, w.i + 1, CASE WHEN len(list_filter(w.kept, lambda k: abs(k - p.pos) < 31)) > 0 THEN w.kept ELSE list_append(w.kept, p.pos) END
+        FROM walk w JOIN pk p ON p.mot = w.mot AND p.rk = w.i + 1)
+    SELECT mot, unnest(kept) AS pos FROM (SELECT mot, arg_max(kept, i) AS kept FROM walk GROUP BY mot)""",
+).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("nms", _NMS)
 def nms(t: Tables):
+    ranked = _candidates(t).withColumn("surprise", F.round("surprise", 9))
+    return peaks.nms(ranked).select("mot", "pos")
+
+
+@query("nms_absorbed")
+def nms_absorbed(t: Tables):
+    """The kept peaks with what each took in."""
     return peaks.nms(_candidates(t))
 
 
@@ -291,9 +328,9 @@ def event_plane(t: Tables):
 # kernels
 
 
-@query("gamma_median")
+@query("gamma_median", "SELECT round(m, 6) AS median, round(1 / (2 * m), 8) AS gamma FROM (SELECT quantile_cont(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 0.5) AS m FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON b.vec_id = a.vec_id + 11)")
 def gamma_median(t: Tables):
-    return spectral.median_distance(t.raw("embeddings"), "vec_id", "embedding", 11)
+    return spectral.median_distance(t.raw("embeddings"), "vec_id", "embedding", 11).select(F.round("median", 6).alias("median"), F.round("gamma", 8).alias("gamma"))
 
 
 @query("kernel_spectrum")
