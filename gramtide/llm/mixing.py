@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_enough
+from .common import cut, small_enough, stored
 
 #: Share of the corpus's tokens that the mix has.
 BUDGET_SHARE = 0.5
 MAX_EPOCHS = 2
 SEED = 17
 #: Documents of a leaf that one bucket of the seeded order holds, about; prefix sums run over buckets, then in one.
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 2048
 #: Leaves up to which their table is broadcast (about 100 bytes each).
 BROADCAST_ROWS = 100_000
 LEVELS = ("domain", "language", "source")
@@ -93,7 +93,7 @@ def selection(narrow: DataFrame, budget_share: float = BUDGET_SHARE, weights: di
     """
     weights = WEIGHTS if weights is None else weights
     key = list(LEVELS)
-    usable = narrow.where("tokens > 0")
+    usable = stored(narrow.where("tokens > 0"))  # texts are read once; what follows reads these narrow rows
     stats = cut(usable.groupBy(*key).agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens")))
     total = stats.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     plan = budgets(stats, int(total * budget_share), weights, max_epochs)
