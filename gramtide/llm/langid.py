@@ -71,10 +71,48 @@ def word_score(model: dict, word: str) -> np.ndarray:
     for n in range(LONGEST, 0, -1):
         table = model["grams"][n]
         if found := [table[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in table]:
-            return np.mean(found, axis=0)
+            return sum(found) / len(found)
     return np.zeros(len(model["langs"]), np.float32)
 
 
+class Scorer:
+    """A model with the scores of the words that a worker has met; kept from task to task."""
+
+    held: Scorer | None = None
+
+    def __init__(self, model: dict):
+        self.model, self.langs = model, model["langs"]
+        self.rows: dict[str, int] = {}
+        self.scores = np.zeros((1 << 12, len(self.langs)), np.float32)
+
+    @classmethod
+    def of(cls, model: dict) -> Scorer:
+        if cls.held is None or cls.held.model is not model:
+            cls.held = cls(model)
+        return cls.held
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.rows) + len(words) > max(REMEMBERED, len(words)):
+            self.rows.clear()
+        for w in words.difference(self.rows):
+            at = self.rows[w] = len(self.rows)
+            if at == len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.scores[at] = word_score(self.model, w)
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        words = _WORD.findall(text.lower()) if text else []
+        if not self.langs or not any(any(map(str.isalpha, w)) for w in words):
+            return "und", 0.0
+        if not (distinct := set(words)) <= self.rows.keys():
+            self._learn(distinct)
+        ids, times = np.unique(np.array([self.rows[w] for w in words]), return_counts=True)
+        total = times @ self.scores[ids].astype(np.float64)
+        best = int(total.argmax())
+        mean = total / len(words) * min(len(words), 20)
+        return self.langs[best], float(1 / np.exp(mean - mean[best]).sum())
+
+
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, lang_pred, score); `und` and 0 for a text that is null or has no letter.
 
@@ -83,29 +121,11 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, rows, known = shared.value, {}, []
-        langs = model["langs"]
+        scorer = Scorer.of(shared.value)
         for whole in batches:
             for batch in text_slices(whole):
-                names, scores = [], []
-                if len(rows) > REMEMBERED:
-                    rows, known = {}, []
-                for text in batch.column("text").to_pylist():
-                    words = _WORD.findall(text.lower()) if text else []
-                    if not langs or not any(any(map(str.isalpha, w)) for w in words):
-                        names.append("und")
-                        scores.append(0.0)
-                        continue
-                    for w in set(words).difference(rows):
-                        rows[w] = len(known)
-                        known.append(word_score(model, w))
-                    ids, times = np.unique(np.array([rows[w] for w in words]), return_counts=True)
-                    total = times @ np.array([known[i] for i in ids.tolist()], np.float64)
-                    best = int(total.argmax())
-                    mean = total / len(words) * min(len(words), 20)
-                    names.append(langs[best])
-                    scores.append(float(1 / np.exp(mean - mean[best]).sum()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+                found = [scorer.predict(text) for text in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
