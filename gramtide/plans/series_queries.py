@@ -430,4 +430,4 @@ def gof_chi2(t: Tables):
     from ..operators import corr
 
     z = corr.residuals(t.series, None)
-    return z.groupBy("mot").agg(r(F.sum(F.col("z") * F.col("z")), 4).alias("chi2"), (F.count("*") - 1).alias("dof")).withColumn("ratio", r(F.col("chi2") / F.col("dof"), 6))
+    return z.groupBy("mot").agg(F.sum(F.col("z") * F.col("z")).alias("chi2"), (F.count("*") - 1).alias("dof")).select("mot", r("chi2", 4).alias("chi2"), "dof", r(F.col("chi2") / F.col("dof"), 6).alias("ratio"))
