@@ -286,7 +286,7 @@ def subsample(t: Tables):
     return rows.orderBy(F.md5(F.concat(F.lit("1:"), "mot", F.lit(":"), F.col("centre").cast("string")).cast("binary")), "mot", "centre").limit(50)
 
 
-@query("volume_filter", _wsql("SELECT mot, centre, x FROM (SELECT c.mot, c.pos AS centre, g.x FROM cen c JOIN bgrid g USING (mot, pos)), (SELECT greatest(quantile_cont(g.x, 0.5), 3) AS floor FROM cen c JOIN bgrid g USING (mot, pos)) WHERE x >= floor"))
+@query("volume_filter", _wsql("SELECT mot, centre, x FROM (SELECT *, x >= floor AS kept, count(*) FILTER (x >= floor) OVER () AS left_ FROM (SELECT c.mot, c.pos AS centre, g.x FROM cen c JOIN bgrid g USING (mot, pos)), (SELECT greatest(quantile_cont(g.x, 0.5), 3) AS floor FROM cen c JOIN bgrid g USING (mot, pos))) WHERE kept OR left_ < 30"))
 def volume_filter(t: Tables):
     """Centres of at least max(median, 3) occurrences, or all of them if under 30 would be left."""
     rows = centres(t).join(grid(t).select("mot", "pos", "x"), ["mot", "pos"]).select("mot", F.col("pos").alias("centre"), "x")
