@@ -31,7 +31,8 @@ SHARPNESS = 8
 #: Documents of a block of cosine products.
 BLOCK = 512
 KEEP = 0.3
-REMEMBERED = 400_000
+#: Words that a task remembers.
+REMEMBERED = 200_000
 #: Weight of the terms that describe the whole text against that of its words together.
 WHOLE = 1.5
 
@@ -83,10 +84,6 @@ def _terms(text: str, known: dict[str, tuple[int, int]]) -> Terms:
     return np.unique(np.array(pairs, np.int64).reshape(-1), return_counts=True), np.unique(np.array(whole, np.int64), return_counts=True)
 
 
-#: Words that a worker has hashed, kept from task to task.
-_KNOWN: dict[str, tuple[int, int]] = {}
-
-
 class Space:
     """idf, projection and the labelled vectors; everything that the executors need."""
 
@@ -139,13 +136,13 @@ def scores(docs: DataFrame, space: Space) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(space)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space, known = shared.value, _KNOWN
+        space, known = shared.value, {}
         for whole in batches:
             for part in text_slices(whole):
                 for at in range(0, part.num_rows, BLOCK):
                     batch = part.slice(at, BLOCK)
                     if len(known) > REMEMBERED:
-                        known.clear()
+                        known = {}
                     block = np.empty((batch.num_rows, space.project.shape[1]), np.float32)
                     for row, text in zip(block, batch.column("text").to_pylist(), strict=True):
                         ids, values = _weights(_terms(text or "", known), space.idf)
