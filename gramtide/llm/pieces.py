@@ -27,7 +27,7 @@ MARKS = ",.!?;:*#$%&|"
 #: Characters after which the surviving paths are looked at.
 COMMIT_EVERY = 48
 #: Words that a worker remembers, in each of two generations, and their greatest length.
-REMEMBERED, REMEMBERED_LENGTH = 400_000, 40
+REMEMBERED, REMEMBERED_LENGTH = 300_000, 40
 #: Signs up to which a word's steps are taken without the window.
 SHORT = 400
 #: Remembered answers on neighbouring pieces.
