@@ -24,7 +24,7 @@ MAX_WORDS, MAX_GRAMS = 30_000, 10_000
 MAX_LANGUAGES = 50
 LONGEST = 4
 #: Words that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
