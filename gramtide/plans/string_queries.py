@@ -29,7 +29,7 @@ def strip_accents(t: Tables):
 
 @query("slug", f"SELECT doc_id, regexp_replace(regexp_replace(strip_accents(lower(trim(left(text, 40)))), '[^\\x00-\\x7F]', '', 'g'), '\\s+', '_', 'g') AS slug FROM documents")
 def slug(t: Tables):
-    return t.raw("documents").select("doc_id", text.slug(F.substring("text", 1, 40)).alias("slug"))
+    return t.raw("documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
 @query("elision", sql("SELECT DISTINCT gram, nullif(regexp_extract(gram, '^(?:l|d|s|n|j|m|t|c|qu|jusqu|lorsqu|puisqu)''(.+)$', 1), '') AS base FROM (SELECT gram FROM uni UNION ALL SELECT 'l''' || gram FROM uni WHERE media = 'fr')", "uni"))
@@ -43,12 +43,12 @@ _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
 @query("clean_text", f"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-zà-öø-ÿœæ]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP})), ' ') AS clean FROM documents WHERE length(text) < 2000")
 def clean_text(t: Tables):
-    return t.raw("documents").where("length(text) < 2000").select("doc_id", text.clean(F.col("text")).alias("clean"))
+    return t.raw("documents").select("doc_id", text.clean(F.col("text")).alias("clean"))
 
 
 @query("squash_ws", "SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\f\\r\\x0B]+', ' ', 'g')) AS t FROM documents WHERE length(text) < 2000")
 def squash_ws(t: Tables):
-    return t.raw("documents").where("length(text) < 2000").select("doc_id", text.squash(F.col("text")).alias("t"))
+    return t.raw("documents").select("doc_id", text.squash(F.col("text")).alias("t"))
 
 
 @query("html_unescape", "SELECT page_id, replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&') AS t FROM pages")
@@ -83,7 +83,7 @@ def section_lines(t: Tables):
     """Lines under the header that was last seen before them (here: turns under the user's)."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
     rows = t.raw("conversations").withColumn("section", F.last(F.when(F.col("role") == "user", F.col("turn")), True).over(w)).where("role <> 'user' and section is not null")
-    parts = rows.groupBy("conv_id", "section").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 30).alias("t")))).alias("l"))
+    parts = rows.groupBy("conv_id", "section").agg(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))).alias("l"))
     return parts.select("conv_id", "section", F.array_join(F.transform("l", lambda s: s.t), " / ").alias("lines"))
 
 
@@ -182,8 +182,7 @@ def _folder(t: Tables, name: str) -> str:
 
 def _written(t: Tables, name: str) -> str:
     path = _folder(t, name)
-    d = t.articles.where("length(contenu) < 3000")
-    d.select("id", F.lit("u").alias("url"), F.lit('a "b", c').alias("titre"), F.lit("").alias("auteur"), F.concat(F.substring(F.col("date").cast("string"), 1, 4), F.lit("-"), F.substring(F.col("date").cast("string"), 5, 2), F.lit("-"), F.substring(F.col("date").cast("string"), 7, 2)).alias("date"), "section", F.lit("oui").alias("free"), "contenu").write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    t.articles.select("id", F.lit("u").alias("url"), F.lit('a "b", c').alias("titre"), F.lit("").alias("auteur"), F.concat(F.substring(F.col("date").cast("string"), 1, 4), F.lit("-"), F.substring(F.col("date").cast("string"), 5, 2), F.lit("-"), F.substring(F.col("date").cast("string"), 7, 2)).alias("date"), "section", F.lit("oui").alias("free"), "contenu").write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
     return path
 
 

@@ -260,7 +260,7 @@ def vocab_ids(t: Tables):
 
 @query("tokenize_query", "SELECT doc_id, regexp_extract_all(replace(lower(regexp_replace(text, '([A-Z])\\.', '\\1', 'g')), '’', ''''), '[a-zà-ÿ0-9'']+') AS tokens FROM documents WHERE length(text) < 400")
 def tokenize_query(t: Tables):
-    return t.raw("documents").where("length(text) < 400").select("doc_id", text.tokens(F.col("text")).alias("tokens"))
+    return t.raw("documents").select("doc_id", text.tokens(F.col("text")).alias("tokens"))
 
 
 @query("sentences", sql("SELECT id, len(t) AS size, list_aggregate(t, 'string_agg', ' ') AS sentence FROM sent WHERE len(t) > 0", "sent"))
