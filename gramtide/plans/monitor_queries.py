@@ -102,25 +102,20 @@ def success_over_time(t: Tables):
 _INTERVALS = "SELECT media, row_number() OVER (PARTITION BY media ORDER BY ts, event_id) AS batch, ts, event_id, n, a / n AS rate FROM (SELECT media, ts, event_id, greatest(0, ok - lag(ok) OVER w) AS a, greatest(0, ok - lag(ok) OVER w) + greatest(0, bad - lag(bad) OVER w) AS n, lag(ok) OVER w AS o FROM (SELECT * FROM snap WHERE event_id % 20 = 0) WINDOW w AS (PARTITION BY media ORDER BY ts, event_id)) WHERE n > 0 AND o IS NOT NULL"
 
 
-def _polled(t: Tables):
-    """Counters as a poll sees them: every twentieth event's."""
-    return t.snapshots.where("event_id % 20 = 0")
-
-
 @query("interval_rates", sql(f"SELECT media, batch, n::BIGINT AS n, round(rate, 8) AS rate FROM ({_INTERVALS})", "snap"))
 def interval_rates(t: Tables):
-    return monitor.intervals(_polled(t)).select("media", F.col("batch").cast("long").alias("batch"), "n", F.round("rate", 8).alias("rate"))
+    return monitor.intervals(t.snapshots).select("media", F.col("batch").cast("long").alias("batch"), "n", F.round("rate", 8).alias("rate"))
 
 
 @query("control_chart", sql(f"SELECT media, history, round(mean, 8) AS mean, round(sigma, 8) AS sigma, round(rate, 8) AS rate, round(mean - 3 * sigma, 8) AS bound, rate < mean - 3 * sigma AS alert FROM (SELECT media, count(*) FILTER (r > 1) AS history, avg(rate) FILTER (r > 1) AS mean, stddev_samp(rate) FILTER (r > 1) AS sigma, max(rate) FILTER (r = 1) AS rate FROM (SELECT *, row_number() OVER (PARTITION BY media ORDER BY batch DESC) AS r FROM ({_INTERVALS})) GROUP BY media) WHERE history >= 5 AND sigma > 0", "snap"))
 def control_chart(t: Tables):
-    out = monitor.control_chart(monitor.intervals(_polled(t)))
+    out = monitor.control_chart(monitor.intervals(t.snapshots))
     return out.select("media", "history", *[F.round(c, 8).alias(c) for c in ("mean", "sigma", "rate", "bound")], "alert")
 
 
 @query("control_bound", sql(f"SELECT media, round(avg(rate) - 3 * stddev_samp(rate), 8) AS bound FROM ({_INTERVALS}) GROUP BY media", "snap"))
 def control_bound(t: Tables):
-    return monitor.control_bound(monitor.intervals(_polled(t))).withColumn("bound", F.round("bound", 8))
+    return monitor.control_bound(monitor.intervals(t.snapshots)).withColumn("bound", F.round("bound", 8))
 
 
 @query("count_trigger", sql("SELECT media, ts, event_id, step FROM (SELECT *, coalesce(lag(step) OVER (PARTITION BY media ORDER BY ts, event_id), 0) AS old FROM (SELECT *, (ok + bad) // 100 AS step FROM snap)) WHERE step > old", "snap"))
