@@ -12,10 +12,36 @@ def _squared_distance(a: str, b: str):
     return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Vectors of a block of a Gram matrix, about: a pair of blocks meets in one task.
+KERNEL_BLOCK = 512
+
+
 def rbf_gram(df: DataFrame, key: str, vector: str, gamma: float) -> DataFrame:
-    """(i, j, k), i <= j: the kernel of a chosen set of vectors. The result itself has a row for each pair."""
-    v = df.select(F.col(key).alias("i"), F.col(vector).cast("array<double>").alias("a"))
-    return v.join(v.select(F.col("i").alias("j"), F.col("a").alias("b")), F.col("i") <= F.col("j")).select("i", "j", F.exp(-gamma * _squared_distance("a", "b")).alias("k"))
+    """(i, j, k), i <= j: the kernel of all vectors, in pairs of blocks. The result itself has a row for each pair."""
+    v = df.select(F.col(key).alias("i"), F.col(vector).cast("array<double>").alias("a")).where("i is not null")
+    blocks = max(1, -(-v.count() // KERNEL_BLOCK))
+    own = v.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)))
+    met = own.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    kind = v.schema["i"].dataType.simpleString()
+
+    def run(key, df: pd.DataFrame) -> pd.DataFrame:
+        left, right = (df[df["b"] == b] for b in (key[0], key[1]))
+        width = max((len(a) for a in df["a"] if a is not None), default=0)
+        # a null vector has no distance: NaN here, null in the result
+        full = lambda part: [np.full(width, np.nan) if a is None else a for a in part["a"]]
+        x, y, parts = left["i"].to_numpy(), right["i"].to_numpy(), []
+        z = np.array(full(right), float).reshape(len(right), width)
+        for i, a in zip(x, full(left), strict=True):
+            k = np.exp(-gamma * ((z - a) ** 2).sum(1))
+            if key[0] == key[1]:
+                ok = i <= y
+                parts.append(pd.DataFrame({"i": i, "j": y[ok], "k": k[ok]}))
+            else:
+                parts.append(pd.DataFrame({"i": np.minimum(i, y), "j": np.maximum(i, y), "k": k}))
+        return pd.concat(parts) if parts else pd.DataFrame({"i": y[:0], "j": y[:0], "k": []})
+
+    pairs = met.withColumn("p", F.least("b", "o")).withColumn("q", F.greatest("b", "o"))
+    return pairs.groupBy("p", "q").applyInPandas(run, f"i {kind}, j {kind}, k double")
 
 
 def median_distance(df: DataFrame, key: str, vector: str, shift: int) -> DataFrame:

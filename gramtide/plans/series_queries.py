@@ -41,7 +41,7 @@ def moving_avg7(t: Tables):
 
 @query("calendar_fill", sql("SELECT c.mot, c.date, coalesce(b.x, 0)::BIGINT AS x FROM (SELECT mot, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM brand WHERE mot <= 'Brand#2' GROUP BY mot) c LEFT JOIN brand b USING (mot, date)", "brand"))
 def calendar_fill(t: Tables):
-    return series.calendar(t.brands.where("mot <= 'Brand#2'"), values=["x"])
+    return series.calendar(t.brands, values=["x"])
 
 
 @query("block_agg", sql("SELECT mot, block::INT AS block, sum(x)::BIGINT AS x, sum(n_tot)::BIGINT AS n_tot, max(CASE WHEN pos % 7 = 3 THEN date END) AS date FROM (SELECT *, (row_number() OVER (PARTITION BY mot ORDER BY date) - 1) AS pos, pos // 7 AS block FROM bser) GROUP BY mot, block HAVING count(*) = 7", "bser"))
@@ -206,7 +206,7 @@ def windows_long(t: Tables):
 
 @query("windows_array", _wsql("SELECT mot, pos, w FROM (SELECT mot, pos, list(round(f, 6)) OVER (PARTITION BY mot ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS w FROM bgrid WHERE mot < 'Brand#13') WHERE len(w) = 7"))
 def windows_array(t: Tables):
-    out = windows.windows_array(grid(t).where("mot < 'Brand#13'").withColumn("f", r("f")), 3)
+    out = windows.windows_array(grid(t).withColumn("f", r("f")), 3)
     return out.select("mot", F.col("pos").cast("long").alias("pos"), "w")
 
 
@@ -383,10 +383,10 @@ def corr_neighbours(t: Tables):
 
 @query("rbf_gram", "SELECT a.vec_id AS i, b.vec_id AS j, round(exp(-0.05 * list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) AS k FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 60) a, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 60) b WHERE a.vec_id <= b.vec_id")
 def rbf_gram(t: Tables):
-    """Kernel of a small set of vectors (here the first 60 are that set: a Gram matrix has one row for each pair)."""
+    """Kernel of all vectors: the result has one row for each pair."""
     from ..operators import spectral
 
-    return spectral.rbf_gram(t.raw("embeddings").where("vec_id < 60"), "vec_id", "embedding", 0.05).withColumn("k", r("k"))
+    return spectral.rbf_gram(t.raw("embeddings"), "vec_id", "embedding", 0.05).withColumn("k", r("k"))
 
 
 @query("median_distance", "SELECT round(quantile_cont(d, 0.5), 6) AS median, round(1 / (2 * quantile_cont(d, 0.5)), 8) AS gamma FROM (SELECT list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) a JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b ON b.vec_id = a.vec_id + 7)")
@@ -410,7 +410,7 @@ def lrt_poisson(t: Tables):
 @query("share_series", sql("SELECT date, mot, round(x / sum(x) OVER (PARTITION BY date), 8) AS share FROM brand WHERE mot < 'Brand#2'", "brand"))
 def share_series(t: Tables):
     """Share of a word among the words of its family on each day."""
-    return t.brands.where("mot < 'Brand#2'").select("date", "mot", r(F.col("x") / F.sum("x").over(Window.partitionBy("date")), 8).alias("share"))
+    return t.brands.select("date", "mot", r(F.col("x") / F.sum("x").over(Window.partitionBy("date")), 8).alias("share"))
 
 
 @query("fit_poisson", sql("SELECT mot, round(sum(x) / sum(n_tot), 10) AS lam FROM bser GROUP BY mot", "bser"))

@@ -129,7 +129,7 @@ def evolution(t: Tables):
 
 @query("stop_flag", sql(f"SELECT gram, list_bool_and(list_transform(string_split(gram, ' '), lambda w: w IN ({_STOP}) OR regexp_matches(w, '^[0-9]'))) AS stop FROM (SELECT DISTINCT gram FROM bi WHERE media = 'en')", "bi"))
 def stop_flag(t: Tables):
-    return t.bi.where("media = 'en'").select("gram").distinct().withColumn("stop", text.stop_flag(F.split("gram", " ")))
+    return t.bi.select("gram").distinct().withColumn("stop", text.stop_flag(F.split("gram", " ")))
 
 
 @query("vocab_census", sql("SELECT * FROM cens", "cens"))
@@ -244,7 +244,7 @@ def media_bounds(t: Tables):
 @query("decode_tokens", sql("SELECT w1, w2, date, n FROM (SELECT split_part(gram, ' ', 1) AS w1, split_part(gram, ' ', 2) AS w2, date, n FROM bi WHERE media = 'en' AND date = 20240115)", "bi"))
 def decode_tokens(t: Tables):
     """Facts by word id, joined back to their words."""
-    facts = t.bi.where("media = 'en' and date = 20240115").select(F.split_part("gram", F.lit(" "), F.lit(1)).alias("a"), F.split_part("gram", F.lit(" "), F.lit(2)).alias("b"), "date", "n")
+    facts = t.bi.select(F.split_part("gram", F.lit(" "), F.lit(1)).alias("a"), F.split_part("gram", F.lit(" "), F.lit(2)).alias("b"), "date", "n")
     words = facts.select(F.col("a").alias("word")).union(facts.select("b")).distinct()
     ids = vocab.new_ids(t.rows([], "id long, word string"), words)
     coded = facts.join(ids.select(F.col("word").alias("a"), F.col("id").alias("i")), "a").join(ids.select(F.col("word").alias("b"), F.col("id").alias("j")), "b").select("i", "j", "date", "n")
