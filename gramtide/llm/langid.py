@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket, cut, text_slices
+from .common import bucket, cut, sized_join, small_enough, text_slices
 
-#: The model is fitted on at most so many documents, those with the least hash of their id.
+#: Every language is learnt from at most so many of its documents, those with the least hash of their id.
 MAX_TRAIN = 20_000
-#: Words, and n-grams of each length, that the model keeps for each language: the most frequent.
+#: Words, and n-grams of each length, by which each language adds to the model: its most frequent.
 MAX_WORDS, MAX_GRAMS = 30_000, 10_000
-MAX_LANGUAGES = 50
+#: Frequencies (words x languages) that a table of the model holds at most; beyond it, all languages add fewer words.
+MAX_CELLS = 75_000_000
 LONGEST = 4
 #: Words that a worker remembers.
 REMEMBERED = 100_000
@@ -31,35 +32,41 @@ _WORD = re.compile(r"[^\W\d_]+")
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> dict:
     """docs(doc_id, text, lang) -> {langs, words: {word: log frequencies}, grams: [{gram: ...} by length]}.
 
-    Counts are taken by Spark; what reaches the driver is bounded by MAX_WORDS, MAX_GRAMS and MAX_LANGUAGES.
+    Every language with labelled rows is learnt, each from max_train documents at most. A word that is kept for one
+    language has its real count in all. What reaches the driver is bounded by MAX_WORDS, MAX_GRAMS and MAX_CELLS.
     Rows with a null text or lang teach nothing.
     """
     learn = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    chosen = cut(learn.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train).distinct())
-    text = learn.join(F.broadcast(chosen), "doc_id", "left_semi")
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = learn.select("doc_id", "lang").withColumn("place", F.row_number().over(first)).where(F.col("place") <= max_train)
+    chosen = cut(ids.select(F.col("doc_id").alias("taken"), F.col("lang").alias("of")).distinct())
+    chosen = F.broadcast(chosen) if small_enough(chosen, 500_000) else chosen
+    text = learn.join(chosen, F.col("doc_id").eqNullSafe(F.col("taken")) & (F.col("lang") == F.col("of")), "left_semi")
     counted = cut(text.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("gram")).groupBy("lang", "gram").count())
-    langs = [r["lang"] for r in counted.groupBy("lang").agg(F.sum("count").alias("c")).orderBy(F.desc("c"), "lang").limit(MAX_LANGUAGES).collect()]
+    langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
     padded = F.concat(F.lit(" "), F.col("gram"), F.lit(" "))
     pieces = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.length(padded)), lambda i: i + n - 1 <= F.length(padded)), lambda i: F.substring(padded, i, n)))))
-    grams = counted.select("lang", pieces.alias("gram"), "count").groupBy("lang", "gram").agg(F.sum("count").alias("count"))
-    model: dict = {"langs": sorted(langs), "words": {}, "grams": [{} for _ in range(LONGEST + 1)]}
-    at = {v: k for k, v in enumerate(model["langs"])}
-
-    def best(df: DataFrame, key: str, most: int, put) -> None:
-        ranked = df.where(F.col("lang").isin(langs)).withColumn("rank", F.row_number().over(Window.partitionBy("lang", F.expr(key)).orderBy(F.desc("count"), "gram")))
-        found: dict[int, dict[str, np.ndarray]] = {}
-        for r in ranked.where(F.col("rank") <= most).select("lang", "gram", "count").toLocalIterator():
-            found.setdefault(put(r["gram"]), {}).setdefault(r["gram"], np.zeros(len(at)))[at[r["lang"]]] = r["count"]
-        for n, table in found.items():
-            totals = sum(table.values())
-            freqs = {g: np.log((c + 0.5) / (totals + 0.5 * len(table))).astype(np.float32) for g, c in table.items()}
-            if key == "0":
-                model["words"] = freqs
-            else:
-                model["grams"][n] = freqs
-
-    best(counted, "0", MAX_WORDS, lambda g: 0)
-    best(grams, "length(gram)", MAX_GRAMS, len)
+    grams = cut(counted.select("lang", pieces.alias("gram"), "count").groupBy("lang", "gram").agg(F.sum("count").alias("count")))
+    model: dict = {"langs": langs, "words": {}, "grams": [{} for _ in range(LONGEST + 1)]}
+    at = {v: k for k, v in enumerate(langs)}
+
+    def best(df: DataFrame, most: int) -> dict[str, np.ndarray]:
+        ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "gram")))
+        # the kept words by their best rank in any language, so that no language crowds out another
+        ranks = ranked.where(F.col("rank") <= most).groupBy("gram").agg(F.min("rank").alias("rank"))
+        kept = cut(ranks.orderBy("rank", "gram").limit(MAX_CELLS // max(len(at), 1)).select("gram"))
+        rows = sized_join(df, kept, "gram", "left_semi").groupBy("gram").agg(F.collect_list(F.struct("lang", "count")).alias("counts"))
+        found: dict[str, np.ndarray] = {}
+        for r in rows.toLocalIterator():
+            found[r["gram"]] = c = np.zeros(len(at))
+            for lang, n in r["counts"]:
+                c[at[lang]] = n
+        totals = sum(found.values())
+        return {g: np.log((c + 0.5) / (totals + 0.5 * len(found))).astype(np.float32) for g, c in found.items()}
+
+    model["words"] = best(counted, MAX_WORDS)
+    for n in range(1, LONGEST + 1):
+        model["grams"][n] = best(grams.where(F.length("gram") == n), MAX_GRAMS)
     return model
 
 
