@@ -167,7 +167,7 @@ def nms_absorbed(t: Tables):
 
 @query("nms_crosscheck")
 def nms_crosscheck(t: Tables):
-    return peaks.crosscheck(_candidates(t), 3000, 1.3)
+    return peaks.crosscheck(_candidates(t), _days(t), 1.3)
 
 
 @query("nms_slice")
@@ -365,21 +365,28 @@ def hier_clusters(t: Tables):
     return corr.on_matrix(_spearman(t), run, "mot string, cluster long, size long")
 
 
+def _days(t: Tables) -> int:
+    return t.series.select("date").distinct().count()
+
+
 @query("mp_fit")
 def mp_fit(t: Tables):
     """Noise band of the eigenvalues and the values over it."""
+    days = _days(t)
 
     def run(names, c):
         values = np.linalg.eigvalsh(c)[::-1]
-        s2, low, high = corr.fit_noise(values, len(c) / 2499)
+        s2, low, high = corr.fit_noise(values, len(c) / days)
         return pd.DataFrame({"rank": np.arange(1, len(values) + 1), "value": values, "low": low, "high": high, "spike": values > high})
 
     return corr.on_matrix(_spearman(t), run, "rank long, value double, low double, high double, spike boolean")
 
 
 def _denoised(t: Tables) -> DataFrame:
+    days = _days(t)
+
     def run(names, c):
-        d = corr.denoised(c, 2499)
+        d = corr.denoised(c, days)
         i, j = np.triu_indices(len(c), 1)
         return pd.DataFrame({"mot_i": [names[k] for k in i], "mot_j": [names[k] for k in j], "r": c[i, j], "clean": d[i, j]})
 
