@@ -59,10 +59,13 @@ def upper_tail(k, mean, r: float | None = None, terms: int = 100_000) -> np.ndar
             if (term <= 1e-17 * total).all():
                 break
         out[high] = total
-    low = ~high & (k > 0)
-    for i in zip(*np.nonzero(low), strict=True):
-        below = np.arange(int(k[i]))
-        out[i] = max(0.0, 1.0 - np.exp(logp(below, mean[i])).sum())
+    low = np.flatnonzero(~high & (k > 0))
+    low = low[np.argsort(k[low], kind="stable")]
+    x, m, below = k[low], mean[low], np.zeros(len(low))
+    for j in range(int(x[-1]) if len(low) else 0):
+        at = np.searchsorted(x, j, side="right")  # those that still have a term
+        below[at:] += np.exp(logp(np.float64(j), m[at:]))
+    out[low] = np.maximum(0.0, 1.0 - below)
     return np.minimum(out, 1.0).reshape(shape)
 
 
@@ -113,3 +116,23 @@ def nb_quantile(q: float, mean: float, r: float) -> int:
         if term < 1e-300 and k > mean:
             break
     return k
+
+
+def _raised(x, ladder):
+    """(x + 10, the sum of ``ladder`` over x ... x + 9): the recurrences up to where the asymptotic series hold."""
+    x = np.asarray(x, np.float64)
+    return x + 10, sum(ladder(x + k) for k in range(10))
+
+
+def digamma(x) -> np.ndarray:
+    """Derivative of log Gamma for x > 0, by recurrence and its asymptotic series (Bernoulli numbers)."""
+    y, below = _raised(x, lambda v: 1 / v)
+    z = 1 / y**2
+    return np.log(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z / 132)))) - below
+
+
+def trigamma(x) -> np.ndarray:
+    """Second derivative of log Gamma for x > 0."""
+    y, below = _raised(x, lambda v: 1 / v**2)
+    z = 1 / y**2
+    return 1 / y + z / 2 + z / y * (1 / 6 - z * (1 / 30 - z * (1 / 42 - z * (1 / 30 - z * 5 / 66)))) + below

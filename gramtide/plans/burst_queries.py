@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..operators import corr, peaks, series, spectral, vocab, windows
+from ..operators.lineage import cut, sized_join
 from .registry import query, sql
 from .series_queries import _spearman, array_windows, long_windows
 from .tables import Tables
@@ -34,11 +35,7 @@ for _name, _law, _rounds in (("fit_nb", "nb", 1), ("fit_bnb", "bnb", 1), ("fit_b
 @query("fit_iterated")
 def fit_iterated(t: Tables):
     """Rounds until no more days leave, for three limits of the obvious."""
-    out = None
-    for limit in (1e-5, 1e-6, 1e-7):
-        rows = peaks.iterated(words(t), obvious=limit).withColumn("limit", F.lit(limit))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return peaks.iterated(words(t), limits=(1e-5, 1e-6, 1e-7))
 
 
 for _name, _law in (("pvalues_nb", "nb"), ("pvalues_bnb", "bnb")):
@@ -85,6 +82,18 @@ def spike_threshold(t: Tables):
     return peaks.rolling_spikes(words(t), (1,)).groupBy("mot").agg(F.count("*").alias("spikes"), F.max("threshold").alias("threshold"))
 
 
+@query("spike_threshold_bnb")
+def spike_threshold_bnb(t: Tables):
+    """The threshold under the hurdle law: p0 is used up first, what is left of q is asked of the active days' law."""
+    return peaks.rolling_spikes(words(t), (1,), law="bnb").groupBy("mot").agg(F.count("*").alias("spikes"), F.max("threshold").alias("threshold"))
+
+
+@query("break_scan")
+def break_scan(t: Tables):
+    """Breaks of each word's rate by binary segmentation; those that hold when all dates are tested together."""
+    return peaks.benjamini_hochberg(peaks.breaks(t.series, 6.0), "p").withColumn("lrt", F.round("lrt", 6))
+
+
 @query("spikes_rolling")
 def spikes_rolling(t: Tables):
     return peaks.rolling_spikes(words(t))
@@ -99,11 +108,7 @@ def gof_kept(t: Tables):
 
 @query("law_compare")
 def law_compare(t: Tables):
-    out = None
-    for law in peaks.LAWS:
-        rows = peaks.fits(words(t), law).select("mot", "law", "chi2", "dof", "ratio", "p_gof", "error")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return peaks.fits(words(t), peaks.LAWS).select("mot", "law", "chi2", "dof", "ratio", "p_gof", "error")
 
 
 @query("report_stats")
@@ -123,10 +128,8 @@ def report_peaks(t: Tables):
 @query("word_sheet")
 def word_sheet(t: Tables):
     """One JSON sheet for each word: fits, peaks, a density of at most 800 points, moments."""
-    fit = law_compare(t).groupBy("mot").agg(F.array_sort(F.collect_list(F.struct("law", "chi2", "dof", "ratio", "p_gof"))).alias("fits"))
-    peak = found(t).groupBy("mot").agg(F.array_sort(F.collect_list(F.struct("date", "x", "p"))).alias("peaks"))
-    curve = peaks.mixture_density(words(t), "bnb").groupBy("mot").agg(F.array_sort(F.collect_list(F.struct("k", "p"))).alias("density"))
-    rows = fit.join(series.moments(words(t), "x"), "mot").join(peak, "mot", "left").join(curve, "mot", "left")
+    s = words(t)
+    rows = series.moments(s, "x").join(peaks.sheets(s), "mot")
     return rows.select("mot", F.to_json(F.struct("fits", "peaks", "density", "mean", "std", "var_mean", "skew", "kurt")).alias("sheet"))
 
 
@@ -134,78 +137,116 @@ def word_sheet(t: Tables):
 
 
 def _candidates(t: Tables) -> DataFrame:
-    """Peaks of the dense brand series by Poisson p-values: many, so that neighbours compete."""
-    return peaks.daily_pvalues(t.series, "poisson", 1, 0.05)
-
-
-_NMS = sql(
-    "\x00",
-    "bser",
-).replace(
-    "\x00",
-    f""", q AS (SELECT *, row_number() OVER (PARTITION BY mot ORDER BY date) - 1 AS pos FROM ({_poisson("bser")})),
-    pk AS (SELECT mot, pos, row_number() OVER (PARTITION BY mot ORDER BY round(-log10(greatest(p, 1e-300)), 9) DESC, pos) AS rk FROM q WHERE p < 0.05),
-    walk AS (SELECT mot, 0::BIGINT AS i, []::BIGINT[] AS kept FROM (SELECT DISTINCT mot FROM pk)
-        UNION ALL
-        SELECT w.mot, w.i + 1, CASE WHEN len(list_filter(w.kept, lambda k: abs(k - p.pos) < 31)) > 0 THEN w.kept ELSE list_append(w.kept, p.pos) END
-        FROM walk w JOIN pk p ON p.mot = w.mot AND p.rk = w.i + 1)
-    SELECT mot, unnest(kept) AS pos FROM (SELECT mot, arg_max(kept, i) AS kept FROM walk GROUP BY mot)""",
-).replace("WITH ", "WITH RECURSIVE ", 1)
-
-
-@query("nms", _NMS)
+    """Peaks of the dense brand series by Poisson p-values: many, so that neighbours compete. Made once for a query."""
+    return t.once("candidates", lambda: cut(peaks.daily_pvalues(t.series, "poisson", 1, 0.05).withColumn("surprise", F.round("surprise", 9))))
+
+
+def _chosen(*plans: tuple[str, float, int]) -> str:
+    """CTEs of the greedy choice by SQL: for each (name, threshold, reach) the tables name_pk, all peaks with their
+    turn, and name, the positions that stay with their turns."""
+    out = [f"q AS (SELECT *, row_number() OVER (PARTITION BY mot ORDER BY date) - 1 AS pos, 1e5 * x / nullif(n_tot, 0) AS f, round(-log10(greatest(p, 1e-300)), 9) AS surprise FROM ({_poisson('bser')}))"]
+    for name, threshold, reach in plans:
+        out += [
+            f"{name}_pk AS (SELECT *, row_number() OVER (PARTITION BY mot ORDER BY surprise DESC, pos) AS rk FROM q WHERE p < 0.05 AND surprise >= {threshold})",
+            f"""{name}_walk AS (SELECT mot, 0::BIGINT AS i, []::BIGINT[] AS kept FROM (SELECT DISTINCT mot FROM {name}_pk)
+                UNION ALL
+                SELECT w.mot, w.i + 1, CASE WHEN len(list_filter(w.kept, lambda k: abs(k - p.pos) < {reach})) > 0 THEN w.kept ELSE list_append(w.kept, p.pos) END
+                FROM {name}_walk w JOIN {name}_pk p ON p.mot = w.mot AND p.rk = w.i + 1)""",
+            f"{name} AS (SELECT k.mot, k.pos, p.rk FROM (SELECT mot, unnest(kept) AS pos FROM (SELECT mot, arg_max(kept, i) AS kept FROM {name}_walk GROUP BY mot)) k JOIN {name}_pk p ON p.mot = k.mot AND p.pos = k.pos)",
+        ]
+    return ", " + ",\n".join(out) + "\n"
+
+
+def _chosen_sql(body: str, *plans: tuple[str, float, int]) -> str:
+    return sql("\0", "bser").replace("\0", _chosen(*plans) + body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_ABSORBED = "(SELECT mot, owner AS pos, count(*) AS absorbed FROM (SELECT p.mot, p.pos, arg_min(k.pos, k.rk) AS owner FROM a_pk p JOIN a k ON k.mot = p.mot AND abs(k.pos - p.pos) < 31 GROUP BY p.mot, p.pos) WHERE owner <> pos GROUP BY ALL)"
+
+
+@query("nms", _chosen_sql("SELECT mot, pos FROM a", ("a", 0, 31)))
 def nms(t: Tables):
-    ranked = _candidates(t).withColumn("surprise", F.round("surprise", 9))
-    return peaks.nms(ranked).select("mot", "pos")
+    return peaks.nms(_candidates(t)).select("mot", "pos")
 
 
-@query("nms_absorbed")
+@query("nms_absorbed", _chosen_sql(f"SELECT k.mot, p.date, k.pos, p.x, p.n_tot, round(p.f, 6) AS f, round(p.surprise, 6) AS surprise, coalesce(o.absorbed, 0) AS absorbed FROM a k JOIN a_pk p USING (mot, pos) LEFT JOIN {_ABSORBED} o USING (mot, pos)", ("a", 0, 31)))
 def nms_absorbed(t: Tables):
     """The kept peaks with what each took in."""
-    return peaks.nms(_candidates(t))
+    return peaks.nms(_candidates(t)).select("mot", "date", "pos", "x", "n_tot", F.round("f", 6).alias("f"), F.round("surprise", 6).alias("surprise"), "absorbed")
 
 
 @query("nms_crosscheck")
 def nms_crosscheck(t: Tables):
-    return peaks.crosscheck(_candidates(t), _days(t), 1.3)
+    """Surprise has two decimals here, so that there are ties and stretches of one height, where the methods differ."""
+    return peaks.crosscheck(_candidates(t).withColumn("surprise", F.round("surprise", 2)), 1.3)
+
 
+_SLICE = "date BETWEEN DATE '1995-01-01' AND DATE '1995-12-31' AND mot = 'Brand#13'"
 
-@query("nms_slice")
+
+@query("nms_slice", _chosen_sql(f"SELECT date, round(f, 6) AS f, round(surprise, 6) AS surprise, 'all' AS stage FROM a_pk WHERE {_SLICE} UNION ALL SELECT date, round(f, 6), round(surprise, 6), 'kept' FROM a_pk JOIN a USING (mot, pos) WHERE {_SLICE}", ("a", 0, 31)))
 def nms_slice(t: Tables):
     """One word and period before and after the choice."""
-    part = lambda df: df.where("mot = 'Brand#13' and date between date'1995-01-01' and date'1995-12-31'").select("date", "f", "surprise")
-    return part(_candidates(t)).withColumn("stage", F.lit("all")).unionByName(part(peaks.nms(_candidates(t))).withColumn("stage", F.lit("kept")))
+    stages = {"all": _candidates(t), "kept": peaks.nms(_candidates(t).where("mot = 'Brand#13'"))}
+    part = lambda name: stages[name].where(_SLICE).select("date", F.round("f", 6).alias("f"), F.round("surprise", 6).alias("surprise"), F.lit(name).alias("stage"))
+    return part("all").unionByName(part("kept"))
+
 
+_GRID = [(threshold, half) for threshold in (1.3, 2.0, 3.0) for half in (7, 15)]
+_FITS_IN = "(SELECT mot, max(pos) AS last FROM q GROUP BY mot)"
 
-@query("window_counts")
+
+def _whole(kept: DataFrame, days: DataFrame, half: int) -> DataFrame:
+    """Peaks whose window lies within the series."""
+    return sized_join(kept, days, "mot").where((F.col("pos") - half >= 0) & (F.col("pos") + half < F.col("days")))
+
+
+def _lengths(t: Tables) -> DataFrame:
+    return t.once("lengths", lambda: cut(t.series.groupBy("mot").agg(F.count("*").alias("days"))))
+
+
+@query("window_counts", _chosen_sql(" UNION ALL ".join(f"SELECT {threshold}::DOUBLE AS threshold, {half} AS half, count(*) AS windows, count(*) * count(*) AS cells FROM w{k} JOIN {_FITS_IN} USING (mot) WHERE pos - {half} >= 0 AND pos + {half} <= last" for k, (threshold, half) in enumerate(_GRID)), *((f"w{k}", threshold, 2 * half + 1) for k, (threshold, half) in enumerate(_GRID))))
 def window_counts(t: Tables):
     """Windows, and cells of their kernel, by threshold and half width."""
-    out, last = None, t.series.groupBy("mot").agg(F.count("*").alias("days"))
-    for threshold in (1.3, 2.0, 3.0):
-        for half in (7, 15):
-            kept = peaks.nms(_candidates(t).where(F.col("surprise") >= threshold), 2 * half + 1).join(F.broadcast(last), "mot")
-            full = kept.where((F.col("pos") - half >= 0) & (F.col("pos") + half < F.col("days")))
-            rows = full.agg(F.count("*").alias("windows")).select(F.lit(threshold).alias("threshold"), F.lit(half).alias("half"), "windows", (F.col("windows") * F.col("windows")).alias("cells"))
-            out = rows if out is None else out.unionByName(rows)
+    out = None
+    for threshold, half in _GRID:
+        whole = _whole(peaks.nms(_candidates(t).where(F.col("surprise") >= threshold), 2 * half + 1), _lengths(t), half)
+        rows = whole.agg(F.count("*").alias("windows")).select(F.lit(threshold).alias("threshold"), F.lit(half).alias("half"), "windows", (F.col("windows") * F.col("windows")).alias("cells"))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
 # the chain of one configuration
 
 
+def _grid(t: Tables) -> DataFrame:
+    """(mot, pos, n_tot, f) of the whole series, made once for a query."""
+    place = F.row_number().over(Window.partitionBy("mot").orderBy("date")) - 1
+    return t.once("grid", lambda: cut(t.series.select("mot", "n_tot", series.freq(F.col("x"), F.col("n_tot")).alias("f"), place.alias("pos"))))
+
+
 def chain(t: Tables, threshold: float, half: int, floor: int, log: bool = False) -> dict[str, DataFrame]:
-    """Threshold -> choice -> windows -> thin days -> (log) -> z-scores, with every stage's rows."""
-    grid = t.series.select("mot", "n_tot", series.freq(F.col("x"), F.col("n_tot")).alias("f"), (F.row_number().over(Window.partitionBy("mot").orderBy("date")) - 1).alias("pos"))
+    """Threshold -> choice -> windows -> thin days -> (log) -> z-scores, with every stage's rows. Made once for a query."""
+    return t.once(("chain", threshold, half, floor, log), lambda: _chain(t, threshold, half, floor, log))
+
+
+def _chain(t: Tables, threshold: float, half: int, floor: int, log: bool) -> dict[str, DataFrame]:
     above = _candidates(t).where(F.col("surprise") >= threshold)
-    kept = peaks.nms(above, 2 * half + 1)
-    long = windows.windows_long(kept.select("mot", "pos"), grid, half)
-    long = long.withColumn("pos", F.col("centre") + F.col("j")).join(grid.select("mot", "pos", "n_tot"), ["mot", "pos"]).drop("pos")
+    kept = cut(peaks.nms(above, 2 * half + 1).select("mot", "pos"))
+    # each day of a window is looked up once, with its exposure
+    days = kept.select("mot", F.col("pos").alias("centre"), F.explode(F.sequence(F.lit(-half), F.lit(half))).alias("j")).withColumn("pos", F.col("centre") + F.col("j"))
+    long = _whole_windows(days.join(_grid(t), ["mot", "pos"]).drop("pos"), half)
     clean = windows.interpolate_thin(long, floor)
     clean = clean.withColumn("f", F.log1p("f")) if log else clean
-    arrays = clean.groupBy("mot", "centre").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "f"))), lambda s: s.f).alias("w"))
+    arrays = cut(clean.groupBy("mot", "centre").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "f"))), lambda s: s.f).alias("w")))
     return {"above": above, "kept": kept, "windows": long.select("mot", "centre").distinct(), "clean": arrays, "z": windows.z_scores(arrays)}
 
 
+def _whole_windows(long: DataFrame, half: int) -> DataFrame:
+    """Windows that the edge of the grid doesn't cut."""
+    return long.withColumn("n", F.count("*").over(Window.partitionBy("mot", "centre"))).where(F.col("n") == 2 * half + 1).drop("n")
+
+
 @query("stage_counts")
 def stage_counts(t: Tables):
     out = None
@@ -236,15 +277,26 @@ def campaign_row(t: Tables):
     return out
 
 
+def check_configs(t: Tables, configs: tuple, expected: DataFrame) -> DataFrame:
+    """expected(config, expected), the registry of window counts -> (config, got, expected, ok): what the chains give
+    against it. A configuration that the registry doesn't know is not ok."""
+    out = None
+    for name, threshold, half, floor, log in configs:
+        rows = chain(t, threshold, half, floor, log)["z"].agg(F.count("*").alias("got")).withColumn("config", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return sized_join(out, expected, "config", "left").withColumn("ok", F.coalesce(F.col("got") == F.col("expected"), F.lit(False)))
+
+
 @query("config_check")
 def config_check(t: Tables):
-    """Windows of each configuration against the number that its two nulls must keep."""
+    """Windows that each chain gives, against a registry made from positions alone: kept peaks whose window lies within
+    the grid and whose centre isn't thin. Windows that get lost, or come twice, on the way are not ok."""
     out = None
-    for name, threshold, half, floor, log in CONFIGS:
-        z = chain(t, threshold, half, floor, log)["z"]
-        rows = z.agg(F.count("*").alias("got")).crossJoin(spectral.rotated(z, ["mot", "centre"], "w", 2).agg(F.count("*").alias("expected"))).withColumn("config", F.lit(name))
+    for name, threshold, half, floor, _ in CONFIGS:
+        kept = peaks.nms(_candidates(t).where(F.col("surprise") >= threshold), 2 * half + 1)
+        rows = _whole(kept, _lengths(t), half).where(F.col("n_tot") >= floor).agg(F.count("*").alias("expected")).withColumn("config", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("ok", F.col("got") == F.col("expected"))
+    return check_configs(t, CONFIGS, out)
 
 
 @query("compare_configs")
@@ -319,10 +371,11 @@ def reconstruction(t: Tables):
 
 @query("event_plane")
 def event_plane(t: Tables):
-    """Place of each word's strongest window on the first two components."""
-    p = pca_projections(t).withColumn("size", F.sqrt(F.aggregate("proj", F.lit(0.0), lambda s, x: s + x * x)))
-    best = p.groupBy("mot").agg(F.max_by(F.struct("centre", "proj"), F.struct("size", "centre")).alias("s"))
-    return best.select("mot", "s.centre", F.col("s.proj")[0].alias("c1"), F.col("s.proj")[1].alias("c2"))
+    """Place of each word's most surprising window on the first two components; the earliest of equals."""
+    surprise = peaks.daily_pvalues(t.series, "poisson").select("mot", F.col("pos").alias("centre"), F.round("surprise", 9).alias("surprise"))
+    p = pca_projections(t).join(surprise, ["mot", "centre"])
+    best = p.groupBy("mot").agg(F.max_by(F.struct("centre", "proj", "surprise"), F.struct("surprise", -F.col("centre"))).alias("s"))
+    return best.select("mot", "s.centre", "s.surprise", F.col("s.proj")[0].alias("c1"), F.col("s.proj")[1].alias("c2"))
 
 
 # kernels
@@ -346,6 +399,14 @@ def kernel_grid(t: Tables):
     return cum.groupBy("gamma").agg(F.min(F.when(F.col("cum") >= 0.5, F.col("rank"))).alias("k50"), F.min(F.when(F.col("cum") >= 0.9, F.col("rank"))).alias("k90"), F.max("n").alias("n"))
 
 
+@query("kernel_summary")
+def kernel_summary(t: Tables):
+    """One row for each number of components, one column for each width: the shares that they hold together."""
+    spectra = spectral.kernel_spectra(t.raw("embeddings"), "embedding", [0.5 * f for f in (0.1, 0.3, 1.0, 3.0)], 10)
+    cum = spectra.withColumn("cum", F.sum("share").over(Window.partitionBy("gamma").orderBy("rank")))
+    return cum.where(F.col("rank").isin(1, 3, 6, 10)).groupBy("rank").pivot("gamma", [0.05, 0.15, 0.5, 1.5]).agg(F.round(F.first("cum"), 9))
+
+
 @query("kernel_pitfall")
 def kernel_pitfall(t: Tables):
     """Shares against the full trace and, wrongly, against the sum of the first 30 values."""

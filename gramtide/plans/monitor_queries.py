@@ -99,7 +99,7 @@ def success_over_time(t: Tables):
     return t.snapshots.where(F.col("media").isin("click", "view")).select("media", "ts", "event_id", monitor.percent(F.col("ok"), F.col("ok") + F.col("bad")).alias("pct"))
 
 
-_INTERVALS = "SELECT media, row_number() OVER (PARTITION BY media ORDER BY ts, event_id) AS batch, ts, event_id, n, a / n AS rate FROM (SELECT media, ts, event_id, greatest(0, ok - lag(ok) OVER w) AS a, greatest(0, ok - lag(ok) OVER w) + greatest(0, bad - lag(bad) OVER w) AS n, lag(ok) OVER w AS o FROM (SELECT * FROM snap WHERE event_id % 20 = 0) WINDOW w AS (PARTITION BY media ORDER BY ts, event_id)) WHERE n > 0 AND o IS NOT NULL"
+_INTERVALS = "SELECT media, row_number() OVER (PARTITION BY media ORDER BY ts, event_id) AS batch, ts, event_id, n, a / n AS rate FROM (SELECT media, ts, event_id, greatest(0, ok - lag(ok) OVER w) AS a, greatest(0, ok - lag(ok) OVER w) + greatest(0, bad - lag(bad) OVER w) AS n, lag(ok) OVER w AS o FROM snap WINDOW w AS (PARTITION BY media ORDER BY ts, event_id)) WHERE n > 0 AND o IS NOT NULL"
 
 
 @query("interval_rates", sql(f"SELECT media, batch, n::BIGINT AS n, round(rate, 8) AS rate FROM ({_INTERVALS})", "snap"))

@@ -13,7 +13,7 @@ ORACLE: dict[str, str] = {}
 
 #: Common table expressions of the oracles: name -> (names it needs, SQL).
 CTE: dict[str, tuple[tuple[str, ...], str]] = {
-    "articles": ((), "SELECT doc_id AS id, lang AS media, source AS section, text AS contenu, CAST(strftime(DATE '2024-01-01' + (doc_id % 120)::INT, '%Y%m%d') AS INT) AS date FROM documents WHERE lang IS NOT NULL"),
+    "articles": ((), "SELECT doc_id AS id, coalesce(lang, 'unknown') AS media, source AS section, text AS contenu, CAST(strftime(DATE '2024-01-01' + (doc_id % 120)::INT, '%Y%m%d') AS INT) AS date FROM documents"),
     "sent": (("articles",), "SELECT id, media, date, regexp_extract_all(s, '[a-zà-ÿ0-9'']+') AS t FROM (SELECT id, media, date, unnest(string_split_regex(replace(lower(regexp_replace(contenu, '([A-Z])\\.', '\\1', 'g')), '’', ''''), '[!\"#$%&()*+,./:;<=>?@\\[\\\\\\]^_`{|}~\\n]')) AS s FROM articles)"),
     "uni": (("sent",), "SELECT media, date, gram, count(*) AS n FROM (SELECT media, date, unnest(t) AS gram FROM sent) GROUP BY ALL"),
     "bi": (("sent",), "SELECT media, date, gram, count(*) AS n FROM (SELECT media, date, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS gram FROM sent) GROUP BY ALL"),

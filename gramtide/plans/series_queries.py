@@ -39,7 +39,7 @@ def moving_avg7(t: Tables):
     return series.moving_average(t.series, "x").select("mot", "date", r("avg").alias("avg"))
 
 
-@query("calendar_fill", sql("SELECT c.mot, c.date, coalesce(b.x, 0)::BIGINT AS x FROM (SELECT mot, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM brand WHERE mot <= 'Brand#2' GROUP BY mot) c LEFT JOIN brand b USING (mot, date)", "brand"))
+@query("calendar_fill", sql("SELECT c.mot, c.date, coalesce(b.x, 0)::BIGINT AS x FROM (SELECT mot, unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM brand GROUP BY mot) c LEFT JOIN brand b USING (mot, date)", "brand"))
 def calendar_fill(t: Tables):
     return series.calendar(t.brands, values=["x"])
 
@@ -204,7 +204,7 @@ def windows_long(t: Tables):
     return long_windows(t).select("mot", "centre", F.col("j").cast("long").alias("j"), r("f").alias("f"))
 
 
-@query("windows_array", _wsql("SELECT mot, pos, w FROM (SELECT mot, pos, list(round(f, 6)) OVER (PARTITION BY mot ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS w FROM bgrid WHERE mot < 'Brand#13') WHERE len(w) = 7"))
+@query("windows_array", _wsql("SELECT mot, pos, w FROM (SELECT mot, pos, list(round(f, 6)) OVER (PARTITION BY mot ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS w FROM bgrid) WHERE len(w) = 7"))
 def windows_array(t: Tables):
     out = windows.windows_array(grid(t).withColumn("f", r("f")), 3)
     return out.select("mot", F.col("pos").cast("long").alias("pos"), "w")
@@ -381,7 +381,7 @@ def corr_neighbours(t: Tables):
     return both.withColumn("rank", F.row_number().over(w)).where("rank <= 5").withColumn("r", r("r"))
 
 
-@query("rbf_gram", "SELECT a.vec_id AS i, b.vec_id AS j, round(exp(-0.05 * list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) AS k FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 60) a, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 60) b WHERE a.vec_id <= b.vec_id")
+@query("rbf_gram", "SELECT a.vec_id AS i, b.vec_id AS j, round(exp(-0.05 * list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) AS k FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) a, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b WHERE a.vec_id <= b.vec_id")
 def rbf_gram(t: Tables):
     """Kernel of all vectors: the result has one row for each pair."""
     from ..operators import spectral
@@ -407,7 +407,7 @@ def lrt_poisson(t: Tables):
     return s.select("mot", r(2 * (part(x0, n0) + part(x1, n1) - part(x0 + x1, n0 + n1))).alias("lrt"))
 
 
-@query("share_series", sql("SELECT date, mot, round(x / sum(x) OVER (PARTITION BY date), 8) AS share FROM brand WHERE mot < 'Brand#2'", "brand"))
+@query("share_series", sql("SELECT date, mot, round(x / sum(x) OVER (PARTITION BY date), 8) AS share FROM brand", "brand"))
 def share_series(t: Tables):
     """Share of a word among the words of its family on each day."""
     return t.brands.select("date", "mot", r(F.col("x") / F.sum("x").over(Window.partitionBy("date")), 8).alias("share"))

@@ -27,7 +27,7 @@ def strip_accents(t: Tables):
     return _words(t).select("gram", text.strip_accents(F.col("gram")).alias("bare"))
 
 
-@query("slug", f"SELECT doc_id, regexp_replace(regexp_replace(strip_accents(lower(trim(left(text, 40)))), '[^\\x00-\\x7F]', '', 'g'), '\\s+', '_', 'g') AS slug FROM documents")
+@query("slug", f"SELECT doc_id, regexp_replace(regexp_replace(strip_accents(lower(trim(text))), '[^\\x00-\\x7F]', '', 'g'), '\\s+', '_', 'g') AS slug FROM documents")
 def slug(t: Tables):
     return t.raw("documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
@@ -41,12 +41,12 @@ def elision(t: Tables):
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 
 
-@query("clean_text", f"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-zà-öø-ÿœæ]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP})), ' ') AS clean FROM documents WHERE length(text) < 2000")
+@query("clean_text", f"SELECT doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[a-zà-öø-ÿœæ]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP})), ' ') AS clean FROM documents")
 def clean_text(t: Tables):
     return t.raw("documents").select("doc_id", text.clean(F.col("text")).alias("clean"))
 
 
-@query("squash_ws", "SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\f\\r\\x0B]+', ' ', 'g')) AS t FROM documents WHERE length(text) < 2000")
+@query("squash_ws", "SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\f\\r\\x0B]+', ' ', 'g')) AS t FROM documents")
 def squash_ws(t: Tables):
     return t.raw("documents").select("doc_id", text.squash(F.col("text")).alias("t"))
 
@@ -78,7 +78,7 @@ def html_links(t: Tables):
     return t.raw("pages").select("page_id", F.explode(markup.links(F.col("html"), "^/[a-z]")).alias("link"))
 
 
-@query("section_lines", "SELECT conv_id, section, string_agg(text, ' / ' ORDER BY turn) AS lines FROM (SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM (SELECT conv_id, turn, role, left(text, 30) AS text FROM conversations)) WHERE role <> 'user' AND section IS NOT NULL GROUP BY ALL")
+@query("section_lines", "SELECT conv_id, section, string_agg(text, ' / ' ORDER BY turn) AS lines FROM (SELECT *, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM (SELECT conv_id, turn, role, text FROM conversations)) WHERE role <> 'user' AND section IS NOT NULL GROUP BY ALL")
 def section_lines(t: Tables):
     """Lines under the header that was last seen before them (here: turns under the user's)."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
@@ -186,7 +186,7 @@ def _written(t: Tables, name: str) -> str:
     return path
 
 
-@query("scan_articles", sql("SELECT date, count(*) AS n, sum(length(contenu))::BIGINT AS chars FROM articles WHERE length(contenu) < 3000 GROUP BY date", "articles"))
+@query("scan_articles", sql("SELECT date, count(*) AS n, sum(length(contenu))::BIGINT AS chars FROM articles WHERE contenu <> '' GROUP BY date", "articles"))
 def scan_articles(t: Tables):
     rows = readers.normalised("plain", readers.articles_csv(t.spark, _written(t, "scan")))
     return rows.groupBy("date").agg(F.count("*").alias("n"), F.sum(F.length("txt")).alias("chars"))
@@ -216,11 +216,11 @@ def normalize_articles(t: Tables):
     return out.groupBy("kind", F.col("date").cast("long").alias("date")).agg(F.count("*").alias("n"), F.sum(F.length("txt")).alias("chars"))
 
 
-@query("parquet_roundtrip", "SELECT doc_id, lang, source, n_chars FROM documents")
+@query("parquet_roundtrip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def parquet_roundtrip(t: Tables):
     path = _folder(t, "parquet")
     t.raw("documents").write.parquet(path)
-    return t.spark.read.parquet(path).select("doc_id", "lang", "source", "n_chars")
+    return t.spark.read.parquet(path).select("doc_id", "text", "lang", "source", "n_chars")
 
 
 @query("ngram_store", sql("SELECT media, date, n FROM uni WHERE gram = 'de'", "uni"))

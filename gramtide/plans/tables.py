@@ -17,6 +17,13 @@ DEAL_BYTES = 1 << 22
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._made: dict = {}
+
+    def once(self, name, make):
+        """What ``make`` gives, made at the first call for the name."""
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -26,10 +33,10 @@ class Tables:
 
     @cached_property
     def articles(self) -> DataFrame:
-        """(id, media, section, date, contenu): languages as media, sources as sections, 120 days."""
-        d = self.raw("documents").where("lang is not null")
+        """(id, media, section, date, contenu): languages as media (null: ``unknown``), sources as sections, 120 days."""
+        d = self.raw("documents")
         day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 120).cast("int"))
-        return d.select(F.col("doc_id").alias("id"), F.col("lang").alias("media"), F.col("source").alias("section"), dates.day_number(day).alias("date"), F.col("text").alias("contenu"))
+        return d.select(F.col("doc_id").alias("id"), F.coalesce("lang", F.lit("unknown")).alias("media"), F.col("source").alias("section"), dates.day_number(day).alias("date"), F.col("text").alias("contenu"))
 
     @cached_property
     def dealt(self) -> DataFrame:

@@ -109,7 +109,7 @@ def _top(resolution: str, expr: str, k: int) -> str:
 
 
 for _name, _resolution, _expr in (("top_day", "day", "date"), ("top_month", "month", "date // 100"), ("top_year", "year", "date // 10000")):
-    query(_name, sql(_top(_resolution, _expr, 500 if _resolution != "day" else 50), "uni"))(lambda t, r=_resolution: ngrams.top(t.uni, r, 50 if r == "day" else 500))
+    query(_name, sql(_top(_resolution, _expr, 500), "uni"))(lambda t, r=_resolution: ngrams.top(t.uni, r, 500))
 
 
 @query("top_query", sql("SELECT gram, n FROM (" + _top("month", "date // 100", 500) + ") WHERE media = 'en' AND period = 202402 AND NOT stop ORDER BY rank LIMIT 10", "uni"))
@@ -127,7 +127,7 @@ def evolution(t: Tables):
     return out.select("way", "gram", *[F.round(c, 6).alias(c) for c in ("before", "after", "delta")])
 
 
-@query("stop_flag", sql(f"SELECT gram, list_bool_and(list_transform(string_split(gram, ' '), lambda w: w IN ({_STOP}) OR regexp_matches(w, '^[0-9]'))) AS stop FROM (SELECT DISTINCT gram FROM bi WHERE media = 'en')", "bi"))
+@query("stop_flag", sql(f"SELECT gram, list_bool_and(list_transform(string_split(gram, ' '), lambda w: w IN ({_STOP}) OR regexp_matches(w, '^[0-9]'))) AS stop FROM (SELECT DISTINCT gram FROM bi)", "bi"))
 def stop_flag(t: Tables):
     return t.bi.select("gram").distinct().withColumn("stop", text.stop_flag(F.split("gram", " ")))
 
@@ -241,7 +241,7 @@ def media_bounds(t: Tables):
     return t.totals.where("date between 20240110 and 20240420").groupBy("media").agg(F.min("date").alias("first"), F.max("date").alias("last"))
 
 
-@query("decode_tokens", sql("SELECT w1, w2, date, n FROM (SELECT split_part(gram, ' ', 1) AS w1, split_part(gram, ' ', 2) AS w2, date, n FROM bi WHERE media = 'en' AND date = 20240115)", "bi"))
+@query("decode_tokens", sql("SELECT w1, w2, date, n FROM (SELECT split_part(gram, ' ', 1) AS w1, split_part(gram, ' ', 2) AS w2, date, n FROM bi)", "bi"))
 def decode_tokens(t: Tables):
     """Facts by word id, joined back to their words."""
     facts = t.bi.select(F.split_part("gram", F.lit(" "), F.lit(1)).alias("a"), F.split_part("gram", F.lit(" "), F.lit(2)).alias("b"), "date", "n")
@@ -258,7 +258,7 @@ def vocab_ids(t: Tables):
     return vocab.new_ids(known, t.uni.where("media = 'fr'").select(F.col("gram").alias("word")))
 
 
-@query("tokenize_query", "SELECT doc_id, regexp_extract_all(replace(lower(regexp_replace(text, '([A-Z])\\.', '\\1', 'g')), '’', ''''), '[a-zà-ÿ0-9'']+') AS tokens FROM documents WHERE length(text) < 400")
+@query("tokenize_query", "SELECT doc_id, regexp_extract_all(replace(lower(regexp_replace(text, '([A-Z])\\.', '\\1', 'g')), '’', ''''), '[a-zà-ÿ0-9'']+') AS tokens FROM documents")
 def tokenize_query(t: Tables):
     return t.raw("documents").select("doc_id", text.tokens(F.col("text")).alias("tokens"))
 

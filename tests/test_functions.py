@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gramtide.functions import dates, markup, specfun, text
-from gramtide.operators import corr, monitor, ngrams, peaks, series, spectral, urls, vocab, windows
+from gramtide.operators import corr, laws, monitor, ngrams, peaks, series, spectral, urls, vocab, windows
 from gramtide.streaming import incremental
 
 
@@ -78,7 +78,7 @@ def test_gammaln(x):
 @given(st.integers(0, 60), st.floats(0.01, 40), st.floats(0.05, 50))
 @settings(max_examples=100, deadline=None)
 def test_tails_equal_sums(k, mean, r):
-    far = np.arange(k, 6000)
+    far = np.arange(k, 60_000)
     assert specfun.upper_tail(k, mean)[()] == pytest.approx(np.exp(specfun.poisson_logpmf(far, mean)).sum(), rel=1e-6, abs=1e-12)
     assert specfun.upper_tail(k, mean, r)[()] == pytest.approx(np.exp(specfun.nb_logpmf(far, mean, r)).sum(), rel=1e-6, abs=1e-8)
 
@@ -106,7 +106,7 @@ def test_fit_finds_planted_parameters():
     rng = np.random.default_rng(1)
     n = rng.integers(500, 1500, 4000)
     x = rng.negative_binomial(2.5, 2.5 / (2.5 + 0.01 * n))
-    mu, r = peaks.fit_nb(x, n)
+    mu, r = laws.negative_binomial(x, n)
     assert mu == pytest.approx(0.01, rel=0.05) and r == pytest.approx(2.5, rel=0.1)
     best = specfun.nb_logpmf(x, mu * n, r).sum()
     for a, b in ((1.01, 1), (0.99, 1), (1, 1.02), (1, 0.98)):
@@ -115,10 +115,10 @@ def test_fit_finds_planted_parameters():
 
 def test_degenerate_series():
     n = np.full(100, 1000)
-    mu, r = peaks.fit_nb(np.full(100, 7), n)
+    mu, r = laws.negative_binomial(np.full(100, 7), n)
     assert mu == pytest.approx(0.007) and r > 1e5  # underdispersed: Poisson
     with pytest.raises(ValueError):
-        peaks.fit_nb(np.zeros(50), n[:50])
+        laws.negative_binomial(np.zeros(50), n[:50])
     with pytest.raises(ValueError):
         peaks.fit(np.array([0, 0, 3]), np.array([10, 10, 10]), "bnb")
 
@@ -126,8 +126,8 @@ def test_degenerate_series():
 def test_p0_counts_all_days_and_empty_days_have_no_surprise():
     x = np.array([0, 0, 1, 2, 1, 3, 0, 400])
     n = np.full(8, 1000)
-    params, p, kept = peaks.fit(x, n, "bnb", 2)
-    assert params["p0"] == 3 / 8 and (p[x == 0] == 1).all() and p[-1] == p.min()
+    found = peaks.fit(x, n, "bnb", 2)
+    assert found.law.p0 == 3 / 8 and (found.p[x == 0] == 1).all() and found.p[-1] == found.p.min()
 
 
 def test_words_that_cannot_be_fitted_are_rows_with_an_error(spark):
@@ -139,7 +139,7 @@ def test_words_that_cannot_be_fitted_are_rows_with_an_error(spark):
 
 def test_density_sums_to_one():
     n = np.full(50, 100)
-    k, p = peaks.density(np.array([0] * 25 + [3] * 25), n, "bnb", {"p0": 0.5, "mu": 0.02, "r": 3.0})
+    k, p = laws.mixture(laws.Hurdle(0.5, 0.02, 3.0), np.array([0] * 25 + [3] * 25), n)
     assert p[0] == 0.5 and p.sum() == pytest.approx(1, abs=0.02)
 
 
@@ -160,13 +160,90 @@ def plain_nms(pos, s, reach):
 @settings(max_examples=150, deadline=None)
 def test_nms(points, reach):
     pos, s = np.array([p for p, _ in points], int), np.array([v for _, v in points], float)
-    i, n = peaks.nms_indices(pos, s, reach)
-    assert sorted(zip(pos[i].tolist() if len(i) else [], n.tolist(), strict=True)) == plain_nms(pos, s, reach)
+    stay = peaks.thinned(pos, s, reach)
+    assert sorted((int(pos[i]), n) for i, n in stay.items()) == plain_nms(pos, s, reach)
+
+
+def plain_summits(pos, s, least, distance):
+    """Every day of the signal looked at: the definition."""
+    signal = np.zeros(90)
+    signal[pos + 2] = s
+    tops = []
+    for a in range(1, 88):
+        b = a
+        while signal[b + 1] == signal[a]:
+            b += 1
+            if b == 88:
+                break
+        if b < 88 and signal[a] >= max(least, 1e-9) and signal[a - 1] < signal[a] > signal[b + 1]:
+            tops.append((a + b) // 2 - 2)
+    out = []
+    for p in sorted(tops, key=lambda p: (-signal[p + 2], -p)):
+        if all(abs(p - q) >= distance for q in out):
+            out.append(p)
+    return sorted(out)
+
+
+@given(st.lists(st.tuples(st.integers(0, 80), st.integers(1, 6)), max_size=60, unique_by=lambda x: x[0]), st.integers(1, 31), st.integers(0, 4))
+@settings(max_examples=150, deadline=None)
+def test_summits(points, distance, least):
+    pos, s = np.array([p for p, _ in points], int), np.array([v for _, v in points], float)
+    assert peaks.summits(pos, s, least, distance) == plain_summits(pos, s, least, distance)
+
+
+def test_greedy_choice_and_tops_can_differ(spark):
+    rows = [("w", p, v) for p, v in ((0, 10.0), (30, 9.0), (31, 8.0))]
+    got = peaks.crosscheck(spark.createDataFrame(rows, "mot string, pos long, surprise double"), 1.0, 31).collect()
+    assert [tuple(r) for r in got] == [("w", 31, "greedy")]
 
 
 def test_peaks_at_the_exact_reach_survive():
-    i, n = peaks.nms_indices(np.array([0, 30, 31]), np.array([9.0, 5.0, 5.0]), 31)
-    assert i.tolist() == [0, 2] and n.tolist() == [1, 0]
+    assert peaks.thinned(np.array([0, 30, 31]), np.array([9.0, 5.0, 5.0]), 31) == {0: 1, 2: 0}
+
+
+def test_polygammas():
+    x = np.array([1e-4, 0.3, 1.0, 5.5, 1e3, 1e6])
+    h = x * 1e-5
+    assert specfun.digamma(1.0) == pytest.approx(-0.5772156649015329, abs=1e-12) and specfun.trigamma(1.0) == pytest.approx(np.pi**2 / 6, abs=1e-12)
+    assert np.allclose(specfun.digamma(x + 1), specfun.digamma(x) + 1 / x, rtol=1e-11) and np.allclose(specfun.trigamma(x), (specfun.digamma(x + h) - specfun.digamma(x - h)) / (2 * h), rtol=1e-4)
+
+
+def test_tails_by_sums():
+    for mean, r in ((0.3, None), (40.0, None), (7.0, 0.4), (90.0, 12.0)):
+        k = np.arange(0, 60)
+        pmf = np.exp(specfun.poisson_logpmf(np.arange(4000), mean) if r is None else specfun.nb_logpmf(np.arange(4000), mean, r))
+        assert np.allclose(specfun.upper_tail(k, mean, r), pmf[::-1].cumsum()[::-1][:60], rtol=1e-9, atol=1e-12)
+
+
+@pytest.mark.parametrize("q", [0.2, 0.5, 0.51, 0.9, 0.9999])
+def test_quantile_uses_up_p0_first(q):
+    law = laws.Hurdle(0.5, 0.02, 3.0)
+    k = np.arange(400)
+    assert law.quantile(q, 100) == int(np.argmax(law.mass(k, 100.0).cumsum() >= q))
+
+
+def test_moments_follow_from_the_mass():
+    k = np.arange(3000)
+    for law in (laws.Poisson(0.02), laws.NegativeBinomial(0.02, 3.0), laws.Hurdle(0.4, 0.02, 3.0)):
+        p = law.mass(k, 200.0)
+        mean, variance = law.moments(200.0)
+        assert p.sum() == pytest.approx(1) and (k * p).sum() == pytest.approx(mean) and ((k - mean) ** 2 * p).sum() == pytest.approx(variance)
+        assert law.tail(np.array([3.0]), np.array([200.0]))[0] == pytest.approx(p[3:].sum())
+
+
+def test_breaks_are_found():
+    rng = np.random.default_rng(8)
+    n = np.full(900, 1000.0)
+    x = rng.poisson(np.repeat([0.004, 0.02, 0.006], 300) * n)
+    days = [d for d, _ in peaks.segmented(x, n, 20.0)]
+    assert len(days) == 2 and abs(days[0] - 300) < 5 and abs(days[1] - 600) < 10
+    assert peaks.segmented(rng.poisson(5, 900), n, 25.0) == []
+
+
+def test_benjamini_hochberg(spark):
+    p = [0.001, 0.008, 0.039, 0.041, 0.042, 0.06, 0.074, 0.205, 0.212, 0.216]
+    got = {r.p: r.rejected for r in peaks.benjamini_hochberg(spark.createDataFrame([(v,) for v in p], "p double"), "p").collect()}
+    assert [v for v in p if got[v]] == [0.001, 0.008]
 
 
 def grid(spark, n=10):
