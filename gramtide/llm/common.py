@@ -45,12 +45,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes a wide table as Parquet in the shared folder and rereads it; removed when the process ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gramtide-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+def removed_at_exit(spark: SparkSession, path: str) -> None:
+    """Has a folder of the shared one removed when the process ends."""
 
     def remove() -> None:
         try:
@@ -60,7 +56,16 @@ def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
             pass
 
     atexit.register(remove)
-    return spark.read.parquet(path)
+
+
+def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    """Writes a wide table as Parquet in the shared folder and rereads it; removed when the process ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/gramtide-{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    removed_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:

@@ -6,6 +6,9 @@ each position there is one piece that ends the best path to it, found from the p
 path to where each begins: a Viterbi step that looks back no further than the longest piece. Only that window of
 backpointers is kept. Where all paths that survive in the window go through one boundary, the ids before it are
 committed and forgotten. Characters that no piece holds are boundaries by themselves and become byte pieces.
+
+``Viterbi`` takes these steps sign by sign for a text that comes in parts. ``Lanes`` takes the same steps for many
+runs at once, in arrays: runs between sure boundaries that fit in the window, so that their end is the commit.
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ from .common import text_slices
 SPACE = "▁"
 #: Marks at which a run of letters may end for good, if the vocabulary allows it.
 MARKS = ",.!?;:*#$%&|"
-#: Characters after which the surviving paths are looked at.
-COMMIT_EVERY = 48
-#: Words that a worker remembers, in each of two generations, and their greatest length.
-REMEMBERED, REMEMBERED_LENGTH = 300_000, 40
-#: Signs up to which a word's steps are taken without the window.
-SHORT = 400
-#: Remembered answers on neighbouring pieces.
-PAIRS = 2_000_000
+#: Signs after which the surviving paths are looked at, and signs that are fed at once.
+COMMIT_EVERY, PART = 48, 4096
+#: Answers that a worker remembers, in each of two generations.
+REMEMBERED = 300_000
+#: Signs of the texts whose runs are encoded together, about.
+RUNS_AT_ONCE = 1 << 20
+#: Remembered answers on neighbouring pieces: of the window, and half of 2 ** PAIR_BITS of the lanes.
+PAIRS, PAIR_BITS = 500_000, 20
 
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -58,8 +61,14 @@ class Pieces:
             if len(pieces[i]) == 1 or (len(last) == 2 and last[0] + last[1] == pieces[i]):
                 self.id[pieces[i]] = i
                 self.split[pieces[i]] = tuple(last)
-        # every beginning of a piece, and the id where it is a piece itself
-        self.prefix = {p[:k]: -1 for p in self.id for k in range(1, len(p))} | self.id
+        self.length = list(map(len, pieces))
+        # the vocabulary as a tree: sign -> (tree of what may follow, id of the piece that ends here or -1)
+        self.tree: dict[str, tuple[dict, int]] = {}
+        for p, i in sorted(self.id.items()):
+            under = self.tree
+            for c in p[:-1]:
+                under = under.setdefault(c, ({}, -1))[0]
+            under[p[-1]] = (under[p[-1]][0] if p[-1] in under else {}, i)
         self.pairs: dict[int, bool] = {}
         # where no piece goes on with a space sign after another sign, every such place is a boundary; so is the end
         # of a run of letters before a mark that no piece has after a letter
@@ -94,13 +103,13 @@ class Pieces:
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
         return parts
 
-    def stay(self, left: str, right: str) -> bool:
+    def stay(self, left: int, right: int) -> bool:
         """Whether two neighbouring pieces, taken alone, stay these two."""
-        key = self.id[left] << 24 | self.id[right]
+        key = left << 24 | right
         if (known := self.pairs.get(key)) is None:
             if len(self.pairs) > PAIRS:
                 self.pairs.clear()
-            known = self.pairs[key] = self._stay(left, right)
+            known = self.pairs[key] = self._stay(self.text[left], self.text[right])
         return known
 
     def _stay(self, left: str, right: str) -> bool:
@@ -123,130 +132,262 @@ class Pieces:
 
 
 class Viterbi:
-    """Streaming encoder of signs (spaces already replaced). ``feed`` and ``finish`` give committed ids."""
+    """Streaming encoder of signs (spaces already replaced).
+
+    ``best`` holds, for the positions of the window, the piece that ends the best path there (None: no path, -1: a
+    fixed boundary). From each position that a path reaches, pieces go forward through the tree of the vocabulary;
+    earlier positions come first, so the longest piece whose neighbours stay is the one that a position keeps. What
+    lies before a boundary that all surviving paths go through is committed and leaves the window.
+    """
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
-        self.held = ""  # signs after the last committed boundary
-        self.back: list[str | None] = [""]  # by position in held: the piece that ends the best path there
-
-    def _commit(self, upto: int) -> list[int]:
-        out, at = [], upto
-        while at:
-            piece = self.back[at]
-            out.append(self.pieces.id[piece])
-            at -= len(piece)
-        self.held, self.back = self.held[upto:], ["", *self.back[upto + 1 :]]
-        return out[::-1]
-
-    def _converged(self) -> int:
+        self.signs, self.best = "", [-1]
+        #: the next position that pieces go forward from, and the last that a path reaches
+        self.at = self.reach = 0
+        #: signs that went through the window, and the most that it has held between two parts
+        self.fed = self.widest = 0
+
+    def _path(self, upto: int, base: int) -> list[int]:
+        best, length, ids = self.best, self.pieces.length, []
+        while upto > base:
+            i = best[upto]
+            ids.append(i)
+            upto -= length[i]
+        return ids[::-1]
+
+    def _converged(self, reach: int, at: int) -> int:
         """The last boundary that all surviving paths share: those to the positions a next piece may begin from."""
-        back, n = self.back, len(self.held)
-        paths = {i for i in range(max(0, n - self.pieces.longest + 1), n + 1) if back[i] is not None}
+        best, length = self.best, self.pieces.length
+        paths = {i for i in range(at, reach + 1) if best[i] is not None}
         while len(paths) > 1:  # the foremost path goes one piece back
             foremost = max(paths)
             paths.discard(foremost)
-            paths.add(foremost - len(back[foremost]))
+            if best[foremost] < 0:
+                return min(paths)
+            paths.add(foremost - length[best[foremost]])
         return paths.pop()
 
-    def feed(self, text: str) -> Iterator[int]:
-        pieces, ids, longest, stay = self.pieces, self.pieces.id, self.pieces.longest, self.pieces.stay
-        for c in text:
-            if c not in pieces.characters:
-                yield from self.finish()
-                yield from pieces.of_unknown(c)
-                continue
-            self.held += c
-            n = len(self.held)
-            found = None
-            for length in range(min(longest, n), 0, -1):
-                piece = self.held[n - length :]
-                if piece in ids and (before := self.back[n - length]) is not None and (before == "" or stay(before, piece)):
-                    found = piece
+    def feed(self, part: str, last: bool = False) -> list[int]:
+        """Takes a part of the text (``last``: its end too) -> the ids that are certain by now."""
+        pieces = self.pieces
+        tree, pairs, stay, longest = pieces.tree, pieces.pairs.get, pieces.stay, pieces.longest
+        signs, best, at = self.signs + part, self.best, self.at
+        best += [None] * len(part)
+        n, base, reach, out = len(signs), 0, self.reach, []
+        stop = n if last else n - longest + 1  # pieces from later positions may need signs still to come
+        while at < stop:
+            before = best[at]
+            if before is not None:
+                if at >= base + COMMIT_EVERY and (reach <= at or not at % 16):
+                    sure = at if reach <= at else self._converged(reach, at)
+                    out += self._path(sure, base)
+                    base = sure
+                step = tree.get(signs[at])
+                end = at + 1
+                if step is None:  # no piece holds this sign, so all paths end here
+                    out += self._path(at, base)
+                    out += pieces.of_unknown(signs[at])
+                    base = reach = end
+                    best[end] = -1
+                while step is not None:
+                    under, i = step
+                    if i >= 0 and best[end] is None and (before < 0 or (stay(before, i) if (ok := pairs(before << 24 | i)) is None else ok)):
+                        best[end] = i
+                        if end > reach:
+                            reach = end
+                    if end == n:
+                        break
+                    step = under.get(signs[end])
+                    end += 1
+            at += 1
+        self.fed += len(part)
+        if last:
+            out += self._path(n, base)
+            self.signs, self.best, self.at, self.reach = "", [-1], 0, 0
+        else:
+            self.signs, self.best, self.at, self.reach = signs[base:], best[base:], at - base, reach - base
+            self.widest = max(self.widest, len(self.signs))
+        return out
+
+
+class Table:
+    """Whole numbers (0 and up) -> small whole numbers, looked up for many keys at once: open addressing in arrays."""
+
+    def __init__(self, bits: int):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values, self.held = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32), 0
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 for keys that aren't held."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.values[slot], -1)
+        on = np.flatnonzero((there != keys) & (there >= 0))
+        while len(on):  # another key has the slot: the next one
+            slot[on] = (slot[on] + 1) & self.mask
+            there = self.keys[slot[on]]
+            hit = there == keys[on]
+            out[on[hit]] = self.values[slot[on[hit]]]
+            on = on[~hit & (there >= 0)]
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Adds keys that differ from each other and from those that are held."""
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            self.keys[slot[free]] = keys[free]  # of those that want one slot, the last has it
+            done = self.keys[slot] == keys
+            self.values[slot[done]] = values[done]
+            self.held += int(done.sum())
+            keys, values, slot = keys[~done], values[~done], (slot[~done] + 1) & self.mask
+
+
+class Lanes:
+    """The steps of ``Viterbi`` for many runs in step with each other, in arrays."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        signs = sorted(pieces.characters)
+        self.symbols = len(signs) + 1
+        self.symbol = np.zeros(max(map(ord, signs), default=0) + 2, np.int32)  # 0: no piece holds it
+        self.symbol[[ord(c) for c in signs]] = np.arange(1, len(signs) + 1)
+        edges, self.piece = [], [-1]
+        waiting = [(0, pieces.tree)]
+        while waiting:
+            node, under = waiting.pop()
+            for c, (below, i) in under.items():
+                edges.append((node * self.symbols + int(self.symbol[ord(c)]), len(self.piece)))
+                waiting.append((len(self.piece), below))
+                self.piece.append(i)
+        self.child = Table(max(4, len(edges).bit_length() + 1))
+        self.child.put(*(np.array([e[k] for e in edges], np.int64) for k in (0, 1)))
+        self.piece, self.length = np.array(self.piece, np.int64), np.array(pieces.length, np.int64)
+        self.pairs = Table(PAIR_BITS)
+        self.fed = 0
+
+    def _stay(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 24 | right
+        known = self.pairs.get(key)
+        if (missing := known < 0).any():
+            new, at = np.unique(key[missing], return_inverse=True)
+            text = self.pieces.text
+            answers = np.array([self.pieces._stay(text[k >> 24], text[k & 0xFFFFFF]) for k in new.tolist()], np.int32)
+            known[missing] = answers[at]
+            if self.pairs.held + len(new) > 1 << PAIR_BITS - 1:
+                self.pairs = Table(PAIR_BITS)
+            self.pairs.put(new[: 1 << PAIR_BITS - 2], answers[: 1 << PAIR_BITS - 2])
+        return known > 0
+
+    def encode(self, runs: list[str]) -> list[tuple[int, ...]]:
+        """The ids of runs of known signs."""
+        order = sorted(range(len(runs)), key=lambda k: -len(runs[k]))  # lanes that are still open come first
+        n = np.array([len(runs[k]) for k in order], np.int64)
+        width = int(n[0]) if len(n) else 0
+        codes = np.frombuffer("".join(runs[k].ljust(width, "\0") for k in order).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sign = self.symbol[codes].reshape(len(n), width)
+        best = np.full((len(n), width + 1), -2, np.int64)  # -2: no path, -1: the boundary
+        best[:, 0] = -1
+        for at in range(width):
+            lane = np.flatnonzero(best[: np.searchsorted(-n, -at), at] > -2)
+            before, node = best[lane, at], np.zeros(len(lane), np.int64)
+            for end in range(at + 1, min(width, at + self.pieces.longest) + 1):
+                still = int(np.searchsorted(lane, np.searchsorted(-n, -end, side="right")))
+                lane, before, node = lane[:still], before[:still], node[:still]
+                node = self.child.get(node * self.symbols + sign[lane, end - 1])
+                hit = node >= 0
+                lane, before, node = lane[hit], before[hit], node[hit].astype(np.int64)
+                if not len(lane):
                     break
-            self.back.append(found)
-            if n >= COMMIT_EVERY and n % 16 == 0 and (at := self._converged()):
-                # the piece before the boundary still decides which piece may follow it
-                last = self.back[at]
-                yield from self._commit(at - len(last))
-
-    def finish(self) -> list[int]:
-        out = self._commit(len(self.held))
-        self.held, self.back = "", [""]
+                i = self.piece[node]
+                new = np.flatnonzero((i >= 0) & (best[lane, end] == -2))
+                first = before[new] < 0
+                new = new[first | self._stay(np.maximum(before[new], 0), i[new])] if not first.all() else new
+                best[lane[new], end] = i[new]
+        self.fed += int(n.sum())
+        return self._paths(best, n, order)
+
+    def _paths(self, best: np.ndarray, n: np.ndarray, order: list[int]) -> list[tuple[int, ...]]:
+        lane, at, back = np.arange(len(n)), n.copy(), []
+        while len(lane := lane[at[lane] > 0]):
+            i = best[lane, at[lane]]
+            back.append((lane, i))
+            at[lane] -= self.length[i]
+        lanes, ids = (np.concatenate([b[k] for b in back[::-1]]) if back else np.zeros(0, np.int64) for k in (0, 1))
+        by = np.argsort(lanes, kind="stable")
+        ends, flat = np.cumsum(np.bincount(lanes, minlength=len(n))).tolist(), ids[by].tolist()
+        out: list = [()] * len(n)
+        for k, a, b in zip(order, [0, *ends], ends):
+            out[k] = tuple(flat[a:b])
         return out
 
 
 class Encoder(dict):
-    """Text -> ids; remembers short words, which are independent where the vocabulary allows it."""
+    """Text -> ids by the streaming pass; remembers its answers for runs of signs between sure boundaries.
 
-    def __init__(self, pieces: Pieces):
+    ``remembered``: runs that are remembered, in each of two generations.
+    """
+
+    def __init__(self, pieces: Pieces, remembered: int = REMEMBERED):
         super().__init__()
-        self.pieces, self.older = pieces, {}
+        self.pieces, self.older, self.remembered = pieces, {}, remembered
+        self.window, self.lanes = Viterbi(pieces), Lanes(pieces)
 
     def stream(self, text: Iterable[str]) -> Iterator[int]:
-        """Ids of a text that comes in parts of any length."""
+        """Ids of a text that comes in parts of any length; no more than the window is held."""
         run, begun = Viterbi(self.pieces), False
         for part in text:
             if part:
-                yield from run.feed((SPACE if not begun else "") + part.replace(" ", SPACE))
+                signs = ("" if begun else SPACE) + part.replace(" ", SPACE)
+                for at in range(0, len(signs), PART):
+                    yield from run.feed(signs[at : at + PART])
                 begun = True
-        yield from run.finish()
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        """The same for a short word, longest pieces first: a place has one best path, so the first path of neighbours
-        that stay is the one, and a place that it can't go on from is never tried again."""
-        pieces = self.pieces
-        prefix, pairs, n = pieces.prefix.get, pieces.pairs.get, len(word)
-        ends, ids = [0], [-1]  # of the pieces on the path
-        at, last, longest = 0, -1, n
-        dead = ()  # places that no best path goes through
-        while at < n:
-            end, best, known = at + 1, 0, 0
-            while end <= longest and (i := prefix(word[at:end])) is not None:
-                if i >= 0:
-                    best, known = end, i
-                end += 1
-            while best:
-                if best not in dead and (not at or (ok := pairs(last << 24 | known)) or (ok is None and pieces.stay(pieces.text[last], word[at:best]))):
-                    ends.append(best)
-                    ids.append(known)
-                    at, last, longest = best, known, n
-                    break
-                end, best = best - 1, 0
-                while end > at:
-                    if (i := prefix(word[at:end])) >= 0:
-                        best, known = end, i
-                        break
-                    end -= 1
-            else:  # one step back, to a shorter piece
-                dead = {at, *dead}
-                longest = ends.pop() - 1
-                ids.pop()
-                at, last = ends[-1], ids[-1]
-        return tuple(ids[1:])
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        if (ids := self.older.get(word)) is None:
-            if (whole := self.pieces.id.get(word)) is not None:
-                ids = (whole,)
-            elif len(word) <= SHORT and self.pieces.characters.issuperset(word):
-                ids = self._word(word)
-            else:
-                run = Viterbi(self.pieces)
-                ids = (*run.feed(word), *run.finish())
-        if len(word) <= REMEMBERED_LENGTH:
-            if len(self) >= REMEMBERED:  # what isn't used again until the next time is forgotten then
-                self.older = dict(self)
-                self.clear()
-            self[word] = ids
-        return ids
+        yield from run.feed("", last=True)
+        self.window.widest = max(self.window.widest, run.widest)
+        self.window.fed += run.fed
+
+    def __missing__(self, run: str) -> tuple[int, ...]:
+        ids = []
+        for at in range(PART, len(run), PART):
+            ids += self.window.feed(run[at - PART : at])
+        ids += self.window.feed(run[(len(run) - 1) // PART * PART :], last=True)
+        return tuple(ids)
+
+    def learn(self, runs: set[str]) -> None:
+        """Encodes the runs that aren't remembered and fit in the window, together."""
+        if len(self) > self.remembered:  # what isn't used again until the next time is forgotten then
+            self.older = dict(self)
+            self.clear()
+        again = runs & self.older.keys()
+        self.update({run: self.older[run] for run in again})
+        known = self.pieces.characters.issuperset
+        new = [run for run in runs - self.keys() if len(run) <= COMMIT_EVERY and known(run)]
+        self.update(zip(new, self.lanes.encode(new), strict=True))
+
+    def runs(self, text: str) -> list[str]:
+        return self.pieces.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text; texts are worked on in groups of about RUNS_AT_ONCE signs."""
+        if self.pieces.words is None:  # nothing but the whole text lies between sure boundaries
+            yield from (list(self.stream([text])) for text in texts)
+            return
+        group, held = [], 0
+        for k, text in enumerate(texts):
+            group.append(self.runs(text))
+            held += len(text)
+            if held > RUNS_AT_ONCE or k == len(texts) - 1:
+                self.learn(set(chain.from_iterable(group)))
+                for runs in group:
+                    yield list(chain.from_iterable(map(self.__getitem__, runs)))
+                group, held = [], 0
 
     def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        if self.pieces.words is None:
-            return list(self.stream([text]))
-        return list(chain.from_iterable(map(self.__getitem__, self.pieces.words.findall(SPACE + text.replace(" ", SPACE)))))
+        return next(self.encode_all([text]))
 
 
 class Decoder:
@@ -303,11 +444,11 @@ def encoded(docs: DataFrame, model_path: str) -> DataFrame:
         for whole in batches:
             for batch in text_slices(whole):
                 values, ends, same = [], [0], []
-                for text in batch.column("text").to_pylist():
-                    ids = encoder.encode(text or "")
+                texts = [text or "" for text in batch.column("text").to_pylist()]
+                for text, ids in zip(texts, encoder.encode_all(texts), strict=True):
                     values.append(np.array(ids, np.int32))
                     ends.append(ends[-1] + len(ids))
-                    same.append(decoder.decode(ids) == (text or ""))
+                    same.append(decoder.decode(ids) == text)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(np.diff(ends), pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
 

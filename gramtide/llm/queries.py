@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup, knn_quality, langid, line_dedup, mixing, pieces, quality_rules, simhash, suffix_dedup, token_counts
-from .common import stored, table
+from .common import table
 
 #: Folder of the public tokenizers' files; each machine has it.
 TOKENIZERS = "/opt/tokenizers"
@@ -39,8 +39,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = stored(token_counts.packed(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", CUT, END_OF_DOCUMENT))
-    return token_counts.counts(files, END_OF_DOCUMENT)
+    return token_counts.documents_counts(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", CUT, END_OF_DOCUMENT)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
