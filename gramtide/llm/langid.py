@@ -2,12 +2,14 @@
 
 A word that the model knows has a log frequency in every language. A word that it doesn't know is scored by its
 character n-grams: by those of the greatest length of which the model knows at least one, then shorter ones. The
-sum over a text's words decides.
+sum over a text's words decides. Words are the runs of letters of the lower-cased text, in learning and predicting.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,67 +21,154 @@ from .common import bucket, cut, sized_join, small_enough, text_slices
 
 #: Every language is learnt from at most so many of its documents, those with the least hash of their id.
 MAX_TRAIN = 20_000
-#: Words, and n-grams of each length, by which each language adds to the model: its most frequent.
+#: Words, and n-grams of each length, by which each language adds to the model: about so many, its most frequent.
 MAX_WORDS, MAX_GRAMS = 30_000, 10_000
-#: Frequencies (words x languages) that a table of the model holds at most; beyond it, all languages add fewer words.
+#: Frequencies (words x languages) that the model's words, or its n-grams of one length, hold at most.
 MAX_CELLS = 75_000_000
 LONGEST = 4
 #: Words that a worker remembers.
 REMEMBERED = 100_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Parts of the hashes of ids; a language's documents are chosen by parts, and row by row only in the last one.
+PARTS = 1 << 12
 
 
-def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> dict:
-    """docs(doc_id, text, lang) -> {langs, words: {word: log frequencies}, grams: [{gram: ...} by length]}.
+def _letters() -> re.Pattern[str]:
+    """Runs of letters: what re counts as a word's sign, without digits, the underscore and number signs like ²."""
+    others = [c for c in range(sys.maxunicode + 1) if (s := chr(c)).isalnum() and not s.isalpha() and not s.isdecimal()]
+    known = set(others)
+    starts, ends = [c for c in others if c - 1 not in known], [c for c in others if c + 1 not in known]
+    return re.compile(r"[^\W\d_" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends, strict=True)) + "]+")
+
+
+_WORD = _letters()
+
+
+def words_of(text: str | None) -> list[str]:
+    return _WORD.findall(text.lower()) if text else []
+
+
+def grams_of(word: str, n: int) -> list[str]:
+    """The n-grams of a word between spaces."""
+    padded = f" {word} "
+    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+
+
+class Known:
+    """Grams with their log frequencies, a row for each: one dictionary and one matrix."""
+
+    def __init__(self, rows: dict[str, int], scores: np.ndarray):
+        self.rows, self.scores = rows, scores
+
+    def get(self, gram: str) -> np.ndarray | None:
+        at = self.rows.get(gram)
+        return None if at is None else self.scores[at]
+
+
+class Model:
+    """langs in order; words; grams: those of each length, 0 to LONGEST."""
+
+    def __init__(self, langs: list[str], words: Known, grams: list[Known]):
+        self.langs, self.words, self.grams = langs, words, grams
+
+    def score(self, word: str) -> np.ndarray:
+        """Log frequencies by language, of the word or else of its longest known n-grams (their mean)."""
+        if (known := self.words.get(word)) is not None:
+            return known
+        for n in range(LONGEST, 0, -1):
+            rows = self.grams[n].rows
+            if found := [rows[g] for g in grams_of(word, n) if g in rows]:
+                return self.grams[n].scores[found].mean(axis=0)
+        return np.zeros(len(self.langs), np.float32)
+
+
+_COUNTS = "lang string, gram string, n int, count long"
+
+
+def _rows(counts: Counter) -> pa.RecordBatch:
+    keys = list(counts)
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int32()), pa.array(counts.values(), pa.int64())], ["lang", "gram", "n", "count"])
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in text_slices(whole):
+            counts: Counter = Counter()
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                counts.update((lang, w, 0) for w in words_of(text))
+            yield _rows(counts)
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words -> counts of their n-grams; each word is cut once for each length."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 4096):
+            batch, counts = whole.slice(at, 4096), Counter()
+            for lang, word, times in zip(*(batch.column(c).to_pylist() for c in ("lang", "gram", "count")), strict=True):
+                for n in range(1, LONGEST + 1):
+                    for gram in grams_of(word, n):
+                        counts[lang, gram, n] += times
+            yield _rows(counts)
+
+
+def _chosen(docs: DataFrame, most: int) -> DataFrame:
+    """(taken, of): ids and languages of the documents to learn from.
+
+    A language's ids are dealt into parts by hash. Whole parts are taken while they fit; only the part in which the
+    number is reached is ranked row by row, so no task sorts a language.
+    """
+    ids = docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")).withColumn("part", F.pmod("hash", F.lit(PARTS)))
+    sizes = ids.groupBy("lang", "part").agg(F.count("*").alias("size"))
+    upto = Window.partitionBy("lang").orderBy("part")
+    room = sizes.withColumn("room", most - F.sum("size").over(upto) + F.col("size")).where("room > 0").select("lang", "part", "room", "size")
+    held = sized_join(ids, cut(room), ["lang", "part"], "inner")
+    last = held.where("size > room").withColumn("place", F.row_number().over(Window.partitionBy("lang", "part").orderBy("hash", "doc_id"))).where("place <= room")
+    return held.where("size <= room").select("doc_id", "lang").unionByName(last.select("doc_id", "lang")).distinct().select(F.col("doc_id").alias("taken"), F.col("lang").alias("of"))
+
+
+def _frequent(counted: DataFrame, most: int) -> DataFrame:
+    """(n, gram): each language's most frequent grams of each length, about ``most`` of them.
+
+    From the histogram of counts: all grams over a count, and of those that have it the share that still fits, by hash.
+    """
+    classes = counted.groupBy("lang", "n", "count").agg(F.count("*").alias("size"))
+    upto = F.sum("size").over(Window.partitionBy("lang", "n").orderBy(F.desc("count")))
+    share = classes.withColumn("share", (most - upto + F.col("size")) / F.col("size")).where("share > 0").select("lang", "n", "count", "share")
+    at = F.pmod(F.xxhash64("gram"), F.lit(1 << 30)) / float(1 << 30)
+    return sized_join(counted, cut(share), ["lang", "n", "count"], "inner").where(at < F.col("share")).select("n", "gram").distinct()
+
+
+def fit(docs: DataFrame, max_train: int = MAX_TRAIN, max_words: int | None = None, max_grams: int | None = None) -> Model:
+    """docs(doc_id, text, lang, ...) -> Model.
 
     Every language with labelled rows is learnt, each from max_train documents at most. A word that is kept for one
-    language has its real count in all. What reaches the driver is bounded by MAX_WORDS, MAX_GRAMS and MAX_CELLS.
-    Rows with a null text or lang teach nothing.
+    language has its real count in all. What reaches the driver is bounded by MAX_WORDS, MAX_GRAMS and MAX_CELLS: from
+    51 languages on, each adds fewer words. Rows with a null text or lang teach nothing.
     """
     learn = docs.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = learn.select("doc_id", "lang").withColumn("place", F.row_number().over(first)).where(F.col("place") <= max_train)
-    chosen = cut(ids.select(F.col("doc_id").alias("taken"), F.col("lang").alias("of")).distinct())
+    chosen = cut(_chosen(learn, max_train))
     chosen = F.broadcast(chosen) if small_enough(chosen, 500_000) else chosen
     text = learn.join(chosen, F.col("doc_id").eqNullSafe(F.col("taken")) & (F.col("lang") == F.col("of")), "left_semi")
-    counted = cut(text.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("gram")).groupBy("lang", "gram").count())
-    langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
-    padded = F.concat(F.lit(" "), F.col("gram"), F.lit(" "))
-    pieces = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(LONGEST)), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.length(padded)), lambda i: i + n - 1 <= F.length(padded)), lambda i: F.substring(padded, i, n)))))
-    grams = cut(counted.select("lang", pieces.alias("gram"), "count").groupBy("lang", "gram").agg(F.sum("count").alias("count")))
-    model: dict = {"langs": langs, "words": {}, "grams": [{} for _ in range(LONGEST + 1)]}
-    at = {v: k for k, v in enumerate(langs)}
-
-    def best(df: DataFrame, most: int) -> dict[str, np.ndarray]:
-        ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "gram")))
-        # the kept words by their best rank in any language, so that no language crowds out another
-        ranks = ranked.where(F.col("rank") <= most).groupBy("gram").agg(F.min("rank").alias("rank"))
-        kept = cut(ranks.orderBy("rank", "gram").limit(MAX_CELLS // max(len(at), 1)).select("gram"))
-        rows = sized_join(df, kept, "gram", "left_semi").groupBy("gram").agg(F.collect_list(F.struct("lang", "count")).alias("counts"))
-        found: dict[str, np.ndarray] = {}
+    total = F.sum("count").alias("count")
+    words = cut(text.select("lang", "text").mapInArrow(_word_counts, _COUNTS).groupBy("lang", "gram", "n").agg(total))
+    grams = cut(words.select("lang", "gram", "count").mapInArrow(_gram_counts, _COUNTS).groupBy("lang", "gram", "n").agg(total))
+    langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
+    at, room = {v: k for k, v in enumerate(langs)}, MAX_CELLS // max(len(langs), 1) ** 2
+    found: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
+    for counted, most in ((words, max_words or MAX_WORDS), (grams, max_grams or MAX_GRAMS)):
+        kept = cut(_frequent(counted, min(most, room)))
+        rows = sized_join(counted, kept, ["n", "gram"], "left_semi").groupBy("n", "gram").agg(F.collect_list(F.struct("lang", "count")).alias("counts"))
         for r in rows.toLocalIterator():
-            found[r["gram"]] = c = np.zeros(len(at))
+            found[r["n"]][r["gram"]] = c = np.zeros(len(langs), np.float32)
             for lang, n in r["counts"]:
                 c[at[lang]] = n
-        totals = sum(found.values())
-        return {g: np.log((c + 0.5) / (totals + 0.5 * len(found))).astype(np.float32) for g, c in found.items()}
 
-    model["words"] = best(counted, MAX_WORDS)
-    for n in range(1, LONGEST + 1):
-        model["grams"][n] = best(grams.where(F.length("gram") == n), MAX_GRAMS)
-    return model
+    def known(held: dict[str, np.ndarray]) -> Known:
+        order = sorted(held)
+        counts = np.array([held[g] for g in order], np.float64).reshape(len(order), len(langs))
+        scores = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(order)))
+        return Known({g: k for k, g in enumerate(order)}, scores.astype(np.float32))
 
-
-def word_score(model: dict, word: str) -> np.ndarray:
-    """Log frequencies by language, of the word or else of its longest known n-grams (their mean)."""
-    if (known := model["words"].get(word)) is not None:
-        return known
-    padded = f" {word} "
-    for n in range(LONGEST, 0, -1):
-        table = model["grams"][n]
-        if found := [table[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in table]:
-            return sum(found) / len(found)
-    return np.zeros(len(model["langs"]), np.float32)
+    return Model(langs, known(found[0]), [Known({}, np.zeros((0, len(langs)), np.float32)), *map(known, found[1:])])
 
 
 class Scorer:
@@ -87,13 +176,13 @@ class Scorer:
 
     held: Scorer | None = None
 
-    def __init__(self, model: dict):
-        self.model, self.langs = model, model["langs"]
+    def __init__(self, model: Model):
+        self.model, self.langs = model, model.langs
         self.rows: dict[str, int] = {}
         self.scores = np.zeros((1 << 12, len(self.langs)), np.float32)
 
     @classmethod
-    def of(cls, model: dict) -> Scorer:
+    def of(cls, model: Model) -> Scorer:
         if cls.held is None or cls.held.model is not model:
             cls.held = cls(model)
         return cls.held
@@ -105,25 +194,26 @@ class Scorer:
             at = self.rows[w] = len(self.rows)
             if at == len(self.scores):
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[at] = word_score(self.model, w)
+            self.scores[at] = self.model.score(w)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = _WORD.findall(text.lower()) if text else []
-        if not self.langs or not any(any(map(str.isalpha, w)) for w in words):
+        words = words_of(text)
+        if not self.langs or not words:
             return "und", 0.0
         if not (distinct := set(words)) <= self.rows.keys():
             self._learn(distinct)
-        ids, times = np.unique(np.array([self.rows[w] for w in words]), return_counts=True)
+        ids, times = np.unique(np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words)), return_counts=True)
         total = times @ self.scores[ids].astype(np.float64)
         best = int(total.argmax())
         mean = total / len(words) * min(len(words), 20)
         return self.langs[best], float(1 / np.exp(mean - mean[best]).sum())
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
+def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, lang_pred, score); `und` and 0 for a text that is null or has no letter.
 
-    score is the share of the likeliest language when the mean scores of up to 20 words are taken as log likelihoods.
+    score is the share of the likeliest language when the mean scores of up to 20 words are taken as log likelihoods;
+    of equal languages the first by name is named. Texts of any length count with all their words.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -138,7 +228,12 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def identify(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
-    """Fits on the rows outside the held-out fold, predicts every row: (doc_id, held_out, lang_pred, score)."""
-    out = bucket(F.col("doc_id"), folds) == held
-    model = fit(docs.where(~F.coalesce(out, F.lit(False))))
-    return predict(docs, model).select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    """Fits on the rows outside the held-out fold, predicts every row: (doc_id, held_out, lang_pred, score).
+
+    One row for each row of docs, also for those that repeat a doc_id; a null doc_id is never held out. Null texts and
+    texts without a letter, empty ones included, are `und`, as are all where no row has a lang. Rows that repeat one
+    document teach once for each row. Other columns, whatever their names, are ignored; no rows give no rows.
+    """
+    out = F.coalesce(bucket(F.col("doc_id"), folds) == held, F.lit(False))
+    model = fit(docs.where(~out))
+    return predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")

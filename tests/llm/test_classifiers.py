@@ -2,6 +2,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,8 +63,6 @@ def test_votes_on_held_out_labels(spark, docs):
 
 
 def test_block_scores_equal_plain_ones():
-    import numpy as np
-
     rng = np.random.default_rng(0)
     v = rng.standard_normal((60, 8)).astype(np.float32)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
@@ -88,10 +87,58 @@ def test_languages_of_held_out_documents(spark, docs):
 
 
 def test_unseen_words_back_off_to_shorter_grams():
-    import numpy as np
-
-    model = {"langs": ["a", "b"], "words": {"seen": np.array([-1.0, -2.0])}, "grams": [{}, {"z": np.array([-9.0, -1.0])}, {}, {" qu": np.array([-1.0, -9.0])}, {}]}
-    assert langid.word_score(model, "seen").tolist() == [-1, -2]
-    assert langid.word_score(model, "quz").tolist() == [-1, -9]  # its length-3 gram is known, so shorter ones don't count
-    assert langid.word_score(model, "zzz").tolist() == [-9, -1]
-    assert langid.word_score(model, "ö").tolist() == [0, 0]
+    known = lambda **rows: langid.Known({k.replace("_", " "): i for i, k in enumerate(rows)}, np.array(list(rows.values()), np.float32).reshape(-1, 2))
+    model = langid.Model(["a", "b"], known(seen=[-1, -2]), [known(), known(z=[-9, -1]), known(), known(_qu=[-1, -9]), known()])
+    assert model.score("seen").tolist() == [-1, -2]
+    assert model.score("quz").tolist() == [-1, -9]  # its length-3 gram is known, so shorter ones don't count
+    assert model.score("zzz").tolist() == [-9, -1]
+    assert model.score("ö").tolist() == [0, 0]
+
+
+def test_letters_are_the_letters_of_unicode():
+    import unicodedata
+
+    every = "".join(chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000)
+    got = set("".join(langid._WORD.findall(every)))
+    assert got == {c for c in every if unicodedata.category(c).startswith("L")}
+
+
+def plain_identify(rows):
+    """The definition: counts of words and n-grams, scores word by word."""
+    words, grams = {}, {}
+    for i, text, lang in rows:
+        if text is None or lang is None or (i is not None and zlib.crc32(str(i).encode()) % 3 == 1):
+            continue
+        for w in langid.words_of(text):
+            words.setdefault(w, Counter())[lang] += 1
+            for n in range(1, 5):
+                for g in langid.grams_of(w, n):
+                    grams.setdefault(n, {}).setdefault(g, Counter())[lang] += 1
+    langs = sorted({lang for c in words.values() for lang in c})
+
+    def logs(table):
+        totals = {x: sum(c[x] for c in table.values()) + 0.5 * len(table) for x in langs}
+        return {g: np.log([(c[x] + 0.5) / totals[x] for x in langs]) for g, c in table.items()}
+
+    words, grams = logs(words), {n: logs(t) for n, t in grams.items()}
+    out = []
+    for i, text, _ in rows:
+        scores = []
+        for w in langid.words_of(text):
+            known = [words[w]] if w in words else next((f for n in range(4, 0, -1) if (f := [grams[n][g] for g in langid.grams_of(w, n) if g in grams.get(n, {})])), [np.zeros(len(langs))])
+            scores.append(np.mean(known, axis=0))
+        if not scores or not langs:
+            out.append((i or 0, "und", 0.0))
+            continue
+        total = np.sum(scores, axis=0)
+        mean = total / len(scores) * min(len(scores), 20)
+        out.append((i or 0, langs[int(total.argmax())], round(float(1 / np.exp(mean - mean.max()).sum()), 4)))
+    return sorted(out)
+
+
+def test_identify_equals_the_definition(spark, docs):
+    table = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 9 = 0").select("doc_id", F.substring("text", 1, 500), "lang")
+    rows = [tuple(r) for r in table.collect()] + [(i, t, None) for i, t in EDGE] + [(5000, "x² Ⅳ ½ straße İstanbul", "de"), (5001, "q" * 20_000, "en")]
+    got = langid.identify(docs(rows)).collect()
+    for a, b in zip(sorted((r.doc_id or 0, r.lang_pred, r.score) for r in got), plain_identify(rows), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=2e-3)

@@ -8,17 +8,24 @@ def test_every_language_is_learnt(docs):
     rows = [(k, f"{name(k) * 3} {name(k) * 4}", f"l{k}") for k in range(60)]
     df = docs(rows)
     model = langid.fit(df)
-    assert model["langs"] == sorted(f"l{k}" for k in range(60))
+    assert model.langs == sorted(f"l{k}" for k in range(60))
     assert {r.doc_id: r.lang_pred for r in langid.predict(df, model).collect()} == {k: f"l{k}" for k in range(60)}
 
 
 def test_a_rare_language_is_learnt_beside_a_hot_one(docs):
     rows = [(k, "the and of", "en") for k in range(200)] + [(1000, "mitt hus", "sv"), (None, "suuri talo", "fi")]
-    assert langid.fit(docs(rows), max_train=5)["langs"] == ["en", "fi", "sv"]
+    assert langid.fit(docs(rows), max_train=5).langs == ["en", "fi", "sv"]
 
 
-def test_kept_words_have_their_real_counts(docs, monkeypatch):
-    monkeypatch.setattr(langid, "MAX_WORDS", 1)
-    words = langid.fit(docs([(1, "x x x y y", "a"), (2, "y y y x x", "b")]))["words"]
-    assert set(words) == {"x", "y"}
-    assert np.allclose(words["x"], np.log([3.5 / 6, 2.5 / 6])) and np.allclose(words["y"], np.log([2.5 / 6, 3.5 / 6]))
+def test_kept_words_have_their_real_counts(docs):
+    words = langid.fit(docs([(1, "x x x y y", "a"), (2, "y y y x x", "b")]), max_words=1).words
+    assert set(words.rows) == {"x", "y"}
+    assert np.allclose(words.get("x"), np.log([3.5 / 6, 2.5 / 6])) and np.allclose(words.get("y"), np.log([2.5 / 6, 3.5 / 6]))
+
+
+def test_documents_are_chosen_by_hash(docs, monkeypatch):
+    rows = [(k, f"w{chr(97 + k % 26)}", "en" if k % 7 else "fr") for k in range(500)]
+    for parts in (1, 16, 4096):
+        monkeypatch.setattr(langid, "PARTS", parts)
+        got = langid._chosen(docs(rows), 30).groupBy("of").count().collect()
+        assert {r.of: r["count"] for r in got} == {"en": 30, "fr": 30}
