@@ -1,26 +1,33 @@
 """Quality rules whose cutoffs are chosen with a guarantee on false rejections.
 
 Each rule compares a share (symbols a word, repeated words, repeated lines, capitals, marks) with a cutoff. Cutoffs
-come from labelled documents. For each stratum (language) and rule, the cutoffs of a fixed grid are tested from the
-loosest to stricter ones: a cutoff is certified while the exact (Clopper-Pearson) upper bound on the share of good
-documents that it rejects stays under ``ALPHA / number of rules``. The tests of a sequence stop at the first failure
-and need no correction among them; each sequence runs at ``DELTA / (strata * rules)`` (Bonferroni), so all certified
-cutoffs hold together with probability ``1 - DELTA`` and, in each stratum, the rules together falsely reject a share
-of at most ``ALPHA``. Of the certified cutoffs the one that best separates the labels is used. A stratum with too few
-labelled documents gets no cutoff, so nothing is rejected there but by the base rules.
+come from labelled documents; texts that are equal count once. They are dealt into three folds by a hash of the text:
+
+* On the first, cutoffs of a fixed grid get their order of merit: what a cutoff rejects of bad and of good documents.
+* On the second, the holdout, cutoffs are certified. For each stratum (language) and rule the grid is tested from the
+  loosest cutoff to stricter ones; one is certified while the exact (Clopper-Pearson) upper bound on the share of good
+  documents that it rejects stays under ``ALPHA / number of rules``. A sequence stops at its first failure and needs no
+  correction within; each runs at ``DELTA / (strata * rules)`` (Bonferroni). So with probability ``1 - DELTA`` all
+  certified cutoffs hold together, and in each stratum the rules together reject at most a share ``ALPHA`` of the good
+  documents. Of the certified cutoffs the one of most merit on the first fold is used.
+* The third takes no part. ``audit`` measures the false rejections on it.
+
+A stratum with too few labelled documents gets no cutoff, so nothing is rejected there but by the base rules.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import lgamma, log
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_slices
+from .common import cut, sized_join, stored, text_slices
 
 ALPHA = 0.1
 DELTA = 0.05
@@ -30,15 +37,15 @@ MAX_REPEAT_PERCENT = 50
 GOOD_WEIGHT = 10
 #: Cutoffs that are tried, strictest first; a document is rejected where the value exceeds the cutoff.
 GRID = tuple(round(0.01 * 1.2**k, 4) for k in range(32))
-#: Strata beyond this number (by their labelled documents) get no cutoffs of their own.
-MAX_STRATA = 1000
+#: Folds of the labelled documents, by hash of the text: merit, certification, audit.
+FOLDS = 3
 
 _SPACE = b" \t\n\v\f\r"
 _SYMBOLS = b"#*$%&|<>"
 _CAPITALS = bytes(range(65, 91))
 _MARKS = b"!?"
-_FIELDS = [("doc_id", pa.int64()), ("stratum", pa.string()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks"))]
-METRICS = "doc_id long, stratum string, " + ", ".join(f"{n} long" for n, _ in _FIELDS[2:])
+_FIELDS = [("doc_id", pa.int64()), ("stratum", pa.string()), ("digest", pa.int64()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks"))]
+METRICS = "doc_id long, stratum string, " + ", ".join(f"{n} long" for n, _ in _FIELDS[2:])  # digest: a hash of the text
 
 
 def repeat_words(words: list[bytes], width: int = 3) -> int:
@@ -58,7 +65,7 @@ def repeat_words(words: list[bytes], width: int = 3) -> int:
 
 
 def metrics_of(data: bytes) -> tuple[int, ...]:
-    """The counts of METRICS, after doc_id and stratum, of one text in UTF-8."""
+    """The counts of METRICS, after doc_id, stratum and digest, of one text in UTF-8."""
     words = data.split()
     bare = data.translate(None, _SPACE)
     lines = [line for line in data.split(b"\n") if line.strip()]
@@ -80,12 +87,12 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(whole):
             rows = [metrics_of(t.as_buffer().to_pybytes()) if t.is_valid else (0,) * 8 for t in batch.column("text").cast(pa.binary())]
             columns = np.array(rows, np.int64).reshape(-1, 8).T
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("stratum"), *map(pa.array, columns)], schema=pa.schema(_FIELDS))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("stratum"), batch.column("digest"), *map(pa.array, columns)], schema=pa.schema(_FIELDS))
 
 
 def measure(docs: DataFrame, stratum: str = "lang") -> DataFrame:
     """docs(doc_id, text, <stratum>, ...) -> METRICS, one row for each row; a null text has no words."""
-    return docs.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum")).mapInArrow(_measure, METRICS)
+    return docs.select("doc_id", "text", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), F.xxhash64("text").alias("digest")).mapInArrow(_measure, METRICS)
 
 
 RULES = ("symbols", "repeats", "dup_lines", "capitals", "marks")
@@ -95,8 +102,6 @@ def _share(a: str, b: str) -> Column:
     return F.col(a) / F.greatest(F.col(b), F.lit(1))
 
 
-
-
 def _rules() -> dict[str, Column]:
     return {"symbols": _share("n_symbols", "n_words"), "repeats": _share("n_repeat_words", "n_words"), "dup_lines": _share("n_dup_lines", "n_lines"), "capitals": _share("n_capitals", "word_chars"), "marks": _share("n_marks", "n_words")}
 
@@ -121,44 +126,80 @@ def upper_bound(k: int, n: int, delta: float) -> float:
     return high
 
 
-def cutoffs(metrics: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> list[tuple[str, str, float]]:
-    """(stratum, rule, cutoff) from metrics(METRICS) and labels(doc_id, quality).
+def trials(metrics: DataFrame, labels: DataFrame) -> DataFrame:
+    """(stratum, fold, good, above_<rule>...): one row for each labelled text of a stratum that the base rules pass.
 
-    Only counts by stratum, rule and grid step reach the driver. A document with several labels counts as good only
-    if all of them say so; null labels are left out. A document that the base rules reject isn't counted.
+    Equal texts, and rows that repeat a document, are one trial, which is good only if all of its labels say so; null
+    labels are left out. above_<rule> is the number of cutoffs of the grid that the value exceeds.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    # the number of cutoffs that a value exceeds: all counts follow from a histogram of it
     above = {name: sum((F.when(value > c, 1).otherwise(0) for c in GRID), F.lit(0)) for name, value in _rules().items()}
-    steps = F.array(*[F.struct(F.lit(name).alias("rule"), n.alias("above")) for name, n in above.items()])
-    held = metrics.where(~base_failed()).join(known, "doc_id")
-    counts: dict[tuple[str, str], np.ndarray] = {}
-    for r in held.select("stratum", (F.col("quality") == 1).alias("good"), F.explode(steps).alias("s")).groupBy("stratum", "good", "s.rule", "s.above").count().orderBy(F.desc("count")).limit(2 * MAX_STRATA * len(RULES) * (len(GRID) + 1)).collect():
-        counts.setdefault((r["stratum"], r["rule"]), np.zeros((2, len(GRID) + 1), np.int64))[int(r["good"]), r["above"]] += r["count"]
-    found = []
-    for (stratum, rule), histogram in sorted(counts.items()):
-        (all_bad, n), (bad, good) = histogram.sum(axis=1), histogram[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:]
-        picked, best = None, 0.0
-        for k in range(len(GRID) - 1, -1, -1):
-            if n == 0 or good[k] > alpha / len(RULES) * n or upper_bound(int(good[k]), int(n), delta / len(counts)) > alpha / len(RULES):
-                break
-            gain = bad[k] / max(1, all_bad) - GOOD_WEIGHT * good[k] / n
-            if gain > best:
-                picked, best = GRID[k], gain
-        if picked is not None:
-            found.append((stratum, rule, picked))
-    return found
+    held = metrics.where(~base_failed()).join(known, "doc_id").select("stratum", "digest", "quality", *[n.alias(f"above_{name}") for name, n in above.items()])
+    texts = held.groupBy("stratum", "digest").agg(F.min("quality").alias("quality"), *[F.max(f"above_{name}").alias(f"above_{name}") for name in RULES])
+    return texts.select("stratum", F.pmod(F.xxhash64("digest", F.lit(FOLDS)), F.lit(FOLDS)).alias("fold"), (F.col("quality") == 1).alias("good"), *[f"above_{name}" for name in RULES])
+
+
+def _picked(alpha: float, sequences: int, delta: float):
+    """Histograms of one (stratum, rule) -> its cutoff, if any is certified."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                # documents that exceed each cutoff: good and bad on the first fold, good on the holdout
+                bad, good, sure = (np.cumsum(np.array(r[c])[::-1])[::-1][1:] for c in ("bad", "good", "sure"))
+                all_bad, all_good, n = (int(np.sum(r[c])) for c in ("bad", "good", "sure"))
+                picked, best = None, 0.0
+                for k in range(len(GRID) - 1, -1, -1):
+                    if not n or sure[k] > alpha * n or upper_bound(int(sure[k]), n, delta / sequences) > alpha:
+                        break
+                    merit = bad[k] / max(1, all_bad) - GOOD_WEIGHT * good[k] / max(1, all_good)
+                    if merit > best:
+                        picked, best = GRID[k], merit
+                if picked is not None:
+                    rows.append((r["stratum"], r["rule"], picked))
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.float64())], ["stratum", "rule", "cutoff"])
+
+    return run
+
+
+def cutoffs(tried: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, rule, cutoff) from what ``trials`` gives; made where the counts are, whatever the number of strata."""
+    steps = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"above_{name}").alias("above")) for name in RULES])).alias("s")
+    cells = tried.where("fold < 2").select("stratum", "fold", "good", steps).groupBy("stratum", "s.rule", "s.above").agg(
+        F.count_if((F.col("fold") == 0) & ~F.col("good")).alias("bad"), F.count_if((F.col("fold") == 0) & F.col("good")).alias("good"), F.count_if((F.col("fold") == 1) & F.col("good")).alias("sure")
+    )
+
+    def by_step(count: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(len(GRID))), lambda i: F.coalesce(F.col("m")[i][count], F.lit(0).cast("long"))).alias(count)
+
+    rows = cells.groupBy("stratum", "rule").agg(F.map_from_entries(F.collect_list(F.struct("above", F.struct("bad", "good", "sure")))).alias("m")).select("stratum", "rule", *map(by_step, ("bad", "good", "sure")))
+    rows = cut(rows)
+    return cut(rows.mapInArrow(_picked(alpha / len(RULES), max(1, rows.count()), delta), "stratum string, rule string, cutoff double"))
+
+
+def audit(tried: DataFrame, found: DataFrame) -> DataFrame:
+    """(stratum, good, rejected): of the good documents of the third fold, how many the cutoffs reject."""
+    per = found.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    grid = F.array(*map(F.lit, GRID))
+    # a value that exceeds k + 1 cutoffs or more exceeds the cutoff at place k
+    fails = [F.coalesce(F.col(f"above_{name}") >= F.array_position(grid, F.col("cutoffs")[name]), F.lit(False)) for name in RULES]
+    out = sized_join(tried.where("fold = 2 and good"), per, "stratum", "left")
+    return out.groupBy("stratum").agg(F.count("*").alias("good"), F.count_if(reduce(or_, fails)).alias("rejected"))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> DataFrame:
     """docs(doc_id, text, <stratum>, ...), labels(doc_id, quality) -> METRICS, base_failed, failed_rules, kept.
 
-    One row for each row of docs. Empty and null texts fail the base rules. Without labels only these count.
+    One row for each row of docs, also for those that repeat a doc_id. Empty and null texts fail the base rules; texts
+    of any length are whole. Without labels only the base rules count. Other columns, whatever their names, are
+    ignored; no rows give no rows.
     """
     metrics = stored(measure(docs, stratum))
-    of: dict[str, dict[str, float]] = {}
-    for s, rule, cutoff in cutoffs(metrics, labels):
-        of.setdefault(rule, {})[s] = cutoff
-    failed = [F.when(value > F.create_map(*[F.lit(x) for pair in of[name].items() for x in pair])[F.col("stratum")], F.lit(name)) for name, value in _rules().items() if name in of]
-    rules = F.array_compact(F.array(*failed)) if failed else F.array().cast("array<string>")
-    return metrics.withColumn("base_failed", base_failed()).withColumn("failed_rules", rules).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    found = cutoffs(trials(metrics, labels))
+    per = cut(found.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs")))
+    judged = sized_join(metrics, per, "stratum", "left")
+    rules = F.array_compact(F.array(*[F.when(value > F.col("cutoffs")[name], F.lit(name)) for name, value in _rules().items()]))
+    judged = judged.select(*metrics.columns, base_failed().alias("base_failed"), rules.alias("failed_rules"))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))

@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter
@@ -49,6 +50,76 @@ def test_cutoffs_hold_on_fresh_documents(spark):
     assert gone[True] > 0.95 and gone[False] <= quality_rules.ALPHA
 
 
+def plain_cutoffs(rows, labels):
+    """The definition, in Python: rows (doc_id, text, stratum), labels {doc_id: quality}; only the digest is Spark's."""
+    texts = {}
+    for i, text, stratum, digest, fold in rows:
+        if labels.get(i) is not None:
+            m = quality_rules.metrics_of((text or "").encode())
+            n, chars, symbols, dup, repeat, lines, capitals, marks = m
+            if n < 50 or 100 * repeat > 50 * n:
+                continue
+            shares = {"symbols": symbols / max(n, 1), "repeats": repeat / max(n, 1), "dup_lines": dup / max(lines, 1), "capitals": capitals / max(chars, 1), "marks": marks / max(n, 1)}
+            old = texts.get((stratum, digest))
+            texts[stratum, digest] = (fold, min(labels[i], old[1]) if old else labels[i], shares)
+    strata = {s for s, _ in texts}
+    out = {}
+    for s in strata:
+        for rule in quality_rules.RULES:
+            own = [(fold, label, shares[rule]) for (t, _), (fold, label, shares) in texts.items() if t == s]
+            sure = [v for fold, label, v in own if fold == 1 and label == 1]
+            best = 0.0
+            for c in reversed(quality_rules.GRID):
+                k = sum(v > c for v in sure)
+                if not sure or quality_rules.upper_bound(k, len(sure), quality_rules.DELTA / (len(strata) * 5)) > quality_rules.ALPHA / 5:
+                    break
+                bad, good = ([v > c for fold, label, v in own if fold == 0 and label == x] for x in (0, 1))
+                merit = sum(bad) / max(1, len(bad)) - quality_rules.GOOD_WEIGHT * sum(good) / max(1, len(good))
+                if merit > best:
+                    best, out[s, rule] = merit, c
+    return out
+
+
+def test_cutoffs_and_verdicts_equal_the_definition(spark):
+    """Two strata, bad documents by symbols or capitals, repeated texts and labels that disagree."""
+    rng = random.Random(5)
+    rows, labels = [], {}
+    for i in range(9000):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(60)]
+        bad = rng.random() < 0.2
+        if bad:
+            words[:20] = ["##" if i % 2 else "CAPS"] * 20 if rng.random() < 0.8 else words[:20]
+            words = rng.sample(words, len(words))
+        rows.append((i, " ".join(words), "en" if i % 3 else "fr"))
+        labels[i] = int(not bad)
+    rows += [(9000 + k, rows[7][1], rows[7][2]) for k in range(30)] + [(None, "x", "en")]
+    labels |= {9000 + k: 0 for k in range(30)} | {9100: 1}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = spark.createDataFrame([*labels.items(), (1, None), (None, 1)], "doc_id long, quality int")
+    told = df.select("doc_id", "text", "lang", F.xxhash64("text"), F.pmod(F.xxhash64(F.xxhash64("text"), F.lit(3)), F.lit(3))).collect()
+    want = plain_cutoffs([tuple(r) for r in told], labels)
+    metrics = quality_rules.measure(df)
+    tried = quality_rules.trials(metrics, known).cache()
+    found = quality_rules.cutoffs(tried)
+    assert {(r.stratum, r.rule): r.cutoff for r in found.collect()} == want and {("en", "symbols"), ("en", "capitals")} <= want.keys()
+    kept = {r.doc_id: (r.kept, r.failed_rules) for r in quality_rules.verdicts(df, known).collect()}
+    for i, text, stratum in rows[:2000]:
+        n, chars, symbols, dup, repeat, lines, capitals, marks = quality_rules.metrics_of(text.encode())
+        shares = {"symbols": symbols / n, "repeats": repeat / n, "dup_lines": dup / lines, "capitals": capitals / chars, "marks": marks / n}
+        failed = [r for r in quality_rules.RULES if (stratum, r) in want and shares[r] > want[stratum, r]]
+        assert kept[i] == (not failed, failed)
+    for r in quality_rules.audit(tried, found).collect():
+        assert r.good > 500 and r.rejected <= quality_rules.ALPHA * r.good
+
+
+def test_false_rejections_on_documents_that_took_no_part(spark):
+    """The third fold of the labelled documents at sf0.1, in each language."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
+    tried = quality_rules.trials(quality_rules.measure(docs), labels).cache()
+    for r in quality_rules.audit(tried, quality_rules.cutoffs(tried)).collect():
+        assert r.rejected <= quality_rules.ALPHA * r.good
+
+
 def test_votes_on_held_out_labels(spark, docs):
     out = QUERIES["op4_knn_quality"](spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.quality for r in out) > 0.9 * len(out)
