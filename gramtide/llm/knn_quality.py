@@ -31,8 +31,8 @@ SHARPNESS = 8
 #: Documents of a block of cosine products.
 BLOCK = 512
 KEEP = 0.3
-#: Words that a task remembers.
-REMEMBERED = 200_000
+#: Words that a task remembers, and the longest of them; longer ones are hashed each time.
+REMEMBERED, REMEMBERED_LENGTH = 200_000, 200
 #: Weight of the terms that describe the whole text against that of its words together.
 WHOLE = 1.5
 
@@ -46,7 +46,7 @@ def _hash(term: str) -> int:
 def _shape(word: str) -> str:
     for run, letter in _RUNS:
         word = run.sub(letter, word)
-    return re.sub(r"(.)\1+", r"\1\1", word[:24])
+    return re.sub(r"(.)\1+", r"\1\1", word)
 
 
 def _step(name: str, share: float) -> list[int]:
@@ -64,7 +64,9 @@ def _terms(text: str, known: dict[str, tuple[int, int]]) -> Terms:
     pairs = []
     for w in words:
         if (p := known.get(w)) is None:
-            p = known[w] = (_hash(w.lower()), _hash("\1" + _shape(w)))
+            p = (_hash(w.lower()), _hash("\1" + _shape(w)))
+            if len(w) <= REMEMBERED_LENGTH:
+                known[w] = p
         pairs.append(p)
     letters = len(text) or 1
     capitals = sum(map(text.count, "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÉÈÖÜÄÑÓ"))
@@ -170,8 +172,10 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
     """docs(doc_id, text, ...), labels(doc_id, quality) -> (doc_id, held_out, score, predicted), one row for each row.
 
     Learns only outside the held-out fold (crc32 of the id as text, modulo ``folds``) and only from labels that are
-    not null; of several labels of a document the least counts. A null id is never held out. Without any label all
-    scores are 0.5.
+    not null; of several labels of a document the least counts; of rows that repeat a doc_id one teaches (that with
+    the least terms). A null id is never held out. Without any label all scores are 0.5. Null texts score like empty
+    ones, texts of any length are whole; among neighbours of equal similarity at the last place any may vote. Other
+    columns, whatever their names, are ignored; no rows give no rows.
     """
     out = F.coalesce(bucket(F.col("doc_id"), folds) == held, F.lit(False))
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.least(F.col("quality"), F.lit(1))).alias("quality")).where(~out)
@@ -179,9 +183,10 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
     known = cut(known.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = cut(known.where("quality = 1").orderBy(*order).limit(per_label).unionByName(known.where("quality = 0").orderBy(*order).limit(per_label)))
-    learn = _counted(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    counted = _counted(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    # of rows that repeat an id one teaches, so at most 2 * per_label rows reach the driver
+    learn = counted.groupBy("doc_id").agg(F.min(F.struct("quality", "a", "an", "b", "bn")).alias("r")).select("doc_id", "r.*")
     rows = sorted((r["doc_id"], int(r["quality"]), *map(tuple, (r["a"], r["an"], r["b"], r["bn"]))) for r in learn.toLocalIterator())
-    rows = [r for k, r in enumerate(rows) if not k or r[0] != rows[k - 1][0]]  # rows that repeat an id: one of them
     as_terms = lambda r: tuple((np.array(i, np.int64), np.array(c, np.int64)) for i, c in (r[2:4], r[4:6]))
     space = fit([as_terms(r) for r in rows], [r[1] for r in rows])
     return scores(docs, space).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= KEEP).cast("int").alias("predicted"))

@@ -133,6 +133,33 @@ def test_votes_on_held_out_labels(spark, docs):
     assert knn_quality.classify(docs([]), some).count() == 0
 
 
+def test_shapes_are_of_whole_words():
+    assert knn_quality._shape("Ab" * 12 + "999") != knn_quality._shape("Ab" * 12)
+    assert knn_quality._shape("Hello-WORLD99") == "Xx-X9" and knn_quality._shape("a" * 10**6) == "x"
+
+
+def test_scores_equal_the_definition(spark, docs):
+    """Fit and vote again in plain NumPy, from the sample that the contract names; all rows, one id three times."""
+    table = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    twice = next(i for i, _ in table if i in labels and zlib.crc32(str(i).encode()) % 5)
+    rows = table + [(twice, dict(table)[twice])] * 2 + EDGE[:3]
+    text = dict(table)
+    learn = sorted(i for i, q in labels.items() if q is not None and i in text and zlib.crc32(str(i).encode()) % 5)
+    terms = [knn_quality._terms(text[i], {}) for i in learn]
+    space = knn_quality.fit(terms, [int(labels[i]) for i in learn])
+    got = knn_quality.classify(docs(rows), spark.read.parquet(f"{SF}/labels.parquet"), per_label=10**6).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        ids, values = knn_quality._weights(knn_quality._terms(text.get(r.doc_id) or "", {}), space.idf)
+        x = values @ space.project[ids]
+        cosine = space.vectors @ (x / max(np.linalg.norm(x), 1e-9))
+        near = np.argsort(-cosine, kind="stable")[: knn_quality.NEIGHBOURS]
+        w = np.maximum(cosine[near], 1e-3).astype(float) ** knn_quality.SHARPNESS
+        if r.doc_id not in (1, 2, 3):  # the edge rows share ids with documents
+            assert r.score == pytest.approx((w * space.labels[near]).sum() / w.sum(), abs=0.02)
+
+
 def test_block_scores_equal_plain_ones():
     rng = np.random.default_rng(0)
     v = rng.standard_normal((60, 8)).astype(np.float32)
