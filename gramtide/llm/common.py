@@ -45,17 +45,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(where, True)
+
+
 def removed_at_exit(spark: SparkSession, path: str) -> None:
     """Has a folder of the shared one removed when the process ends."""
 
-    def remove() -> None:
+    def last() -> None:
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(where, True)
+            remove(spark, path)
         except Exception:  # the session is gone
             pass
 
-    atexit.register(remove)
+    atexit.register(last)
 
 
 def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:

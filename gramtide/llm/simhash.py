@@ -26,7 +26,9 @@ SEED = 42
 #: (first bit, width) of the segments; 4 differing bits over 3 segments leave one with at most 1.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Members of a bucket beyond which it is dealt out anew by variants of the bits that its key leaves open.
-BUCKET = 4096
+BUCKET = 16_384
+#: Open bits from which on a bucket isn't dealt out again.
+FEW_OPEN = 12
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -110,80 +112,79 @@ def _linked(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
-_OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, open, fp) sorted by bucket -> forest edges (a, b) of each bucket."""
+    kept_keys, kept_fps = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
 
+    def edges(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in _linked(keys, fps)], ["a", "b"])
 
-def _buckets(limit: int | None):
-    """Streams the sorted rows of a partition; limit: members from which a bucket is passed on whole (b is null)."""
+    for batch in batches:
+        keys = np.concatenate([kept_keys, np.stack([batch.column(c).to_numpy() for c in ("key", "open")], axis=1)])
+        fps = np.concatenate([kept_fps, batch.column("fp").to_numpy().view(np.uint64)])
+        if not len(keys):
+            continue
+        # the last bucket may go on in the next batch
+        last = len(keys) - int(np.argmin(np.append(np.all(keys[::-1] == keys[-1], axis=1), False)))
+        yield edges(keys[:last], fps[:last])
+        kept_keys, kept_fps = keys[last:], fps[last:]
+    yield edges(kept_keys, kept_fps)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def passed(fps: np.ndarray, key: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.nulls(len(fps), pa.int64()), pa.array(np.full(len(fps), key))], schema=_OUT)
 
-        kept_keys, kept_fps, over = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64), None
-        for batch in batches:
-            keys = np.stack([batch.column("key").to_numpy(), batch.column("part").to_numpy()], axis=1)
-            fps = batch.column("fp").to_numpy().view(np.uint64)
-            if over is not None:
-                same = int(np.argmin(np.append(np.all(keys == over, axis=1), False)))
-                if same:
-                    yield passed(fps[:same], int(over[0]))
-                keys, fps = keys[same:], fps[same:]
-                if not len(keys):
-                    continue
-                over = None
-            keys, fps = np.concatenate([kept_keys, keys]), np.concatenate([kept_fps, fps])
-            if not len(keys):
-                continue
-            last = len(keys) - int(np.argmin(np.append(np.all(keys[::-1] == keys[-1], axis=1), False)))
-            done_keys, done_fps, kept_keys, kept_fps = keys[:last], fps[:last], keys[last:], fps[last:]
-            if limit and len(done_keys):
-                first = np.flatnonzero(np.concatenate([[True], np.any(done_keys[1:] != done_keys[:-1], axis=1)]))
-                sizes = np.diff(np.append(first, len(done_keys)))
-                large = np.repeat(sizes > limit, sizes)
-                for a, n in zip(first[sizes > limit].tolist(), sizes[sizes > limit].tolist(), strict=True):
-                    yield passed(done_fps[a : a + n], int(done_keys[a, 0]))
-                done_keys, done_fps = done_keys[~large], done_fps[~large]
-            a, b = _linked(done_keys, done_fps)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int64())], schema=_OUT)
-            if limit and len(kept_keys) > limit:
-                over = kept_keys[0]
-                yield passed(kept_fps, int(over[0]))
-                kept_keys, kept_fps = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
-        a, b = _linked(kept_keys, kept_fps)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(a), pa.int64())], schema=_OUT)
-
-    return run
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, open, fp) -> one row for each wildcard variant of the bits that their bucket leaves open.
+
+    The open bits are cut in three again: two fingerprints of a bucket differ in at most MAX_BITS of them, so in one
+    part by at most one bit. The new key is a hash of the old one and the variant; what it leaves open are the other parts.
+    """
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1 << 14):
+            key, open_, fp = (whole.slice(at, 1 << 14).column(c).to_numpy().view(np.uint64) for c in ("key", "open", "fp"))
+            for mask in np.unique(open_).tolist():
+                rows = open_ == mask
+                bits = [b for b in range(64) if mask >> b & 1]
+                for n, part in enumerate((bits[0::3], bits[1::3], bits[2::3])):
+                    held = sum(1 << b for b in part)
+                    for bit in part:
+                        new = key[rows] * np.uint64(0x9E3779B97F4A7C15) ^ (fp[rows] & np.uint64(held & ~(1 << bit))) * np.uint64(0xC2B2AE3D27D4EB4F)
+                        new = (new ^ new >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(n << 8 | bit)
+                        left = np.full(len(new), mask & ~held, np.uint64)
+                        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (new, left, fp[rows])], ["key", "open", "fp"])
 
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """fps(fp), without repeats -> (a, b): a spanning set of the links between fingerprints."""
-
-    def met(signed: DataFrame, limit: int | None) -> DataFrame:
-        dealt = signed.repartition("key", "part").sortWithinPartitions("key", "part", "fp")
-        return dealt.mapInArrow(_buckets(limit), "a long, b long, key long")
-
-    found = cut(met(fps.select("fp", F.explode(_variants(F.col("fp"), SEGMENTS)).alias("key"), F.lit(0).cast("long").alias("part")), bucket))
-    edges = found.where("b is not null").select("a", "b")
-    large = found.where("b is null").select(F.col("a").alias("fp"), "key")
-    if not large.limit(1).count():
-        return edges.distinct()
-    # a bucket's key fixes one segment up to a bit; the other two, about 42 bits, hold at most 4 differing bits, so
-    # cut in three again, one part of them differs in at most one bit
-    again = []
-    for s, (first, width) in enumerate(SEGMENTS):
-        low, high = sum(w for _, w in SEGMENTS[:s]), sum(w for _, w in SEGMENTS[: s + 1])
-        # the bits that are left, as one number: those above the segment moved down over it
-        above = F.shiftleft(F.shiftrightunsigned("fp", first + width), first) if first + width < 64 else F.lit(0).cast("long")
-        under = F.col("fp").bitwiseAND(F.lit((1 << first) - 1).cast("long"))
-        left = 64 - width
-        parts = tuple((left * k // 3, left * (k + 1) // 3 - left * k // 3) for k in range(3))
-        place = F.shiftrightunsigned("key", 32)
-        again.append(large.where((place >= low) & (place < high)).withColumn("part", F.explode(_variants(above.bitwiseOR(under), parts))))
-    rest = again[0].unionByName(again[1]).unionByName(again[2])
-    return edges.unionByName(met(rest, None).select("a", "b")).distinct()
+    """fps(fp), without repeats -> (a, b): a spanning set of the links between fingerprints.
+
+    Buckets of more than ``bucket`` members are found by counting, so that none of them comes into one task, and are
+    dealt out by the bits that they leave open, again and again. A bucket with FEW_OPEN open bits or less isn't: it
+    can't have more than 2 ** FEW_OPEN members for each bit that was wiped on the way.
+    """
+    keys = []
+    for n, (first, width) in enumerate(SEGMENTS):
+        held = ((1 << width) - 1) << first
+        open_ = np.array([(1 << 64) - 1 & ~held], np.uint64).view(np.int64)[0]
+        keys += [(n, int(open_))]
+    place = F.shiftrightunsigned("key", 32)
+    ends = np.cumsum([w for _, w in SEGMENTS]).tolist()
+    left = F.lit(keys[-1][1])
+    for (_, open_), end in zip(keys[:-1][::-1], ends[:-1][::-1], strict=True):
+        left = F.when(place < end, F.lit(open_)).otherwise(left)
+    rows = fps.select("fp", F.explode(_variants(F.col("fp"), SEGMENTS)).alias("key")).select("key", left.alias("open"), "fp")
+    found = None
+    while True:
+        sizes = rows.groupBy("key", "open").agg(F.count("*").alias("n")).where((F.col("n") > bucket) & (F.bit_count("open") > FEW_OPEN))
+        large = cut(sizes.select("key", "open"))
+        more = large.limit(1).count() > 0
+        small = sized_join(rows, large, ["key", "open"], "left_anti") if more else rows
+        edges = cut(small.repartition("key", "open").sortWithinPartitions("key", "open", "fp").mapInArrow(_met, "a long, b long").distinct())
+        found = edges if found is None else found.unionByName(edges)
+        if not more:
+            return found.distinct()
+        rows = cut(sized_join(rows, large, ["key", "open"], "left_semi").mapInArrow(_finer, "key long, open long, fp long"))
+
+
+#: What the number of a node without a doc_id begins with: over all ids.
+_NO_ID = 1 << 62
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -191,13 +192,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id that links lead to. Texts without words, null and empty ones included, have
     fingerprint 0 and link like any other. Rows that repeat an id get the same result each; a null id counts only
-    where a component has no other. Other columns are ignored; no rows give no rows.
+    where a component has no other (ids are under 2 ** 62). Texts of any length are whole. Other columns are ignored;
+    no rows give no rows.
     """
     prints = cut(fingerprints(docs))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp")))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = cut(rooted)
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = cut(rooted.join(named, "root").select("fp", "component_id"))
-    return sized_join(prints, of, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    # the smallest doc_id of a fingerprint is its node, so a component's root is its component_id. Fingerprints without
+    # an id share a node only if they differ in nothing but two bits, which links them anyway.
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", F.col("fp").bitwiseAND(F.lit(_NO_ID - 1)).bitwiseOR(F.lit(_NO_ID))).alias("id")))
+    side = lambda fp, id_: distinct.select(F.col("fp").alias(fp), F.col("id").alias(id_))
+    edges = sized_join(sized_join(links(distinct.select("fp")), side("a", "x"), "a", "inner"), side("b", "y"), "b", "inner")
+    roots = cut(components(edges.select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct())
+    of = cut(sized_join(distinct, roots.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("root", "id").alias("root")))
+    named = F.when(F.col("root") < _NO_ID, F.col("root")).alias("component_id")
+    return sized_join(prints, of, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), named)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import removed_at_exit, shared_dir, sized_join, stored, text_slices
+from .common import remove, removed_at_exit, shared_dir, sized_join, stored, text_slices
 
 #: Bytes of a block.
 BLOCK = 1 << 20
@@ -154,4 +154,6 @@ def documents_counts(docs: DataFrame, ranks_path: str, pattern: str, eod: int, w
     if not manifest.limit(1).count():
         return manifest.select("doc_id", "file", "ordinal", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n_tokens"))
     removed_at_exit(spark, folder)
-    return counts(manifest, stored(scan(blocks_of(spark, folder), eod, width)))
+    found = stored(scan(blocks_of(spark, folder), eod, width))
+    remove(spark, folder)  # the counts are stored, so no later task asks for the files
+    return counts(manifest, found)

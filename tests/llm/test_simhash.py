@@ -50,7 +50,7 @@ def test_edge_rows(spark, docs):
     assert simhash.near_duplicates(docs([(None, "a b"), (None, "a b")])).count() == 2
 
 
-@pytest.mark.parametrize("limit", [4096, 8])
+@pytest.mark.parametrize("limit", [4096, 30])
 def test_links_are_complete(spark, limit):
     rng = np.random.default_rng(limit)
     near = np.uint64(0x0123456789ABCDEF) ^ np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(150)], np.uint64)
@@ -78,3 +78,19 @@ def test_links_are_complete(spark, limit):
     every = [(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 4]
     want = classes(every)
     assert classes([(r.a, r.b) for r in simhash.links(df, limit).collect()]) == want
+
+
+def test_hubs_of_a_graph(spark, monkeypatch):
+    from gramtide.llm import graph
+
+    monkeypatch.setattr(graph, "HUB", 5)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 12)
+    edges = [(0, k) for k in range(1, 40)] + [(k, k + 1) for k in range(100, 130)] + [(130, 39), (200, 201)]
+    got = {(r.node, r.root) for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {(k, 0) for k in [*range(40), *range(100, 131)]} | {(200, 200), (201, 200)}
+
+
+def test_rows_without_an_id(spark, docs):
+    text = "one two three four five six seven eight"
+    got = simhash.near_duplicates(docs([(None, text), (None, "other words altogether"), (7, text), (None, text)])).collect()
+    assert sorted(((r.doc_id or 0), (r.component_id or 0)) for r in got) == [(0, 0), (0, 7), (0, 7), (7, 7)]
