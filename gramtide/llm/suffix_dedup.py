@@ -1,15 +1,19 @@
 """Removal of repeated byte strings by distributed prefix doubling.
 
-A byte goes if it lies in a string of ``LENGTH`` bytes (a window) that also starts earlier in the corpus. Ranks are
-64-bit hashes that double in length: the rank of 2 L bytes is made of the ranks of the L bytes at offsets 0 and L.
-Sorting the ranks of all positions again and again would move many times the corpus, so positions drop out as early
-as they can:
+A byte goes if it lies in a string of ``LENGTH`` bytes (a window) that also starts earlier in the corpus.
+
+``doubled`` is the method as it stands: Spark sorts the pairs of ranks of all places at growing offsets and reranks
+until a place is unique or the rank tells 100 bytes. It moves tens of bytes for each byte in each of eight rounds.
+
+``remove_repeats`` gives the same with fewer places and fewer rounds. Ranks are 64-bit hashes that double in length (the
+rank of 2 L bytes is made of the ranks of the L bytes at offsets 0 and L), so lengths under 32 need no sort:
 
 1. Level 32. Every window is filed under one of its 32-byte strings, that with the least rank (the last of equals),
    which depends on the window's bytes only. Windows in a row that share it form a run; the corpus has about one run
-   for 30 bytes. Spark sorts the runs by the rank of their string. A run whose string occurs nowhere else is unique
-   and done. A run whose bytes all occur in an earlier run is repeated as a whole and done (within one text this is
-   seen before anything is shuffled, so periodic texts make no crowd).
+   for 30 bytes. Spark sorts (rank of the string, rank of the run's bytes, place). A run whose string occurs nowhere
+   else is unique and done. A run whose bytes all occur in an earlier run is repeated as a whole and done (within the
+   texts of a slice this is seen before anything is shuffled, so neither periodic texts nor passages that very many
+   texts share make a crowd).
 2. Level 100, the threshold. Of the runs that share their string with different ones the bytes are sorted by string,
    and the windows of each get their rank from the pair of ranks of 64 bytes at offsets 0 and 36. A window whose rank
    has an earlier place is repeated. Where very many different runs share a string, single windows are sorted by
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_slices
+from .common import cut, stored, text_slices
 
 LENGTH = 100
 BASE = 32
@@ -100,11 +104,34 @@ def _own_repeats(string: np.ndarray, run: np.ndarray, first: np.ndarray, size: n
     return np.setdiff1d(np.arange(len(run)), later), begin[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
 
 
+def _first_of_each(string: np.ndarray, whole: np.ndarray, places: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(runs to file, runs that are repeated) of the runs of many texts: of equal runs the one at the least place, given
+    as arrays from the first to the last that decides, is filed for all. Others at that very place count as filed."""
+    both = string * _A ^ whole
+    order = np.argsort(both, kind="stable")
+    s = both[order]
+    same = np.flatnonzero(s[1:] == s[:-1])
+    if not len(same):
+        return np.arange(len(string)), same
+    many = np.unique(np.concatenate([order[same], order[same + 1]]))  # runs that have an equal, or a hash alike
+    order = many[np.lexsort((*(p[many] for p in places[::-1]), whole[many], string[many]))]
+    head = np.concatenate([[True], (string[order[1:]] != string[order[:-1]]) | (whole[order[1:]] != whole[order[:-1]])])
+    least = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    there = np.logical_and.reduce([p[order] == p[least] for p in places])
+    file = np.ones(len(string), bool)
+    file[order[~head]] = False
+    return np.flatnonzero(file), np.sort(order[~there])
+
+
 def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of each text, as (string, whole, run); stretches that a text repeats of itself, as (run, upto) = (a, b)."""
+    """Runs of the texts, as (string, whole, run); stretches that are repeated for sure, as (run, upto) = (a, b).
+
+    What a text repeats of itself, and what the texts at hand repeat of each other, is settled here: of a passage that
+    very many texts share, a slice of texts files one run for each place in the passage.
+    """
     for whole in batches:
         for batch in text_slices(whole):
-            ids, columns, known = [], ([], [], [], []), []
+            rows, columns, known = [], ([], [], [], [], []), ([], [], [])
             texts = batch.column("text").cast(pa.binary())
             for k in range(batch.num_rows):
                 if not texts[k].is_valid:
@@ -113,17 +140,28 @@ def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for at in range(0, len(data) - LENGTH + 1, SEGMENT):
                     string, run, first, size = _runs(data[at : at + SEGMENT + LENGTH - 1])
                     filed, a, b = _own_repeats(string, run, first, size)
-                    # stretches stand under a string of their own, so that none of them gathers in one task
-                    parts = zip(columns, (string[filed].view(np.int64), run[filed].view(np.int64), (first[filed] + at) << 7 | size[filed], np.zeros(len(filed), np.int64)), (run[: len(a)].view(np.int64), a, a + at, b + at), strict=True)
-                    for column, values, own in parts:
-                        column += [values, own]
-                    ids.append(np.full(len(filed) + len(a), k))
-                    known.append(np.repeat([False, True], [len(filed), len(a)]))
-            if ids:
-                arrays = [np.concatenate(c) for c in columns]
-                mask = ~np.concatenate(known)
-                upto = pa.array(arrays[3], mask=mask)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(np.concatenate(ids))), *map(pa.array, arrays[:3]), upto], schema=_FILED)
+                    rows.append(np.full(len(filed), k))
+                    for column, values in zip(columns, (string[filed], run[filed], first[filed] + at, size[filed]), strict=False):
+                        column.append(values)
+                    for column, values in zip(known, (np.full(len(a), k), a + at, b + at), strict=True):
+                        column.append(values)
+            if not rows:
+                continue
+            doc = batch.column("doc_id")
+            row, string, run, first, size = (np.concatenate(c) for c in (rows, *columns[:4]))
+            valid, ids = np.asarray(doc.is_valid()), np.asarray(doc.fill_null(0))
+            filed, repeated = _first_of_each(string, run, (valid[row], ids[row], first))
+            # repeated runs that follow each other in a text are one stretch
+            order = repeated[np.lexsort((first[repeated], row[repeated]))]
+            begin, end = first[order], first[order] + size[order]
+            new = np.concatenate([[True], (row[order[1:]] != row[order[:-1]]) | (begin[1:] != end[:-1])]) if len(order) else np.zeros(0, bool)
+            last = np.append(np.flatnonzero(new)[1:] - 1, len(order) - 1)[: int(new.sum())]
+            own = [np.concatenate([*c, x]) for c, x in zip(known, (row[order][new], begin[new], end[last]), strict=True)]
+            # stretches stand under a string of their own, so that none of them gathers in one task
+            apart = _pair(own[0].astype(np.uint64), own[1].astype(np.uint64)).view(np.int64)
+            arrays = [np.concatenate([string[filed].view(np.int64), apart]), np.concatenate([run[filed].view(np.int64), own[1]]), np.concatenate([first[filed] << 7 | size[filed], own[1]])]
+            upto = pa.array(np.concatenate([np.zeros(len(filed), np.int64), own[2]]), mask=np.repeat([True, False], [len(filed), len(own[0])]))
+            yield pa.RecordBatch.from_arrays([doc.take(pa.array(np.concatenate([row[filed], own[0]]))), *map(pa.array, arrays), upto], schema=_FILED)
 
 
 def _bytes_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -243,9 +281,10 @@ def remove_repeats(docs: DataFrame, many_runs: int = MANY_RUNS) -> DataFrame:
     kind = F.col("upto").isNotNull()
     same = Window.partitionBy("string", "kind", "whole").orderBy("doc_id", "run")
     every = Window.partitionBy("string", "kind")
-    ranked = filed.withColumn("kind", kind).withColumn("rank", F.rank().over(same))
-    ranked = ranked.withColumn("runs", F.sum((F.col("rank") == 1).cast("long")).over(every))
-    kept = ranked.where("kind or rank > 1 or runs > 1")
+    # rows that repeat a doc_id file the same places: rank 1 is all of them, nth 1 stands for them
+    ranked = filed.withColumn("kind", kind).withColumn("rank", F.rank().over(same)).withColumn("nth", F.row_number().over(same))
+    ranked = ranked.withColumn("runs", F.sum((F.col("nth") == 1).cast("long")).over(every))
+    kept = ranked.where("kind or rank > 1 or (nth = 1 and runs > 1)")
     found = stored(kept.select("doc_id", "run", "upto", F.when(~F.col("kind") & (F.col("rank") == 1), F.col("string")).alias("string"), (F.col("runs") > many_runs).alias("many")))
     repeated = found.where("string is null").select("doc_id", F.expr("if(upto is null, run >> 7, run)").alias("a"), F.expr("coalesce(upto, (run >> 7) + (run & 127))").alias("b"))
     some = found.where("string is not null").select(F.col("doc_id").alias("of"), "run", "string", "many")
@@ -256,5 +295,34 @@ def remove_repeats(docs: DataFrame, many_runs: int = MANY_RUNS) -> DataFrame:
     stretches = few.mapInArrow(_compared, "doc_id long, a long, b long")
     single = runs.where("many").select("doc_id", "string", "run", "bytes").mapInArrow(_single, "doc_id long, string long, rank long, start long")
     later = single.withColumn("nth", F.rank().over(Window.partitionBy("string", "rank").orderBy("doc_id", "start"))).where("nth > 1").select("doc_id", F.col("start").alias("a"), (F.col("start") + 1).alias("b"))
-    gone = repeated.unionByName(stretches).unionByName(later).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("a", "b")).alias("gone"))
+    return _without(docs, repeated.unionByName(stretches).unionByName(later))
+
+
+def _without(docs: DataFrame, stretches: DataFrame) -> DataFrame:
+    """The documents without the windows of stretches(doc_id, a, b)."""
+    gone = stretches.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set(F.struct("a", "b")).alias("gone"))
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "gone").mapInArrow(_cleaned, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+
+
+def doubled(docs: DataFrame) -> DataFrame:
+    """The same by prefix doubling over every byte, for texts of distinct doc_ids without nulls.
+
+    The rank of a string is the least place, (doc_id, start), that has it. Spark sorts the pairs of ranks at offsets 1, 2,
+    4 ... 32 and at last 36, and each pair gets its own least place as its rank; a place whose pair occurs once drops
+    out. No hashes: this is exact, and the measure of ``remove_repeats``. Every round moves tens of bytes for each byte.
+    """
+    docs = docs.select("doc_id", "text")
+    data = F.col("text").cast("binary")
+    places = docs.where(F.octet_length("text") >= LENGTH).select("doc_id", F.explode(F.sequence(F.lit(1), F.octet_length("text"))).alias("at"), data.alias("data"))
+    rows = places.select("doc_id", (F.col("at") - 1).cast("long").alias("at"), F.substring("data", F.col("at"), F.lit(1)).alias("x"), F.lit(None).cast("binary").alias("y"))
+
+    def reranked(rows: DataFrame) -> DataFrame:
+        classes = rows.groupBy("x", "y").agg(F.min(F.struct("doc_id", "at")).alias("rank"), F.count("*").alias("n")).where("n > 1").drop("n")
+        return cut(rows.join(classes, rows["x"].eqNullSafe(classes["x"]) & rows["y"].eqNullSafe(classes["y"])).select("doc_id", "at", "rank"))
+
+    ranks = reranked(rows)
+    for offset in (1, 2, 4, 8, 16, 32, LENGTH - 64):
+        right = ranks.select("doc_id", (F.col("at") - offset).alias("at"), F.col("rank").alias("y"))
+        ranks = reranked(ranks.withColumnRenamed("rank", "x").join(right, ["doc_id", "at"]))
+    later = ranks.where("rank <> struct(doc_id, at)").select("doc_id", F.col("at").alias("a"), (F.col("at") + 1).alias("b"))
+    return _without(docs, later)

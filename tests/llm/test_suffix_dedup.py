@@ -73,3 +73,30 @@ def test_repeated_rows_and_null_ids(spark, docs):
 def test_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert got(df) == brute([(r.doc_id, r.text) for r in df.collect()])
+
+
+def test_a_thousand_rows_of_one_id(spark, docs):
+    rng = random.Random(7)
+    a = "".join(rng.choice("abcdef ") for _ in range(3000))
+    out = got(docs([(5, a)] * 1000 + [(4, "q" + a[:500])]))
+    assert len(out) == 1001 and out[0][:3] == (4, 501, 0) and {r[:4] for r in out[1:]} == {(5, 3000, 500, 1)}
+
+
+def test_the_plain_method_gives_the_same(spark, docs):
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdé ") for _ in range(260))
+    rows = [(k, "".join(rng.choice("xyz ") for _ in range(60)) + passage[rng.randint(0, 120) :] + "".join(rng.choice("uvw") for _ in range(k))) for k in range(6)]
+    rows += [(6, None), (7, ""), (8, "x" * 150), (9, "ab" * 90), (10, rows[2][1])]
+    plain = sorted(tuple(r)[:5] for r in s.doubled(docs(rows)).collect())
+    assert plain == brute(rows) == got(docs(rows))
+
+
+def test_equal_runs_of_a_slice_file_one(spark):
+    import numpy as np
+
+    string, whole = np.array([1, 1, 2, 1, 1, 3], np.uint64), np.array([9, 9, 9, 8, 9, 9], np.uint64)
+    known, ids, first = np.array([True, True, True, True, False, True]), np.array([4, 2, 1, 1, 0, 1]), np.arange(6)
+    filed, repeated = s._first_of_each(string, whole, (known, ids, first))
+    assert filed.tolist() == [2, 3, 4, 5] and repeated.tolist() == [0, 1]  # the null id is the least
+    filed, repeated = s._first_of_each(string[:2], whole[:2], (known[:2], np.array([4, 4]), np.zeros(2, int)))
+    assert len(filed) == 1 and not len(repeated)  # rows at one place
