@@ -26,10 +26,15 @@ def _hash(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("x"), F.xxhash64(line, F.lit(1)).alias("y"))
 
 
+def _blank(line: Column) -> Column:
+    """Nothing but ASCII white space."""
+    return ~line.rlike(r"[^\x20\x09-\x0D]")
+
+
 def _lines(docs: DataFrame, site: str) -> DataFrame:
-    """(doc_id, site, h): every line that isn't blank."""
+    """(doc_id, site, h): every line that isn't blank (nothing but ASCII white space)."""
     line = F.explode(F.split("text", "\n")).alias("line")
-    return docs.select("doc_id", F.col(site).cast("string").alias("site"), line).where(F.trim("line") != "").select("doc_id", "site", _hash(F.col("line")).alias("h"))
+    return docs.select("doc_id", F.col(site).cast("string").alias("site"), line).where(~_blank(F.col("line"))).select("doc_id", "site", _hash(F.col("line")).alias("h"))
 
 
 def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -50,8 +55,11 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
 def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """docs(doc_id, text, <site>, ...) -> its columns with ``text`` cleaned, and n_lines, n_removed_lines (long).
 
-    Blank lines stay; lines are compared as they are; what remains is joined by newlines again. A null text stays
-    null with no lines. Every row stays, also one whose lines are all boilerplate (its text is then empty).
+    Blank lines stay (spaces, tabs and carriage returns are blank); lines are compared as they are, so a repeated line
+    counts once for a site; what remains is joined by newlines again. A null text stays null with no lines, an empty
+    one has one line. Every row stays, also one whose lines are all boilerplate (its text is then empty) and rows that
+    repeat a doc_id. Texts of any length are whole. Columns n_lines and n_removed_lines of docs give way to the new
+    ones; all others stay as they are. No rows give no rows.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
     found = boilerplate(docs, site, min_sites)
@@ -60,7 +68,7 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
     # documents are always shuffled to their lines: this side grows with them, so it is never broadcast
     lines = F.split("text", "\n")
     joined = docs.select(*names).join(held, F.col("doc_id").eqNullSafe(F.col("__held_by")), "left")
-    stay = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("__gone"), _hash(x)))
+    stay = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col("__gone"), _hash(x)))
     out = joined.select(*names, F.when(F.col("__gone").isNotNull(), stay).alias("__stay"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"))
     removed = F.when(F.col("__stay").isNotNull(), F.col("n_lines") - F.size("__stay")).otherwise(F.lit(0)).cast("long")
     cleaned = F.when(F.col("__stay").isNotNull(), F.array_join("__stay", "\n")).otherwise(F.col("text"))

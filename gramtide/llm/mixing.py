@@ -39,7 +39,11 @@ def place(doc_id: Column, epoch: Column, seed: int = SEED) -> Column:
 
 
 def leaves(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, lang, source) -> one narrow row for each: doc_id, the levels, tokens (words)."""
+    """docs(doc_id, text, lang, source, ...) -> one narrow row for each: doc_id, the levels, tokens (words).
+
+    A null text has no words; texts of any length are whole; null levels count as empty names. Other columns, whatever
+    their names, are ignored; no rows give no rows.
+    """
     words = F.coalesce(F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")), F.lit(0)).cast("long")
     text = F.coalesce(F.col("lang").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit(""))
     return docs.select("doc_id", domain_of(text[1]).alias("domain"), text[0].alias("language"), text[1].alias("source"), F.when(F.col("text").isNull(), 0).otherwise(words).cast("long").alias("tokens"))
@@ -89,7 +93,8 @@ def selection(narrow: DataFrame, budget_share: float = BUDGET_SHARE, weights: di
     """narrow: what ``leaves`` gives -> (doc_id, domain, language, source, tokens, copies): the rows with copies > 0.
 
     copies is the number of epochs that take the document. Rows without tokens are never taken. Rows that repeat an
-    id count apart and are ordered alike, so the last epoch takes all or none of them.
+    id count apart and are ordered alike, so the last epoch takes all or none of them; documents at one place of the
+    seeded order likewise. No rows, or no budget, give no rows.
     """
     weights = WEIGHTS if weights is None else weights
     key = list(LEVELS)

@@ -110,7 +110,7 @@ _MIXING = f"""
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": f"""
         WITH lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents),
-        boiler AS (SELECT line FROM lines WHERE trim(line) <> '' GROUP BY line HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}),
+        boiler AS (SELECT line FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY line HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}),
         numbered AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
         kept AS (SELECT n.doc_id, count(*) AS n_lines, count(b.line) AS n_removed_lines,
                         coalesce(string_agg(n.line, chr(10) ORDER BY i) FILTER (b.line IS NULL), '') AS text
