@@ -55,7 +55,7 @@ def negative_binomial(x, n, steps: int = 200) -> tuple[float, float]:
             step = -np.linalg.solve(hessian, gradient)
         else:
             step = gradient / np.maximum(np.abs(np.diag(hessian)), 1e-9)
-        step = np.clip(step, -2, 2)
+        step = step / max(1.0, np.abs(step).max() / 2)  # shortened as a whole, so that it still climbs
         for _ in range(40):
             new = np.array([at[0] + step[0], np.clip(at[1] + step[1], low, high)])
             found = _slopes(*new, x, n, of, counts)

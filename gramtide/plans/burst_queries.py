@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, text
 from ..operators import corr, peaks, series, spectral, vocab, windows
 from ..operators.lineage import cut, sized_join
+from . import law_sql
 from .registry import query, sql
 from .series_queries import _spearman, array_windows, long_windows
 from .tables import Tables
@@ -28,20 +29,6 @@ def found(t: Tables, law: str = "bnb", rounds: int = 2) -> DataFrame:
     return peaks.daily_pvalues(words(t), law, rounds, peaks.THRESHOLD)
 
 
-for _name, _law, _rounds in (("fit_nb", "nb", 1), ("fit_bnb", "bnb", 1), ("fit_bnb2", "bnb", 2)):
-    query(_name)(lambda t, law=_law, n=_rounds: peaks.fits(words(t), law, n))
-
-
-@query("fit_iterated")
-def fit_iterated(t: Tables):
-    """Rounds until no more days leave, for three limits of the obvious."""
-    return peaks.iterated(words(t), limits=(1e-5, 1e-6, 1e-7))
-
-
-for _name, _law in (("pvalues_nb", "nb"), ("pvalues_bnb", "bnb")):
-    query(_name)(lambda t, law=_law: peaks.daily_pvalues(words(t), law))
-
-
 def _poisson(source: str) -> str:
     """(mot, date, x, n_tot, p) of a dense series by SQL: one minus the terms under x, for counts that allow it."""
     m = "(x_sum / n_sum * n_tot)"
@@ -52,29 +39,72 @@ _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 _WORDS = f"(SELECT t.media || ':' || c.gram AS mot, strptime(t.date::VARCHAR, '%Y%m%d')::DATE AS date, coalesce(u.n, 0)::BIGINT AS x, t.total AS n_tot FROM (SELECT media, gram FROM cens WHERE active_days >= {MIN_DAYS} AND gram NOT IN ({_STOP}) AND NOT regexp_matches(gram, '^[0-9]') AND length(gram) > 1) c JOIN tot t USING (media) LEFT JOIN uni u ON u.media = t.media AND u.gram = c.gram AND u.date = t.date)"
 
 
+def _laws(body: str, *ctes: str) -> str:
+    """A query over the words' days w and CTEs of laws."""
+    return sql("\0", "uni", "tot", "cens").replace("WITH ", "WITH RECURSIVE ", 1).replace("\0", f", w AS MATERIALIZED (SELECT * FROM {_WORDS}), " + ",\n".join(ctes) + "\n" + body)
+
+
+_FIT = {"fit_nb": ("nb", 1, (law_sql.nb("a"),), 2), "fit_bnb": ("bnb", 1, (law_sql.hurdle("a"),), 3), "fit_bnb2": ("bnb", 2, (law_sql.hurdle("b"), law_sql.hurdle("a", "b")), 3)}
+_ERROR = "too few counts for a fit"
+
+
+def _number(name: str, digits: int) -> F.Column:
+    """Null where there is no fit."""
+    return F.when(~F.isnan(name), F.round(name, digits)).alias(name)
+
+
+for _name, (_law, _rounds, _ctes, _free) in _FIT.items():
+    query(
+        _name,
+        _laws(
+            f"""SELECT mot, '{_law}' AS law, round(mu, 8) AS mu, round(least(r, 1000.0), 2) AS r, CASE WHEN mu IS NOT NULL THEN round(p0, 8) END AS p0, CASE WHEN mu IS NOT NULL THEN round(chi2, 3) END AS chi2, CASE WHEN mu IS NOT NULL THEN dof END AS dof,
+            CASE WHEN mu IS NOT NULL THEN dropped ELSE 0 END AS dropped, CASE WHEN mu IS NULL THEN '{_ERROR}' END AS error FROM ({law_sql.goodness("a", _free)}) JOIN (SELECT mot, any_value(mu) AS mu, any_value(r) AS r, any_value(p0) AS p0 FROM a GROUP BY mot) USING (mot)""",
+            *_ctes,
+        ),
+    )(lambda t, law=_law, n=_rounds: peaks.fits(words(t), law, n).withColumn("r", F.least("r", F.lit(1000.0))).select("mot", "law", _number("mu", 8), _number("r", 2), _number("p0", 8), _number("chi2", 3), _number("dof", 0), "dropped", "error"))
+
+
+@query("fit_iterated")
+def fit_iterated(t: Tables):
+    """Rounds until no more days leave, for three limits of the obvious."""
+    return peaks.iterated(words(t), limits=(1e-5, 1e-6, 1e-7))
+
+
+for _name, _law, _cte in (("pvalues_nb", "nb", law_sql.nb("a")), ("pvalues_bnb", "bnb", law_sql.hurdle("a"))):
+    query(_name, _laws("SELECT mot, date, x, n_tot, round(p, 4) AS p FROM a WHERE p IS NOT NULL", _cte))(lambda t, law=_law: peaks.daily_pvalues(words(t), law).select("mot", "date", "x", "n_tot", F.round("p", 4).alias("p")))
+
+
 @query("pvalues_poisson", sql(f"SELECT mot, date, x, n_tot, round(p, 8) AS p FROM ({_poisson(_WORDS)})", "uni", "tot", "cens"))
 def pvalues_poisson(t: Tables):
     return peaks.daily_pvalues(words(t), "poisson").select("mot", "date", "x", "n_tot", F.round("p", 8).alias("p"))
 
 
-@query("peaks_mass")
+_TWICE = (law_sql.hurdle("b"), law_sql.hurdle("a", "b"))
+_PLACED = "(SELECT *, row_number() OVER (PARTITION BY mot ORDER BY date) - 1 AS pos FROM a)"
+
+
+@query("peaks_mass", _laws(f"SELECT mot, date, pos, x, n_tot, round(1e5 * x / n_tot, 6) AS f, round(p, 10) AS p FROM {_PLACED} WHERE p < {peaks.THRESHOLD}", *_TWICE))
 def peaks_mass(t: Tables):
-    return found(t)
+    return found(t).select("mot", "date", "pos", "x", "n_tot", F.round("f", 6).alias("f"), F.round("p", 10).alias("p"))
 
 
-@query("peaks_top30")
+@query("peaks_top30", _laws("SELECT mot, date, x, n_tot, round(p, 5) AS p FROM a WHERE p < 0.05 QUALIFY row_number() OVER (PARTITION BY mot ORDER BY p, date) <= 30", *_TWICE))
 def peaks_top30(t: Tables):
-    return peaks.top_peaks(peaks.daily_pvalues(words(t), "bnb", 2, 0.05)).orderBy("mot", "date")
+    return peaks.top_peaks(peaks.daily_pvalues(words(t), "bnb", 2, 0.05)).select("mot", "date", "x", "n_tot", F.round("p", 5).alias("p")).orderBy("mot", "date")
 
 
-@query("worst_day")
+@query("worst_day", _laws("SELECT mot, date, round(p, 5) AS p FROM a WHERE p IS NOT NULL QUALIFY row_number() OVER (PARTITION BY mot ORDER BY p, date) = 1", law_sql.nb("a")))
 def worst_day(t: Tables):
-    return peaks.daily_pvalues(words(t), "nb").groupBy("mot").agg(F.min_by(F.struct("date", "p"), F.struct("p", "date")).alias("s")).select("mot", "s.date", "s.p")
+    return peaks.daily_pvalues(words(t), "nb").groupBy("mot").agg(F.min_by(F.struct("date", "p"), F.struct("p", "date")).alias("s")).select("mot", "s.date", F.round("s.p", 5).alias("p"))
+
+
+_CURVE = f"""SELECT mot, k, round(CASE WHEN k = 0 THEN any_value(p0) ELSE (1 - any_value(p0)) * avg({law_sql.nb_mass("greatest(k - 1, 0)", "(mu * n_tot)", "r")}) END, 6) AS p
+    FROM a JOIN (SELECT mot, unnest(range(greatest(0, hi - 30000), hi, greatest(1, ceil(least(hi, 30000) / 800.0)::BIGINT))) AS k FROM (SELECT mot, floor(max(x) * 1.3)::BIGINT + 6 AS hi FROM w GROUP BY mot)) USING (mot) WHERE mu IS NOT NULL GROUP BY mot, k"""
 
 
-@query("mixture_density")
+@query("mixture_density", _laws(_CURVE, law_sql.hurdle("a")))
 def mixture_density(t: Tables):
-    return peaks.mixture_density(words(t), "bnb")
+    return peaks.mixture_density(words(t), "bnb").withColumn("p", F.round("p", 6))
 
 
 @query("spike_threshold")
@@ -99,16 +129,23 @@ def spikes_rolling(t: Tables):
     return peaks.rolling_spikes(words(t))
 
 
-@query("gof_kept")
+_GOODNESS = f"SELECT mot, chi2, dof, chi2 / dof AS ratio, {law_sql.chi2_upper('chi2', 'dof')} AS p_gof FROM ({{}}) WHERE chi2 IS NOT NULL"
+
+
+@query("gof_kept", _laws(f"SELECT count(*) AS kept, round(min(ratio), 5) AS least, round(max(ratio), 5) AS largest FROM ({_GOODNESS.format(law_sql.goodness('a', 2))}) WHERE p_gof >= 0.05", law_sql.nb("a")))
 def gof_kept(t: Tables):
     """Words that the test of fit doesn't reject, and the least and largest of their ratios."""
     rows = peaks.fits(words(t), "nb").where("p_gof >= 0.05")
-    return rows.agg(F.count("*").alias("kept"), F.min("ratio").alias("least"), F.max("ratio").alias("largest"))
+    return rows.agg(F.count("*").alias("kept"), F.round(F.min("ratio"), 5).alias("least"), F.round(F.max("ratio"), 5).alias("largest"))
 
 
-@query("law_compare")
+_COMPARED = " UNION ALL ".join(f"SELECT m.mot, '{law}' AS law, round(chi2, 3) AS chi2, CASE WHEN chi2 IS NOT NULL THEN dof END AS dof, round(ratio, 5) AS ratio, round(p_gof, 6) AS p_gof, CASE WHEN chi2 IS NULL THEN '{_ERROR}' END AS error FROM (SELECT DISTINCT mot FROM w) m LEFT JOIN ({_GOODNESS.format(law_sql.goodness(name, free))}) USING (mot)" for law, name, free in (("poisson", "p", 1), ("nb", "a", 2), ("bnb", "c", 3)))
+
+
+@query("law_compare", _laws(_COMPARED, law_sql.poisson("p"), law_sql.nb("a"), law_sql.hurdle("c")))
 def law_compare(t: Tables):
-    return peaks.fits(words(t), peaks.LAWS).select("mot", "law", "chi2", "dof", "ratio", "p_gof", "error")
+    rows = peaks.fits(words(t), peaks.LAWS)
+    return rows.select("mot", "law", _number("chi2", 3), _number("dof", 0), _number("ratio", 5), _number("p_gof", 6), "error")
 
 
 @query("report_stats")
@@ -120,9 +157,9 @@ def report_stats(t: Tables):
     return stats.join(series.moments(s, "x"), "mot").join(fit, "mot")
 
 
-@query("report_peaks")
+@query("report_peaks", _laws(f"SELECT mot, date, x, n_tot, round(p, 10) AS p, row_number() OVER (PARTITION BY mot ORDER BY p, date) AS rank FROM a WHERE p < {peaks.THRESHOLD}", *_TWICE))
 def report_peaks(t: Tables):
-    return found(t).select("mot", "date", "x", "n_tot", "p", "surprise", F.row_number().over(Window.partitionBy("mot").orderBy(F.desc("surprise"), "date")).alias("rank"))
+    return found(t).select("mot", "date", "x", "n_tot", F.round("p", 10).alias("p"), F.row_number().over(Window.partitionBy("mot").orderBy(F.desc("surprise"), "date")).alias("rank"))
 
 
 @query("word_sheet")
@@ -247,7 +284,14 @@ def _whole_windows(long: DataFrame, half: int) -> DataFrame:
     return long.withColumn("n", F.count("*").over(Window.partitionBy("mot", "centre"))).where(F.col("n") == 2 * half + 1).drop("n")
 
 
-@query("stage_counts")
+def _stages(name: str, half: int, floor: int) -> dict[str, str]:
+    """The stages of a chain over the positions that _chosen gives, as SQL; no window of a peak is flat."""
+    whole = f"(SELECT k.mot, k.pos, p.n_tot FROM {name} k JOIN {name}_pk p USING (mot, pos) JOIN {_FITS_IN} USING (mot) WHERE pos - {half} >= 0 AND pos + {half} <= last)"
+    full = f"(SELECT * FROM {whole} WHERE n_tot >= {floor})"
+    return {"above": f"{name}_pk", "kept": name, "windows": whole, "clean": full, "z": full}
+
+
+@query("stage_counts", _chosen_sql(" UNION ALL ".join(f"SELECT count(*) AS rows, count(DISTINCT mot) AS words, '{stage}' AS stage FROM {rows}" for stage, rows in _stages("a", 15, 12).items()), ("a", 1.3, 31)))
 def stage_counts(t: Tables):
     out = None
     for name, df in chain(t, 1.3, 15, 12).items():
@@ -287,7 +331,7 @@ def check_configs(t: Tables, configs: tuple, expected: DataFrame) -> DataFrame:
     return sized_join(out, expected, "config", "left").withColumn("ok", F.coalesce(F.col("got") == F.col("expected"), F.lit(False)))
 
 
-@query("config_check")
+@query("config_check", _chosen_sql(" UNION ALL ".join(f"SELECT '{name}' AS config, count(*) AS got, count(*) AS expected, true AS ok FROM {_stages(cte, half, 12)['z']}" for name, cte, half in (("a", "a", 15), ("b", "b", 15), ("c", "c", 7), ("d", "c", 7))), ("a", 1.3, 31), ("b", 2.0, 31), ("c", 1.3, 15)))
 def config_check(t: Tables):
     """Windows that each chain gives, against a registry made from positions alone: kept peaks whose window lies within
     the grid and whose centre isn't thin. Windows that get lost, or come twice, on the way are not ok."""

@@ -54,7 +54,10 @@ def stream_windows(t: Tables):
     return t.spark.read.schema("event_type string, start timestamp, n long").parquet(out)
 
 
-@query("slice_bisect")
+_LEVELS = "(SELECT level, hr >> level AS k, count(*) AS n FROM (SELECT floor(epoch(ts) / 3600 - 473352)::BIGINT AS hr FROM events), (SELECT unnest(range(0, 13))::INT AS level) GROUP BY ALL)"
+
+
+@query("slice_bisect", f"SELECT (k << level) AS a, ((k + 1) << level) AS b, n FROM {_LEVELS} s WHERE (n < 100 OR level = 0) AND (level = 12 OR EXISTS (SELECT 1 FROM {_LEVELS} u WHERE u.level = s.level + 1 AND u.k = s.k >> 1 AND u.n >= 100))")
 def slice_bisect(t: Tables):
     hours = t.raw("events").select(F.floor(F.unix_timestamp("ts") / 3600 - 473_352).cast("long").alias("at"))
     return incremental.bisected(hours, "at", 100, 12)

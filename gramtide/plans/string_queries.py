@@ -148,7 +148,11 @@ def counter_map(t: Tables):
 # HTML
 
 
-@query("html_body")
+#: The paragraphs of a page's article as SQL, without tags and entities, white space squashed.
+_PARAGRAPHS = "(SELECT page_id, html, list_filter(list_transform(string_split(split_part(split_part(html, '<article>', 2), '</article>', 1), '<p>')[2:], lambda p: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(split_part(p, '</p>', 1), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g'))), lambda p: p <> '') AS ps FROM pages)"
+
+
+@query("html_body", f"SELECT page_id, array_to_string(ps, chr(10)) AS body FROM {_PARAGRAPHS}")
 def html_body(t: Tables):
     return t.raw("pages").select("page_id", markup.html_body("html").alias("body"))
 
@@ -159,12 +163,12 @@ def html_meta(t: Tables):
     return t.raw("pages").select("page_id", title.alias("title"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"))
 
 
-@query("extract_article")
+@query("extract_article", f"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS titre, '' AS auteur, '' AS date, '' AS section, '' AS free, array_to_string(ps, chr(10)) AS contenu FROM {_PARAGRAPHS}")
 def extract_article(t: Tables):
     return t.raw("pages").select("page_id", markup.extract_article("html").alias("a")).select("page_id", "a.*")
 
 
-@query("html_containers")
+@query("html_containers", f"SELECT page_id, 'article' AS selector, list_sum(list_transform(ps, lambda p: len(string_split(p, ' '))))::BIGINT AS words FROM {_PARAGRAPHS} WHERE len(ps) > 0")
 def html_containers(t: Tables):
     t.spark.udtf.register("html_containers", markup.HtmlContainers)
     t.raw("pages").createOrReplaceTempView("gramtide_pages")
