@@ -8,7 +8,6 @@ sum over a text's words decides. Words are the runs of letters of the lower-case
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,19 +31,17 @@ REMEMBERED = 100_000
 PARTS = 1 << 12
 
 
-def _letters() -> re.Pattern[str]:
-    """Runs of letters: what re counts as a word's sign, without digits, the underscore and number signs like ²."""
-    others = [c for c in range(sys.maxunicode + 1) if (s := chr(c)).isalnum() and not s.isalpha() and not s.isdecimal()]
-    known = set(others)
-    starts, ends = [c for c in others if c - 1 not in known], [c for c in others if c + 1 not in known]
-    return re.compile(r"[^\W\d_" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in zip(starts, ends, strict=True)) + "]+")
-
-
-_WORD = _letters()
+#: Signs of words but digits and the underscore: letters, and number signs like ².
+_SIGNS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """The runs of letters of a text, in lower case."""
+    words = _SIGNS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    # few texts have number signs: they part words
+    return [w for run in words for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -77,7 +74,7 @@ class Model:
         for n in range(LONGEST, 0, -1):
             rows = self.grams[n].rows
             if found := [rows[g] for g in grams_of(word, n) if g in rows]:
-                return self.grams[n].scores[found].mean(axis=0)
+                return np.add.reduce(self.grams[n].scores.take(found, 0), 0) / np.float32(len(found))
         return np.zeros(len(self.langs), np.float32)
 
 
@@ -98,16 +95,43 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(counts)
 
 
+def _grams(words: list[str], langs: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
+    """(n, language, grams, counts) of the n-grams of words, each as often as its word; arrays of code points."""
+    padded = [f" {w} " for w in words]
+    codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+    alphabet, sign = np.unique(codes, return_inverse=True)
+    if len(alphabet) > 1 << 16:  # four signs have to fit in 64 bits
+        half = len(words) // 2
+        parts = (slice(None, half), slice(half, None)) if half else ()
+        for part in parts:
+            yield from _grams(words[part], langs[part], counts[part])
+        if not half:
+            of = Counter(g for n in range(1, LONGEST + 1) for g in grams_of(words[0], n))
+            for n in range(1, LONGEST + 1):
+                yield n, int(langs[0]), [g for g in of if len(g) == n], counts[0] * np.array([c for g, c in of.items() if len(g) == n])
+        return
+    word = np.repeat(np.arange(len(words)), np.fromiter(map(len, padded), np.int64, len(words)))
+    key = np.zeros(len(sign), np.uint64)
+    for n in range(1, LONGEST + 1):
+        m = len(sign) - n + 1
+        key = key[:m] << np.uint64(16) | sign[n - 1 :].astype(np.uint64)
+        whole = word[:m] == word[n - 1 :]
+        for lang in np.unique(langs).tolist():
+            at = np.flatnonzero(whole & (langs[word[:m]] == lang))
+            grams, which = np.unique(key[at], return_inverse=True)
+            signs = np.stack([alphabet[(grams >> np.uint64(16 * k) & np.uint64(0xFFFF)).astype(np.int64)] for k in range(n - 1, -1, -1)], axis=1)
+            yield n, lang, np.ascontiguousarray(signs).view(f"<U{n}").reshape(-1).tolist(), np.bincount(which, weights=counts[word[at]], minlength=len(grams)).astype(np.int64)
+
+
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words -> counts of their n-grams; each word is cut once for each length."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 4096):
-            batch, counts = whole.slice(at, 4096), Counter()
-            for lang, word, times in zip(*(batch.column(c).to_pylist() for c in ("lang", "gram", "count")), strict=True):
-                for n in range(1, LONGEST + 1):
-                    for gram in grams_of(word, n):
-                        counts[lang, gram, n] += times
-            yield _rows(counts)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names, langs = np.unique(np.array(batch.column("lang").to_pylist(), object), return_inverse=True)
+        for n, lang, grams, times in _grams(batch.column("gram").to_pylist(), langs, batch.column("count").to_numpy()):
+            k = len(grams)
+            yield pa.RecordBatch.from_arrays([pa.array([names[lang]] * k, pa.string()), pa.array(grams, pa.string()), pa.array([n] * k, pa.int32()), pa.array(times, pa.int64())], ["lang", "gram", "n", "count"])
 
 
 def _chosen(docs: DataFrame, most: int) -> DataFrame:

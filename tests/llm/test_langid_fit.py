@@ -29,3 +29,21 @@ def test_documents_are_chosen_by_hash(docs, monkeypatch):
         monkeypatch.setattr(langid, "PARTS", parts)
         got = langid._chosen(docs(rows), 30).groupBy("of").count().collect()
         assert {r.of: r["count"] for r in got} == {"en": 30, "fr": 30}
+
+
+def test_grams_of_words_equal_the_plain_ones():
+    from collections import Counter
+
+    rng = np.random.default_rng(1)
+    words = ["".join(chr(c) for c in rng.integers(97, 103, n)) for n in rng.integers(1, 9, 200)] + ["é日🙂x", "q" * 5000, "".join(chr(c) for c in range(0x4E00, 0x4E00 + 70_000) if not 0xD800 <= c < 0xE000)]
+    langs, counts = rng.integers(0, 3, len(words)), rng.integers(1, 9, len(words))
+    want = Counter()
+    for w, lang, times in zip(words, langs.tolist(), counts.tolist(), strict=True):
+        for n in range(1, 5):
+            for g in langid.grams_of(w, n):
+                want[n, lang, g] += times
+    got = Counter()
+    for n, lang, grams, times in langid._grams(words, langs, counts):
+        for g, c in zip(grams, times.tolist(), strict=True):
+            got[n, lang, g] += c
+    assert got == want
