@@ -168,6 +168,18 @@ def html_body(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda x: "\n".join(body(parse(x))))
 
 
+def without_last(lines: Column, teaser: Column) -> Column:
+    """An array of paragraphs without its last one if that is the teaser of a locked page."""
+    last = F.try_element_at(lines, F.lit(-1))
+    return F.when(F.trim(last) == teaser, F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
+
+
+def filled_once(page: Column, marker: str, value: Column) -> Column:
+    """The page with the value in the place of a marker that it holds exactly once; else null."""
+    parts = F.split(page, re.escape(marker), -1)
+    return F.when(F.size(parts) == 2, F.concat(parts[0], value, parts[1]))
+
+
 @F.pandas_udf(StringType())
 def jsonld_node(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in pages:

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import small_enough
+
 
 def tfidf(counts: DataFrame, min_df: int, max_df: float) -> DataFrame:
     """counts(id, gram, n) -> (id, gram, tfidf): smoothed idf, rows of length 1."""
@@ -73,23 +75,57 @@ def average_linkage(distance: np.ndarray, cut: float) -> np.ndarray:
     return np.unique(group, return_inverse=True)[1]
 
 
-def fit_noise(values: np.ndarray, q: float, rounds: int = 15) -> tuple[float, float, float]:
-    """(variance, lower edge, upper edge) of the Marchenko-Pastur bulk: eigenvalues over the edge leave, again and again."""
-    bulk = np.sort(values)
-    for _ in range(rounds):
-        s2 = float(bulk.mean()) if len(bulk) else 0.0
-        edge = s2 * (1 + np.sqrt(q)) ** 2
-        inside = bulk[bulk <= edge]
-        if len(inside) == len(bulk):
+#: Bins of the histogram of the bulk, rounds of its fit, bounds of (variance, ratio).
+BINS, ROUNDS, BOUNDS = 60, 15, ((0.05, 3.0), (1e-3, 0.999))
+
+
+def noise_edges(s2: float, q: float) -> tuple[float, float]:
+    """Where the Marchenko-Pastur law of variance s2 and ratio q (words / days) begins and ends."""
+    root = np.sqrt(q)
+    return s2 * (1 - root) ** 2, s2 * (1 + root) ** 2
+
+
+def noise_density(x: np.ndarray, s2, q) -> np.ndarray:
+    """The Marchenko-Pastur density at x > 0, 0 outside its edges; s2 and q may be arrays that broadcast with x."""
+    low, high = noise_edges(s2, q)
+    return np.sqrt(np.maximum((high - x) * (x - low), 0)) / (2 * np.pi * q * s2 * x)
+
+
+def _nearest_density(x: np.ndarray, seen: np.ndarray, s2: float, q: float) -> tuple[float, float]:
+    """(s2, q) of least squares from the seen density: a grid around the last answer, closer and closer."""
+    reach = np.array([0.5, 0.5])
+    for _ in range(24):
+        grids = [np.clip(centre * np.exp(np.linspace(-r, r, 9)), *bounds) for centre, r, bounds in zip((s2, q), reach, BOUNDS, strict=True)]
+        loss = ((noise_density(x, grids[0][:, None, None], grids[1][None, :, None]) - seen) ** 2).sum(axis=-1)
+        i, j = np.unravel_index(np.argmin(loss), loss.shape)
+        s2, q = float(grids[0][i]), float(grids[1][j])
+        # the grid closes in unless the best lies at its border
+        reach = np.where([0 < i < 8, 0 < j < 8], reach * 0.6, reach)
+    return s2, q
+
+
+def fit_noise(values: np.ndarray, q: float) -> tuple[float, float, float, float]:
+    """(variance, ratio, lower edge, upper edge) of the Marchenko-Pastur law that is nearest to the bulk's histogram.
+
+    ``q``: words / days, where the fit begins. Each round takes the eigenvalues up to the last upper edge as bulk.
+    Where dependent days carry less than their number, the fitted ratio is larger than ``q``.
+    """
+    s2 = 1.0
+    for _ in range(ROUNDS):
+        end = noise_edges(s2, q)[1]
+        bulk = values[values <= end]
+        if not len(bulk):
             break
-        bulk = inside
-    return s2, s2 * (1 - np.sqrt(q)) ** 2, s2 * (1 + np.sqrt(q)) ** 2
+        counts, ends = np.histogram(bulk, bins=BINS, range=(0, end))
+        width = end / BINS
+        s2, q = _nearest_density(ends[:-1] + width / 2, counts / (len(bulk) * width), s2, q)
+    return s2, q, *noise_edges(s2, q)
 
 
 def denoised(c: np.ndarray, days: int) -> np.ndarray:
     """The matrix with its noise eigenvalues replaced by their mean, scaled back to a unit diagonal."""
     values, vectors = np.linalg.eigh(c)
-    noise = values <= fit_noise(values, len(c) / days)[2]
+    noise = values <= fit_noise(values, len(c) / days)[3]
     values = np.where(noise, values[noise].mean() if noise.any() else 0.0, values)
     out = (vectors * values) @ vectors.T
     scale = np.sqrt(np.maximum(np.diag(out), 1e-12))
@@ -97,5 +133,8 @@ def denoised(c: np.ndarray, days: int) -> np.ndarray:
 
 
 def on_matrix(pairs: DataFrame, run, schema: str) -> DataFrame:
-    """Applies a function of (words, matrix) to a bounded correlation matrix, in one task."""
+    """Applies a function of (words, matrix) to a bounded correlation matrix, in one task; more words are an error that
+    is raised before anything is gathered."""
+    if not small_enough(pairs, MAX_WORDS * (MAX_WORDS - 1) // 2):
+        raise ValueError(f"a matrix of more than {MAX_WORDS} words")
     return pairs.groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: run(*matrix(pdf)), schema)

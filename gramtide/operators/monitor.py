@@ -78,3 +78,19 @@ def count_trigger(snapshots: DataFrame, every: int) -> DataFrame:
     w = Window.partitionBy("media").orderBy("ts", "event_id")
     step = F.floor((F.col("ok") + F.col("bad")) / every)
     return snapshots.withColumn("step", step).withColumn("old", F.coalesce(F.lag("step").over(w), F.lit(0))).where("step > old").drop("old")
+
+
+def stop_page(pages: DataFrame, crawl: str, page: str, bad: Column, limit: int) -> DataFrame:
+    """(crawl, stop): the page at which a crawl stops, the first that is the ``limit``-th bad one in a row; null if none."""
+    window = Window.partitionBy(crawl).orderBy(page).rowsBetween(1 - limit, 0)
+    rows = pages.withColumn("__bad", F.sum(bad.cast("int")).over(window))
+    return rows.groupBy(crawl).agg(F.min(F.when(F.col("__bad") == limit, F.col(page))).alias("stop"))
+
+
+def days_to_do(ledger: DataFrame, title: str, day: str, ok: str, through: Column) -> DataFrame:
+    """(title, day) that a run that goes on has to do: days that failed, and those after the last finished one."""
+    done = ledger.groupBy(title).agg(F.max(F.when(F.col(ok), F.col(day))).alias("last"), F.min(day).alias("first"))
+    after = F.expr("if(last is null, first, date_add(last, 1))")
+    new = done.withColumn("through", through).where(after <= F.col("through")).select(title, F.explode(F.sequence(after, F.col("through"))).alias(day))
+    failed = ledger.where(~F.col(ok)).select(title, day)
+    return failed.unionByName(new).distinct()

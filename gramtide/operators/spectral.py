@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import small_enough
+
 
 def _squared_distance(a: str, b: str):
     return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
@@ -124,6 +126,13 @@ def projections(df: DataFrame, vector: str, comps: DataFrame, k: int) -> DataFra
     return df.crossJoin(F.broadcast(few)).withColumn("centred", centred).withColumn("proj", F.transform("comps", lambda c: _dot(c, F.col("centred")))).drop("comps", "mean", "centred")
 
 
+def oriented(projected: DataFrame) -> DataFrame:
+    """Turns each component so that the cubes of its projections have a sum of 0 or more: its long tail points upwards."""
+    signs = projected.select(F.posexplode("proj").alias("k", "v")).groupBy("k").agg(F.when(F.sum(F.pow("v", F.lit(3.0))) < 0, -1.0).otherwise(1.0).alias("sign"))
+    every = signs.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "sign"))), lambda s: s.sign).alias("signs"))
+    return projected.crossJoin(F.broadcast(every)).withColumn("proj", F.zip_with("proj", "signs", lambda v, s: v * s)).drop("signs")
+
+
 def concentration(spectrum: DataFrame, keys: list[str], rank_of: int) -> DataFrame:
     """spectrum(keys..., rank, share) -> k50, k50 over rank, effective rank, shares of 3, 6, 10 components, gain of 6."""
     from pyspark.sql import Window
@@ -168,13 +177,14 @@ def rotated(df: DataFrame, key: list[str], vector: str, seed: int) -> DataFrame:
 def kernel_spectra(df: DataFrame, vector: str, gammas: list[float], keep: int = 30) -> DataFrame:
     """(gamma, rank, share, n): spectrum of the doubly centred RBF kernel; shares are of trace(K) - sum(K) / n.
 
-    The kernel of n vectors is one n x n matrix in one task: more than MAX_KERNEL vectors are an error.
+    The kernel of n vectors is one n x n matrix in one task: more than MAX_KERNEL vectors are an error, which is raised
+    before anything is gathered.
     """
+    if not small_enough(df.select(vector), MAX_KERNEL):
+        raise ValueError(f"a kernel of more than {MAX_KERNEL} vectors")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         z = np.stack(pdf["z"].to_numpy()).astype(float)
-        if len(z) > MAX_KERNEL:
-            raise ValueError(f"a kernel of {len(z)} vectors; at most {MAX_KERNEL}")
         sq = (z**2).sum(1)
         dist = np.maximum(sq[:, None] + sq[None] - 2 * z @ z.T, 0)
         out = []

@@ -364,8 +364,8 @@ def pca_spectrum(t: Tables):
 
 @query("pca_projections")
 def pca_projections(t: Tables):
-    z = _z(t)
-    return spectral.projections(z, "w", spectral.components(z, "w", []), 6).select("mot", "centre", "proj")
+    z = cut(_z(t))
+    return spectral.oriented(spectral.projections(z, "w", spectral.components(z, "w", []), 6)).select("mot", "centre", "proj")
 
 
 @query("pca_metrics")
@@ -481,10 +481,10 @@ def mp_fit(t: Tables):
 
     def run(names, c):
         values = np.linalg.eigvalsh(c)[::-1]
-        s2, low, high = corr.fit_noise(values, len(c) / days)
-        return pd.DataFrame({"rank": np.arange(1, len(values) + 1), "value": values, "low": low, "high": high, "spike": values > high})
+        _, ratio, low, high = corr.fit_noise(values, len(c) / days)
+        return pd.DataFrame({"rank": np.arange(1, len(values) + 1), "value": values, "low": low, "high": high, "days": len(c) / ratio, "spike": values > high})
 
-    return corr.on_matrix(_spearman(t), run, "rank long, value double, low double, high double, spike boolean")
+    return corr.on_matrix(_spearman(t), run, "rank long, value double, low double, high double, days double, spike boolean")
 
 
 def _denoised(t: Tables) -> DataFrame:

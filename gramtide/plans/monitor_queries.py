@@ -350,3 +350,39 @@ def jsonl_counts(t: Tables):
 def union_tagged(t: Tables):
     p = t.raw("pages")
     return p.select(F.lit("pages").alias("config"), "url").unionByName(p.where("page_id % 2 = 0").select(F.lit("even").alias("config"), "url"))
+
+
+# control of a collection
+
+_PAGED = "(SELECT user_id AS crawl, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS page, event_id % 3 <> 0 AS empty FROM events)"
+
+
+def _paged(t: Tables):
+    """Users as crawls, their events as pages, two of three empty."""
+    page = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return t.raw("events").select(F.col("user_id").alias("crawl"), page.alias("page"), (F.col("event_id") % 3 != 0).alias("empty"))
+
+
+@query("stop_rules", f"SELECT crawl, min(page) FILTER (empty AND b1 AND n > 1) AS two, min(page) FILTER (empty AND b1 AND b2 AND n > 2) AS three FROM (SELECT *, lag(empty) OVER w AS b1, lag(empty, 2) OVER w AS b2, row_number() OVER w AS n FROM {_PAGED} WINDOW w AS (PARTITION BY crawl ORDER BY page)) GROUP BY crawl")
+def stop_rules(t: Tables):
+    """The page at which a crawl stops by two, and by three, empty pages in a row."""
+    two, three = (monitor.stop_page(_paged(t), "crawl", "page", F.col("empty"), k) for k in (2, 3))
+    return two.withColumnRenamed("stop", "two").join(three.withColumnRenamed("stop", "three"), "crawl").select("crawl", F.col("two").cast("long").alias("two"), F.col("three").cast("long").alias("three"))
+
+
+_LEDGER = "(SELECT event_type AS title, ts::DATE AS day, count(*) % 3 <> 0 AS ok FROM events WHERE extract(day FROM ts) <= 20 GROUP BY ALL)"
+
+
+@query("resume_ledger", f"SELECT title, day FROM {_LEDGER} WHERE NOT ok UNION SELECT title, unnest(generate_series(CASE WHEN last IS NULL THEN first ELSE last + 1 END, DATE '2024-01-31', INTERVAL 1 DAY))::DATE FROM (SELECT title, max(day) FILTER (ok) AS last, min(day) AS first FROM {_LEDGER} GROUP BY title) WHERE CASE WHEN last IS NULL THEN first ELSE last + 1 END <= DATE '2024-01-31'")
+def resume_ledger(t: Tables):
+    """Days that a run which goes on has to do: failed ones, and all after the last finished one."""
+    day = F.col("ts").cast("date")
+    rows = t.raw("events").where(F.dayofmonth("ts") <= 20).groupBy(F.col("event_type").alias("title"), day.alias("day")).agg((F.count("*") % 3 != 0).alias("ok"))
+    return monitor.days_to_do(rows, "title", "day", "ok", F.lit("2024-01-31").cast("date"))
+
+
+@query("result_lines", sql("SELECT json_object('media', media, 'date', date, 'total', total)::VARCHAR AS json, media || ',' || date || ',' || total AS csv FROM tot", "tot"))
+def result_lines(t: Tables):
+    """Rows as the front end gives them: JSON and CSV text."""
+    row = F.struct("media", "date", "total")
+    return t.totals.select(F.to_json(row).alias("json"), F.to_csv(row).alias("csv"))

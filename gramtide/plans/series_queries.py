@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..operators import ngrams, series, vocab, windows
+from ..operators.lineage import sized_join
 from .registry import query, sql
 from .tables import Tables
 from .text_queries import WORDS, matrix
@@ -214,7 +215,7 @@ def windows_array(t: Tables):
 def windows_edges(t: Tables):
     size = grid(t).groupBy("mot").agg(F.count("*").alias("n"))
     edge = (F.col("pos") - 400 < 0) | (F.col("pos") + 400 >= F.col("n"))
-    return centres(t).join(F.broadcast(size), "mot").groupBy("mot").agg(F.count("*").alias("centres"), F.count_if(edge).alias("at_edge"))
+    return sized_join(centres(t), size, "mot").groupBy("mot").agg(F.count("*").alias("centres"), F.count_if(edge).alias("at_edge"))
 
 
 @query("norm_z", _wsql("SELECT mot, centre, j, round((f - m) / s, 6) AS z FROM (SELECT *, avg(f) OVER w AS m, stddev_pop(f) OVER w AS s FROM wl WINDOW w AS (PARTITION BY mot, centre)) WHERE s > 0"))

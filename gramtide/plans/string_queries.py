@@ -101,21 +101,26 @@ def json_extract(t: Tables):
     return t.raw("events").select("event_id", readers.json_scalar("props", "$.k").cast("int").alias("k"))
 
 
-_AUTHOR = [("0", '{"name": "Ann"}', "Ann"), ("1", '[{"name": "Ann"}, "Bob"]', "Ann, Bob"), ("2", '"Cy"', "Cy")]
+_TITLE = "replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\"', ''), '\\', '')"
 
 
-@query("jsonld_meta", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Ann' WHEN 1 THEN 'Ann, Bob' ELSE 'Cy' END AS auteur, CASE page_id % 2 WHEN 0 THEN 'a, b' ELSE 'c' END AS section, CASE page_id % 4 WHEN 0 THEN 'oui' WHEN 1 THEN 'non' WHEN 2 THEN 'oui' ELSE '' END AS free FROM pages")
+@query("jsonld_meta", f"SELECT page_id, CASE page_id % 3 WHEN 1 THEN {_TITLE} || ', Bob' ELSE {_TITLE} END AS auteur, CASE page_id % 2 WHEN 0 THEN lang || ', ' || page_id ELSE lang END AS section, CASE page_id % 4 WHEN 0 THEN 'oui' WHEN 1 THEN 'non' WHEN 2 THEN 'oui' ELSE '' END AS free FROM (SELECT *, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang FROM pages)")
 def jsonld_meta(t: Tables):
-    i = F.col("page_id")
-    pick = lambda n, *v: F.element_at(F.array(*map(F.lit, v)), (i % n + 1).cast("int"))
-    node = F.concat(F.lit('{"@type": "NewsArticle", "author": '), pick(3, *(a[1] for a in _AUTHOR)), F.lit(', "articleSection": '), pick(2, '["a", "b"]', '"c"'), F.lit(', "isAccessibleForFree": '), pick(4, "true", '"False"', '"true"', '""'), F.lit("}"))
+    """Author, section and access of nodes made from each page's own title, language and number, in all their forms."""
+    i, name = F.col("page_id"), F.to_json(F.struct(F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), r'["\\]', "").alias("name")))
+    text_of, lang = F.concat(F.lit('"'), F.get_json_object(name, "$.name"), F.lit('"')), F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
+    pick = lambda n, *v: F.element_at(F.array(*v), (i % n + 1).cast("int"))
+    author = pick(3, name, F.concat(F.lit("["), name, F.lit(', "Bob"]')), text_of)
+    section = pick(2, F.concat(F.lit('["'), lang, F.lit('", "'), i.cast("string"), F.lit('"]')), F.concat(F.lit('"'), lang, F.lit('"')))
+    free = pick(4, *map(F.lit, ("true", '"False"', '"true"', '""')))
+    node = F.concat(F.lit('{"@type": "NewsArticle", "author": '), author, F.lit(', "articleSection": '), section, F.lit(', "isAccessibleForFree": '), free, F.lit("}"))
     return t.raw("pages").select("page_id", *markup.jsonld_meta(node))
 
 
 def _with_jsonld(t: Tables):
     """Pages with one broken and one good JSON-LD block; every third has its node in a @graph."""
     title = F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), r'["\\]', "")
-    node = F.concat(F.lit('{"@type": ["NewsArticle"], "headline": "'), title, F.lit('", "articleBody": "&lt;p&gt;one&lt;/p&gt; two", "id": '), F.col("page_id").cast("string"), F.lit("}"))
+    node = F.concat(F.lit('{"@type": ["NewsArticle"], "headline": "'), title, F.lit('", "articleBody": "&lt;p&gt;'), F.regexp_extract("html", "<title>([A-Za-z]*)", 1), F.lit('&lt;/p&gt; two", "id": '), F.col("page_id").cast("string"), F.lit("}"))
     block = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('{"@graph": [{"@type": "WebSite"}, '), node, F.lit("]}"))).otherwise(node)
     head = F.concat(F.lit('<script type="application/ld+json">{broken</script><script type="application/ld+json">'), block, F.lit("</script></head>"))
     return t.raw("pages").select("page_id", F.concat(F.substring_index("html", "</head>", 1), head, F.lit("<body><article><p>x</p></article></body>")).alias("html"))
@@ -126,7 +131,7 @@ def jsonld_node(t: Tables):
     return _with_jsonld(t).select("page_id", F.get_json_object(markup.jsonld_node("html"), "$.id").cast("long").alias("id"))
 
 
-@query("jsonld_body", "SELECT page_id, 'one two' AS body FROM pages")
+@query("jsonld_body", "SELECT page_id, trim(regexp_extract(html, '<title>([A-Za-z]*)', 1) || ' two') AS body FROM pages")
 def jsonld_body(t: Tables):
     return _with_jsonld(t).select("page_id", markup.jsonld_body("html").alias("body"))
 
@@ -175,6 +180,39 @@ def html_containers(t: Tables):
     return t.spark.sql("SELECT page_id, c.selector, c.words FROM gramtide_pages, LATERAL html_containers(html) c")
 
 
+#: fixed value: the paragraph that ends the locked pages of one medium
+TEASER = "La suite de cet article est réservée aux abonnés."
+
+
+@query("teaser_cut", f"SELECT page_id, array_to_string(CASE WHEN page_id % 3 = 1 THEN list_append(ps, 'x') ELSE ps END, chr(10)) AS body FROM {_PARAGRAPHS}")
+def teaser_cut(t: Tables):
+    """Bodies of pages of which every third ends in the teaser, and every third in another paragraph."""
+    end = F.when(F.col("page_id") % 3 == 0, f"<p>{TEASER}</p></article>").when(F.col("page_id") % 3 == 1, "<p>x</p></article>").otherwise("</article>")
+    page = F.concat(F.substring_index("html", "</article>", 1), end, F.lit("</body></html>"))
+    lines = F.split(markup.html_body(page), "\n")
+    return t.raw("pages").select("page_id", F.array_join(markup.without_last(lines, F.lit(TEASER)), "\n").alias("body"))
+
+
+@query("template_fill", "SELECT page_id, len(string_split(html, '<h1>')) - 1 AS markers, CASE WHEN len(string_split(html, '<h1>')) = 2 THEN md5(replace(html, '<h1>', '<h1 id=' || page_id || '>')) END AS once, CASE WHEN len(string_split(html, '<li>')) = 2 THEN md5(replace(html, '<li>', '')) END AS many FROM pages")
+def template_fill(t: Tables):
+    """A marker is replaced where the page holds it exactly once; a page without it, or with several, gives null."""
+    value = F.concat(F.lit("<h1 id="), F.col("page_id").cast("string"), F.lit(">"))
+    md5 = lambda c: F.md5(c.cast("binary"))
+    return t.raw("pages").select("page_id", (F.size(F.split("html", "<h1>", -1)) - 1).cast("long").alias("markers"), md5(markup.filled_once(F.col("html"), "<h1>", value)).alias("once"), md5(markup.filled_once(F.col("html"), "<li>", F.lit(""))).alias("many"))
+
+
+_PLAIN = "trim(regexp_replace(regexp_replace({}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("refetch_ratio", f"SELECT page_id, a, b, round(b / a, 6) AS ratio, b > 1.5 * a AS fuller FROM (SELECT page_id, len(string_split({_PLAIN.format('html')}, ' ')) AS a, len(string_split({_PLAIN.format("CASE WHEN page_id % 2 = 0 THEN html || ' ' || html ELSE html END")}, ' ')) AS b FROM pages)")
+def refetch_ratio(t: Tables):
+    """Words of two fetches of a page; the second is the fuller one from half as many words again."""
+    words = lambda page: F.size(F.split(text.squash(F.regexp_replace(page, "<[^>]+>", " ")), " ")).cast("long")
+    again = F.when(F.col("page_id") % 2 == 0, F.concat("html", F.lit(" "), "html")).otherwise(F.col("html"))
+    rows = t.raw("pages").select("page_id", words(F.col("html")).alias("a"), words(again).alias("b"))
+    return rows.select("page_id", "a", "b", F.round(F.col("b") / F.col("a"), 6).alias("ratio"), (F.col("b") > 1.5 * F.col("a")).alias("fuller"))
+
+
 # files
 
 

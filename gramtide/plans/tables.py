@@ -84,10 +84,18 @@ class Tables:
 
     @cached_property
     def snapshots(self) -> DataFrame:
-        """(media, ts, event_id, ok, bad): cumulative counters."""
-        w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+        """(media, ts, event_id, ok, bad): cumulative counters.
+
+        Sums by hour first, then a running sum over hours, then one within each hour: no task sorts a medium.
+        """
         even = F.floor("value") % 2 == 0
-        return self.raw("events").select(F.col("event_type").alias("media"), "ts", "event_id", F.sum(even.cast("long")).over(w).alias("ok"), F.sum((~even).cast("long")).over(w).alias("bad"))
+        rows = self.raw("events").select(F.col("event_type").alias("media"), "ts", "event_id", even.cast("long").alias("ok"), (~even).cast("long").alias("bad"), F.date_trunc("hour", "ts").alias("hour"))
+        before = Window.partitionBy("media").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
+        hours = rows.groupBy("media", "hour").agg(F.sum("ok").alias("ok_h"), F.sum("bad").alias("bad_h"))
+        hours = hours.select("media", "hour", *[F.coalesce(F.sum(f"{c}_h").over(before), F.lit(0)).alias(f"{c}_before") for c in ("ok", "bad")])
+        within = Window.partitionBy("media", "hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+        summed = rows.join(hours, ["media", "hour"])
+        return summed.select("media", "ts", "event_id", *[(F.col(f"{c}_before") + F.sum(c).over(within)).alias(c) for c in ("ok", "bad")])
 
     @cached_property
     def queue(self) -> DataFrame:

@@ -324,8 +324,23 @@ def test_noise_edge_holds_white_noise():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((4000, 60))
     values = np.linalg.eigvalsh(np.corrcoef(x, rowvar=False))
-    s2, low, high = corr.fit_noise(values, 60 / 4000)
-    assert s2 == pytest.approx(1, abs=0.05) and (values <= high * 1.02).all() and (values >= low * 0.95).all()
+    s2, q, low, high = corr.fit_noise(values, 60 / 4000)
+    assert s2 == pytest.approx(1, abs=0.1) and q == pytest.approx(60 / 4000, rel=0.3) and (values <= high * 1.05).all() and (values >= low * 0.9).all()
+    spiked = np.append(values, [9.0, 30.0])
+    assert (spiked > corr.fit_noise(spiked, 60 / 4000)[3]).sum() <= 4 and (spiked[-2:] > corr.fit_noise(spiked, 60 / 4000)[3]).all()
+
+
+def test_noise_density_is_a_density():
+    for s2, q in ((1.0, 0.1), (0.7, 0.5), (2.0, 0.9)):
+        low, high = corr.noise_edges(s2, q)
+        x = np.linspace(max(low, 1e-6), high, 400_001)
+        p = corr.noise_density(x, s2, q)
+        assert np.trapezoid(p, x) == pytest.approx(1, abs=5e-3) and np.trapezoid(p * x, x) == pytest.approx(s2, rel=5e-3)
+
+
+def test_components_are_oriented(spark):
+    df = spark.createDataFrame([(1, [3.0, -1.0]), (2, [-1.0, 2.0]), (3, [-1.0, -5.0])], "k int, proj array<double>")
+    assert {r.k: r.proj for r in spectral.oriented(df).collect()} == {1: [3.0, 1.0], 2: [-1.0, -2.0], 3: [-1.0, 5.0]}
     c = corr.denoised(np.corrcoef(x, rowvar=False), 4000)
     assert np.abs(c - np.eye(60)).max() < 0.05
 
