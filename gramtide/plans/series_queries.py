@@ -141,18 +141,25 @@ def date_guard(t: Tables):
     return t.raw("orders").select("o_orderkey", day.alias("day")).where(dates.in_range(F.col("day")))
 
 
-_BOUND = [("2020", 20200101, 20201231), ("2020-03", 20200301, 20200331), ("2020-03-14", 20200314, 20200314), ("2021/11", 20211101, 20211131)]
+_PARTIAL = "CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN strftime(o_orderdate, '%Y/%m/%d') ELSE strftime(o_orderdate, '%Y%m%d') END"
 
 
-@query("parse_bounds", "SELECT * FROM (VALUES " + ", ".join(map(str, _BOUND)) + ") AS v(text, low, high)")
+@query("parse_bounds", f"SELECT o_orderkey, (left(d || '0101', 8))::INT AS low, CASE length(d) WHEN 4 THEN d || '1231' WHEN 6 THEN d || '31' ELSE d END::INT AS high FROM (SELECT o_orderkey, regexp_replace({_PARTIAL}, '[-/]', '', 'g') AS d FROM orders)")
 def parse_bounds(t: Tables):
-    return t.rows([(b[0],) for b in _BOUND], "text string").select("text", dates.bound(F.col("text"), False).alias("low"), dates.bound(F.col("text"), True).alias("high"))
+    """The days that an order's date, given as a year, a month or a day in several spellings, may mean."""
+    day, k = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    given = F.when(k == 0, F.date_format(day, "yyyy")).when(k == 1, F.date_format(day, "yyyy-MM")).when(k == 2, F.date_format(day, "yyyy/MM/dd")).otherwise(F.date_format(day, "yyyyMMdd"))
+    return t.raw("orders").select("o_orderkey", dates.bound(given, False).alias("low"), dates.bound(given, True).alias("high"))
 
 
-@query("period_bounds", "SELECT p AS period, res AS resolution, CASE res WHEN 'year' THEN p * 10000 + 101 WHEN 'month' THEN p * 100 + 1 ELSE p END AS low, CASE res WHEN 'year' THEN p * 10000 + 1231 WHEN 'month' THEN p * 100 + 31 ELSE p END AS high FROM (VALUES (2024, 'year'), (202403, 'month'), (20240314, 'day')) AS v(p, res)")
+@query("period_bounds", "SELECT resolution, period, low, CASE resolution WHEN 'year' THEN low + 1130 WHEN 'month' THEN low + 30 ELSE low END AS high, count(*) AS orders FROM (SELECT resolution, CASE resolution WHEN 'year' THEN d // 10000 WHEN 'month' THEN d // 100 ELSE d END AS period, CASE resolution WHEN 'year' THEN d // 10000 * 10000 + 101 WHEN 'month' THEN d // 100 * 100 + 1 ELSE d END AS low FROM (SELECT strftime(o_orderdate, '%Y%m%d')::INT AS d FROM orders), (VALUES ('year'), ('month'), ('day')) AS r(resolution)) GROUP BY ALL")
 def period_bounds(t: Tables):
+    """First and last day of every year, month and day that has orders."""
+    day = dates.day_number(F.col("o_orderdate"))
+    every = F.explode(F.array(*[F.struct(F.lit(r).alias("resolution"), dates.period(day, r).alias("period")) for r in ("year", "month", "day")])).alias("p")
     low, high = dates.period_bounds(F.col("period"), F.col("resolution"))
-    return t.rows([(2024, "year"), (202403, "month"), (20240314, "day")], "period int, resolution string").select("period", "resolution", low.alias("low"), high.alias("high"))
+    counted = t.raw("orders").select(every).groupBy("p.resolution", "p.period").agg(F.count("*").alias("orders"))
+    return counted.select("resolution", "period", low.alias("low"), high.alias("high"), "orders")
 
 
 @query("year_filter", "SELECT o_orderkey FROM orders WHERE o_orderdate IS NOT NULL AND extract(year FROM o_orderdate) NOT IN (1993, 1996)")

@@ -32,9 +32,13 @@ def slug(t: Tables):
     return t.raw("documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
-@query("elision", sql("SELECT DISTINCT gram, nullif(regexp_extract(gram, '^(?:l|d|s|n|j|m|t|c|qu|jusqu|lorsqu|puisqu)''(.+)$', 1), '') AS base FROM (SELECT gram FROM uni UNION ALL SELECT 'l''' || gram FROM uni WHERE media = 'fr')", "uni"))
+_ELIDED_ROWS = "SELECT gram FROM uni UNION ALL SELECT 'l''' || gram FROM uni WHERE media = 'fr' UNION ALL SELECT 'quelqu''' || gram FROM uni WHERE media = 'fr'"
+
+
+@query("elision", sql(f"SELECT DISTINCT gram, CASE WHEN split_part(gram, '''', 1) IN {text.ELIDED} AND instr(gram, '''') > 0 THEN nullif(substr(gram, instr(gram, '''') + 1), '') END AS base FROM ({_ELIDED_ROWS})", "uni"))
 def elision(t: Tables):
-    rows = _words(t).union(t.uni.where("media = 'fr'").select(F.concat(F.lit("l'"), "gram"))).distinct()
+    french = t.uni.where("media = 'fr'")
+    rows = _words(t).union(french.select(F.concat(F.lit("l'"), "gram"))).union(french.select(F.concat(F.lit("quelqu'"), "gram"))).distinct()
     return rows.select("gram", text.elided(F.col("gram")).alias("base"))
 
 
