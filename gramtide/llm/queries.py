@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, knn_quality, langid, line_dedup, mixing, pieces, quality_rules, simhash, suffix_dedup, token_counts
+from . import annulus, exact_dedup, knn_quality, langid, line_dedup, mixing, phrases, pieces, quality_rules, simhash, suffix_dedup, token_counts
 from .common import table
 
 #: Folder of the public tokenizers' files; each machine has it.
@@ -59,6 +59,14 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annulus.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -70,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_langid": op10_langid,
+    "op12_collocations": op12_collocations,
+    "op13_clustering": op13_clustering,
 }
 
 def _level(name: str, key: str, parent: str, given: str, weight: str, source: str) -> str:
@@ -107,7 +117,50 @@ _MIXING = f"""
 """
 
 
+_F, _S = "(a::HUGEINT * a * 1000000)", "score DESC, a DESC, phrase"
+_COLLOCATIONS = f"""
+    WITH pieces AS (SELECT lang, list_filter(string_split_regex(p, '[\\x20\\x09]+'), lambda w: w <> '') AS w
+                    FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)),
+    one AS (SELECT lang, x, count(*) AS f FROM (SELECT lang, unnest(w) AS x FROM pieces) GROUP BY ALL),
+    two AS (SELECT lang, x, y, count(*) AS f FROM (SELECT lang, w[i] AS x, w[i + 1] AS y FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM pieces)) GROUP BY ALL),
+    three AS (SELECT lang, x, y, z, count(*) AS f FROM (SELECT lang, w[i] AS x, w[i + 1] AS y, w[i + 2] AS z FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM pieces)) GROUP BY ALL HAVING count(*) >= {phrases.MIN_COUNT}),
+    over AS (SELECT lang, x, y, max(f) AS f FROM (SELECT lang, x, y, f FROM three UNION ALL SELECT lang, y, z, f FROM three) GROUP BY ALL),
+    cuts AS (
+        SELECT t.lang, t.x || ' ' || t.y AS phrase, t.f AS a, l.f AS l, r.f AS r, 1 AS k FROM two t JOIN one l ON l.lang = t.lang AND l.x = t.x JOIN one r ON r.lang = t.lang AND r.x = t.y
+            LEFT JOIN over o ON o.lang = t.lang AND o.x = t.x AND o.y = t.y WHERE t.f >= {phrases.MIN_COUNT} AND (o.f IS NULL OR 100 * o.f < {phrases.COVERED} * t.f)
+        UNION ALL SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, l.f, r.f, 1 FROM three t JOIN one l ON l.lang = t.lang AND l.x = t.x JOIN two r ON r.lang = t.lang AND r.x = t.y AND r.y = t.z
+        UNION ALL SELECT t.lang, t.x || ' ' || t.y || ' ' || t.z, t.f, l.f, r.f, 2 FROM three t JOIN two l ON l.lang = t.lang AND l.x = t.x AND l.y = t.y JOIN one r ON r.lang = t.lang AND r.x = t.z),
+    scored AS (SELECT *, ({_F} // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+    worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {_S}) AS rank FROM worst)
+    SELECT lang, rank, phrase, a, l, r, (SELECT sum(f) FROM one WHERE one.lang = ranked.lang)::BIGINT AS n, score FROM ranked WHERE rank <= {phrases.TOP}
+"""
+
+
+def _clustering() -> str:
+    """Each round as two tables: what the vectors are nearest to (distance and number in one), and the centroids after."""
+    dot = "list_sum(list_transform(list_zip(o.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    near = lambda k: f"a{k} AS MATERIALIZED (SELECT o.row, any_value(o.vec_id) AS vec_id, any_value(o.v) AS v, min({dot} * {annulus.CLUSTERS} + c.c) AS best FROM ok o, c{k} c GROUP BY o.row)"
+    parts = [
+        f"ok AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * {annulus.SCALE})::BIGINT) AS v FROM embeddings WHERE len(embedding) = {annulus.SIZE} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM (SELECT sha256('{annulus.SEED}:' || vec_id) AS h, v FROM ok ORDER BY h LIMIT {annulus.CLUSTERS}))",
+    ]
+    for k in range(annulus.ROUNDS):
+        parts += [
+            near(k),
+            f"s{k} AS (SELECT c, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS x FROM (SELECT best % {annulus.CLUSTERS} AS c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{k}) GROUP BY c, i)",
+            f"c{k + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{k} c LEFT JOIN (SELECT c, list(x ORDER BY i) AS v FROM s{k} GROUP BY c) m USING (c))",
+        ]
+    last = annulus.ROUNDS
+    parts += [near(last), f"f AS (SELECT vec_id, (best % {annulus.CLUSTERS})::INT AS cluster, (best // {annulus.CLUSTERS})::BIGINT AS distance FROM a{last})"]
+    return "WITH " + ",\n".join(parts) + f"""
+        SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+        FROM f JOIN c{last} c ON c.c = f.cluster"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_collocations": _COLLOCATIONS,
+    "op13_clustering": _clustering(),
     "op1_line_dedup": f"""
         WITH lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents),
         boiler AS (SELECT line FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY line HAVING count(DISTINCT source) >= {line_dedup.MIN_SITES}),
