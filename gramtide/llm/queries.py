@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annulus, exact_dedup, knn_quality, langid, line_dedup, mixing, phrases, pieces, quality_rules, simhash, suffix_dedup, token_counts
+from . import annulus, exact_dedup, knn_quality, langid, licenses, line_dedup, mixing, phrases, pieces, quality_rules, simhash, suffix_dedup, token_counts
 from .common import table
 
 #: Folder of the public tokenizers' files; each machine has it.
@@ -59,6 +59,11 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_langid": op10_langid,
+    "op11_licenses": op11_licenses,
     "op12_collocations": op12_collocations,
     "op13_clustering": op13_clustering,
 }
