@@ -73,6 +73,12 @@ def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Removes the files of a table that ``stored`` gave and that nothing reads any more."""
+    if files := df.inputFiles():
+        remove(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether a table has at most so many rows; counts no further than it must."""
     return df.limit(rows + 1).count() <= rows
