@@ -23,7 +23,14 @@ BROADCAST_ROWS = 100_000
 
 
 def _hash(line: Column) -> Column:
-    return F.struct(F.xxhash64(line).alias("x"), F.xxhash64(line, F.lit(1)).alias("y"))
+    """128 bits: two hashes of the line, neither of which follows from the other."""
+    # a hash of several columns feeds each into the next: the constant comes first, so that the line is hashed anew
+    return F.struct(F.xxhash64(line).alias("x"), F.xxhash64(F.lit(1), line).alias("y"))
+
+
+def _key(text: Column) -> Column:
+    """With the doc_id it tells rows apart, also those that repeat one or have none."""
+    return F.struct(F.xxhash64(text).alias("x"), F.octet_length(text).alias("n"))
 
 
 def _blank(line: Column) -> Column:
@@ -32,9 +39,15 @@ def _blank(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, site: str) -> DataFrame:
-    """(doc_id, site, h): every line that isn't blank (nothing but ASCII white space)."""
-    line = F.explode(F.split("text", "\n")).alias("line")
-    return docs.select("doc_id", F.col(site).cast("string").alias("site"), line).where(~_blank(F.col("line"))).select("doc_id", "site", _hash(F.col("line")).alias("h"))
+    """(doc_id, key, site, place, h): every line that isn't blank (nothing but ASCII white space)."""
+    rows = docs.select("doc_id", _key(F.col("text")).alias("key"), F.col(site).cast("string").alias("site"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    return rows.where(~_blank(F.col("line"))).select("doc_id", "key", "site", "place", _hash(F.col("line")).alias("h"))
+
+
+def _without(lines: Column, gone: Column) -> Column:
+    """An array without the sorted places ``gone``: the slices between them, so a text of any length is walked once."""
+    after = lambda k: F.coalesce(F.get(gone, k - 1) + 1, F.lit(0))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), lambda k: F.slice(lines, after(k) + 1, F.coalesce(F.get(gone, k), F.size(lines)) - after(k))))
 
 
 def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -64,11 +77,13 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
     found = boilerplate(docs, site, min_sites)
     found = F.broadcast(found) if small_enough(found, BROADCAST_ROWS) else found
-    held = cut(_lines(docs, site).join(found, "h", "left_semi").groupBy(F.col("doc_id").alias("__held_by")).agg(F.collect_set("h").alias("__gone")))
+    hits = _lines(docs, site).join(found, "h", "left_semi")
+    held = cut(hits.groupBy(F.col("doc_id").alias("__held_by"), F.col("key").alias("__key")).agg(F.sort_array(F.collect_set("place")).alias("__gone")))
     # documents are always shuffled to their lines: this side grows with them, so it is never broadcast
     lines = F.split("text", "\n")
-    joined = docs.select(*names).join(held, F.col("doc_id").eqNullSafe(F.col("__held_by")), "left")
-    stay = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col("__gone"), _hash(x)))
+    joined = docs.select(*names).join(held, F.col("doc_id").eqNullSafe(F.col("__held_by")) & (_key(F.col("text")) == F.col("__key")), "left")
+    # the lines are bound once, not split again for each slice
+    stay = F.transform(F.array(lines), lambda x: _without(x, F.col("__gone")))[0]
     out = joined.select(*names, F.when(F.col("__gone").isNotNull(), stay).alias("__stay"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"))
     removed = F.when(F.col("__stay").isNotNull(), F.col("n_lines") - F.size("__stay")).otherwise(F.lit(0)).cast("long")
     cleaned = F.when(F.col("__stay").isNotNull(), F.array_join("__stay", "\n")).otherwise(F.col("text"))
