@@ -40,7 +40,9 @@ def _blank(line: Column) -> Column:
 
 def _lines(docs: DataFrame, site: str) -> DataFrame:
     """(doc_id, key, site, place, h): every line that isn't blank (nothing but ASCII white space)."""
-    rows = docs.select("doc_id", _key(F.col("text")).alias("key"), F.col(site).cast("string").alias("site"), F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    # the key is taken before lines are: above them it would be taken, and the text carried, for each line
+    whole = docs.select("doc_id", _key(F.col("text")).alias("key"), F.col(site).cast("string").alias("site"), F.split("text", "\n").alias("lines"))
+    rows = whole.select("doc_id", "key", "site", F.posexplode("lines").alias("place", "line"))
     return rows.where(~_blank(F.col("line"))).select("doc_id", "key", "site", "place", _hash(F.col("line")).alias("h"))
 
 

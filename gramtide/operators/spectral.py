@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import small_enough
+from . import lanczos
+from .lineage import cut
 
 
 def _squared_distance(a: str, b: str):
@@ -53,11 +54,8 @@ def median_distance(df: DataFrame, key: str, vector: str, shift: int) -> DataFra
     return pairs.agg(F.percentile(_squared_distance("a", "b"), F.lit(0.5)).alias("median")).withColumn("gamma", 1 / (2 * F.col("median")))
 
 
-# What follows works on one matrix at a time. A matrix of windows has D columns (tens to a hundred): its D x D moments
-# are summed by Spark, and only they reach one task. Kernel matrices are n x n by nature; n is bounded by MAX_KERNEL.
-
-#: Rows of a kernel matrix, at most: 8 n^2 bytes are held in one task.
-MAX_KERNEL = 6000
+# A matrix of windows has D columns (tens to a hundred): its D x D moments are summed by Spark, and only they reach one
+# task. Kernel matrices are n x n by nature and never held.
 
 
 def covariance(df: DataFrame, vector: str, keys: list[str]) -> DataFrame:
@@ -174,27 +172,82 @@ def rotated(df: DataFrame, key: list[str], vector: str, seed: int) -> DataFrame:
     return df.withColumn(vector, roll(F.col(vector), F.pmod(F.xxhash64(*key, F.lit(seed)), F.size(vector))))
 
 
-def kernel_spectra(df: DataFrame, vector: str, gammas: list[float], keep: int = 30) -> DataFrame:
+def _block_pairs(df: DataFrame, vector: str) -> tuple[DataFrame, int, list[int]]:
+    """(p, q, x, y) for every two blocks of vectors, p <= q, stored; the number of vectors, and the blocks' sizes.
+
+    Vectors are dealt into blocks by hash of their components; a task later holds two blocks and nothing else.
+    """
+    v = df.select(F.col(vector).cast("array<double>").alias("z"))
+    n = v.count()
+    blocks = max(1, -(-n // SPECTRUM_BLOCK))
+
+    def dense(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"b": [key[0]], "size": [len(pdf)], "z": [np.stack(pdf["z"].to_numpy()).astype(float).tobytes()]})
+
+    one = v.withColumn("b", F.pmod(F.xxhash64("z", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    held = cut(one.groupBy("b").applyInPandas(dense, "b int, size long, z binary"))
+    sizes = {r.b: r.size for r in held.select("b", "size").collect()}
+    met = held.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "z")
+    pairs = met.groupBy("p", "q").agg(F.min(F.struct("b", "z"))["z"].alias("x"), F.max(F.struct("b", "z"))["z"].alias("y"), F.count("*").alias("met"))
+    # a block that has no vectors meets none
+    return cut(pairs.where((F.col("met") == 2) | (F.col("p") == F.col("q"))).select("p", "q", "x", "y")), n, [sizes.get(b, 0) for b in range(blocks)]
+
+
+def _kernel(x: np.ndarray, y: np.ndarray, gamma: float) -> np.ndarray:
+    return np.exp(-gamma * np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T, 0))
+
+
+def _kernel_product(pairs: DataFrame, sizes: list[int], gamma: float):
+    """Multiplies the doubly centred kernel with a panel: tasks make the kernel of two blocks anew, and drop it."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    n = int(ends[-1])
+
+    def uncentred(panel: np.ndarray) -> np.ndarray:
+        held, width = pairs.sparkSession.sparkContext.broadcast(panel), panel.shape[1]
+
+        def run(batches):
+            for b in batches:
+                for r in b.itertuples(index=False):
+                    x, y = (np.frombuffer(z).reshape(sizes[k], -1) for k, z in ((r.p, r.x), (r.q, r.y)))
+                    k, v = _kernel(x, y, gamma), held.value
+                    rows = [(r.p, (k @ v[ends[r.q] : ends[r.q + 1]]).tobytes())]
+                    if r.p != r.q:
+                        rows.append((r.q, (k.T @ v[ends[r.p] : ends[r.p + 1]]).tobytes()))
+                    yield pd.DataFrame(rows, columns=["b", "part"])
+
+        def total(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"b": [key[0]], "part": [sum(np.frombuffer(x) for x in pdf["part"]).tobytes()]})
+
+        out = np.zeros((n, width))
+        for r in pairs.mapInPandas(run, "b int, part binary").groupBy("b").applyInPandas(total, "b int, part binary").collect():
+            out[ends[r.b] : ends[r.b + 1]] = np.frombuffer(r.part).reshape(-1, width)
+        held.unpersist()
+        return out
+
+    total = uncentred(np.ones((n, 1))).sum()
+
+    def product(panel: np.ndarray) -> np.ndarray:
+        y = uncentred(panel - panel.mean(0))
+        return y - y.mean(0)
+
+    return product, n - total / n
+
+
+#: Vectors of a block of a kernel whose spectrum is taken, about.
+SPECTRUM_BLOCK = 1024
+
+
+def kernel_spectra(df: DataFrame, vector: str, gammas: list[float], keep: int | None = 30, panel: int = lanczos.PANEL) -> DataFrame:
     """(gamma, rank, share, n): spectrum of the doubly centred RBF kernel; shares are of trace(K) - sum(K) / n.
 
-    The kernel of n vectors is one n x n matrix in one task: more than MAX_KERNEL vectors are an error, which is raised
-    before anything is gathered.
+    The kernel is never held: block Lanczos multiplies it with panels, one Spark job a step over pairs of blocks of
+    vectors. ``keep`` None wants all values; where the vectors are too many for the whole spectrum, the values that are
+    taken then come to a basis of ``lanczos.MAX_BASIS`` numbers, or an error says that they don't.
     """
-    if not small_enough(df.select(vector), MAX_KERNEL):
-        raise ValueError(f"a kernel of more than {MAX_KERNEL} vectors")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = np.stack(pdf["z"].to_numpy()).astype(float)
-        sq = (z**2).sum(1)
-        dist = np.maximum(sq[:, None] + sq[None] - 2 * z @ z.T, 0)
-        out = []
-        for g in gammas:
-            k = np.exp(-g * dist)
-            mean = k.mean(0)
-            total = np.trace(k) - k.sum() / len(k)
-            centred = k - mean[:, None] - mean[None] + k.mean()
-            values = np.linalg.eigvalsh(centred)[::-1]
-            out += [(g, i + 1, float(v / total), len(z)) for i, v in enumerate(values[:keep])]
-        return pd.DataFrame(out, columns=["gamma", "rank", "share", "n"])
-
-    return df.select(F.lit(0).alias("all"), F.col(vector).cast("array<double>").alias("z")).groupBy("all").applyInPandas(run, "gamma double, rank long, share double, n long")
+    pairs, n, sizes = _block_pairs(df, vector)
+    rows = []
+    for g in gammas if n else []:
+        product, trace = _kernel_product(pairs, sizes, g)
+        found = lanczos.spectrum(product, n, n if keep is None else min(keep, n), panel=panel)
+        rows += [(float(g), k + 1, float(v / trace), n) for k, v in enumerate(found.values[:keep])]
+    return df.sparkSession.createDataFrame(rows, "gamma double, rank long, share double, n long")

@@ -12,7 +12,7 @@ from ..operators import corr, peaks, series, spectral, vocab, windows
 from ..operators.lineage import cut, sized_join
 from . import law_sql
 from .registry import query, sql
-from .series_queries import _spearman, array_windows, long_windows
+from .series_queries import _ranks, _spearman, array_windows, long_windows
 from .tables import Tables
 
 MIN_DAYS = 60
@@ -438,7 +438,7 @@ def kernel_spectrum(t: Tables):
 @query("kernel_grid")
 def kernel_grid(t: Tables):
     """Components for half and 90 % of the variance, by width around the median one."""
-    spectra = spectral.kernel_spectra(t.raw("embeddings"), "embedding", [0.5 * f for f in (0.1, 0.3, 1.0, 3.0)], spectral.MAX_KERNEL)
+    spectra = spectral.kernel_spectra(t.raw("embeddings"), "embedding", [0.5 * f for f in (0.1, 0.3, 1.0, 3.0)], None)
     cum = spectra.withColumn("cum", F.sum("share").over(Window.partitionBy("gamma").orderBy("rank")))
     return cum.groupBy("gamma").agg(F.min(F.when(F.col("cum") >= 0.5, F.col("rank"))).alias("k50"), F.min(F.when(F.col("cum") >= 0.9, F.col("rank"))).alias("k90"), F.max("n").alias("n"))
 
@@ -463,39 +463,23 @@ def kernel_pitfall(t: Tables):
 
 @query("hier_clusters")
 def hier_clusters(t: Tables):
-    def run(names, c):
-        g = corr.average_linkage(1 - np.abs(c), 0.97)
-        return pd.DataFrame({"mot": names, "cluster": g, "size": np.bincount(g)[g]})
-
-    return corr.on_matrix(_spearman(t), run, "mot string, cluster long, size long")
-
-
-def _days(t: Tables) -> int:
-    return t.series.select("date").distinct().count()
+    """Groups of words by average linkage, named by their first word."""
+    p = _spearman(t).select("mot_i", "mot_j", F.abs("r").alias("s"))
+    return corr.average_linkage(p, t.series.select("mot").distinct(), 0.97)
 
 
 @query("mp_fit")
 def mp_fit(t: Tables):
     """Noise band of the eigenvalues and the values over it."""
-    days = _days(t)
-
-    def run(names, c):
-        values = np.linalg.eigvalsh(c)[::-1]
-        _, ratio, low, high = corr.fit_noise(values, len(c) / days)
-        return pd.DataFrame({"rank": np.arange(1, len(values) + 1), "value": values, "low": low, "high": high, "days": len(c) / ratio, "spike": values > high})
-
-    return corr.on_matrix(_spearman(t), run, "rank long, value double, low double, high double, days double, spike boolean")
+    found, words, days = corr.spectrum(_ranks(t), "avg_rank")
+    n = len(words)
+    _, ratio, low, high = corr.fit_noise(found.nodes, n / days, found.weights)
+    rows = [(k + 1, float(v), float(low), float(high), float(n / ratio), bool(v > high)) for k, v in enumerate(found.values)]
+    return t.rows(rows, "rank long, value double, low double, high double, days double, spike boolean")
 
 
 def _denoised(t: Tables) -> DataFrame:
-    days = _days(t)
-
-    def run(names, c):
-        d = corr.denoised(c, days)
-        i, j = np.triu_indices(len(c), 1)
-        return pd.DataFrame({"mot_i": [names[k] for k in i], "mot_j": [names[k] for k in j], "r": c[i, j], "clean": d[i, j]})
-
-    return corr.on_matrix(_spearman(t), run, "mot_i string, mot_j string, r double, clean double")
+    return corr.denoised(_ranks(t), "avg_rank")
 
 
 @query("corr_denoise")
@@ -513,12 +497,11 @@ def denoise_shift(t: Tables):
 @query("axis_words")
 def axis_words(t: Tables):
     """The words with the largest and smallest loadings of the first eigenvectors."""
-
-    def run(names, c):
-        vectors = np.linalg.eigh(c)[1][:, ::-1][:, :3]
-        vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(3)])
-        return pd.DataFrame([(k + 1, names[i], float(vectors[i, k])) for k in range(3) for i in range(len(names))], columns=["axis", "mot", "loading"])
-
-    long = corr.on_matrix(_spearman(t), run, "axis long, mot string, loading double")
-    top, low = Window.partitionBy("axis").orderBy(F.desc("loading"), "mot"), Window.partitionBy("axis").orderBy("loading", "mot")
-    return long.withColumn("a", F.row_number().over(top)).withColumn("b", F.row_number().over(low)).where("a <= 5 or b <= 5").select("axis", "mot", "loading", F.when(F.col("a") <= 5, "top").otherwise("bottom").alias("side"))
+    found, words, _ = corr.spectrum(_ranks(t), "avg_rank", 8)
+    vectors = found.vectors[:, :3]
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(vectors.shape[1])])
+    rows = []
+    for k, axis in enumerate(vectors.T):
+        top, low = (sorted(range(len(words)), key=lambda i: (sign * axis[i], words[i]))[:5] for sign in (-1, 1))  # noqa: B023
+        rows += [(k + 1, words[i], float(axis[i]), "top" if i in top else "bottom") for i in dict.fromkeys(top + low)]
+    return t.rows(rows, "axis long, mot string, loading double, side string")

@@ -363,11 +363,15 @@ def corr_residual(t: Tables):
 _SPEAR = sql("SELECT mot_i, mot_j, corr(a, b) AS r FROM (SELECT p.mot AS mot_i, q.mot AS mot_j, p.k AS a, q.k AS b FROM rk p JOIN rk q ON p.date = q.date AND p.mot < q.mot) GROUP BY ALL", "bser").replace("\nSELECT mot_i", ", rk AS (SELECT mot, date, rank() OVER (PARTITION BY mot ORDER BY x / n_tot) + (count(*) OVER (PARTITION BY mot, x / n_tot) - 1) / 2.0 AS k FROM bser)\nSELECT mot_i", 1)
 
 
+def _ranks(t: Tables):
+    rate = t.series.withColumn("rate", F.col("x") / F.col("n_tot"))
+    return series.average_rank(rate, "rate")
+
+
 def _spearman(t: Tables):
     from ..operators import corr
 
-    rate = t.series.withColumn("rate", F.col("x") / F.col("n_tot"))
-    return corr.pairs(series.average_rank(rate, "rate"), "avg_rank")
+    return corr.pairs(_ranks(t), "avg_rank")
 
 
 @query("corr_spearman", f"SELECT mot_i, mot_j, round(r, 6) AS r FROM ({_SPEAR})")
@@ -383,10 +387,9 @@ def corr_summary(t: Tables):
 
 @query("corr_neighbours", f"SELECT mot, other, round(r, 6) AS r, rank FROM (SELECT *, row_number() OVER (PARTITION BY mot ORDER BY round(r, 9) DESC, other) AS rank FROM (SELECT mot_i AS mot, mot_j AS other, r FROM ({_SPEAR}) UNION ALL SELECT mot_j, mot_i, r FROM ({_SPEAR}))) WHERE rank <= 5")
 def corr_neighbours(t: Tables):
-    p = _spearman(t)
-    both = p.select(F.col("mot_i").alias("mot"), F.col("mot_j").alias("other"), "r").unionByName(p.select(F.col("mot_j").alias("mot"), F.col("mot_i").alias("other"), "r"))
-    w = Window.partitionBy("mot").orderBy(F.desc(F.round("r", 9)), "other")
-    return both.withColumn("rank", F.row_number().over(w)).where("rank <= 5").withColumn("r", r("r"))
+    from ..operators import corr
+
+    return corr.neighbours(_ranks(t), "avg_rank", 5).withColumn("r", r("r"))
 
 
 @query("rbf_gram", "SELECT a.vec_id AS i, b.vec_id AS j, round(exp(-0.05 * list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) AS k FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) a, (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) b WHERE a.vec_id <= b.vec_id")

@@ -109,6 +109,6 @@ def test_a_document_of_very_many_boilerplate_lines(spark, docs):
 
 
 def test_rows_that_share_an_id(spark, docs):
-    rows = [(k, "x\ncommon", "en", f"s{k}") for k in range(10)] + [(None, "common\na", "en", "s1"), (None, "b\ncommon\ncommon", "en", "s2"), (3, "common", "en", "s3"), (3, "common", "en", "s3")]
+    rows = [(k, f"x{k}\ncommon", "en", f"s{k}") for k in range(10)] + [(None, "common\na", "en", "s1"), (None, "b\ncommon\ncommon", "en", "s2"), (3, "common", "en", "s3"), (3, "common", "en", "s3")]
     got = line_dedup.remove_boilerplate(docs(rows)).select("doc_id", "text", "n_removed_lines").collect()
-    assert sorted(((r.doc_id is None, r.doc_id or 0), r.text, r.n_removed_lines) for r in got) == sorted([((False, k), "x", 1) for k in range(10)] + [((True, 0), "a", 1), ((True, 0), "b", 2), ((False, 3), "", 1), ((False, 3), "", 1)])
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.text, r.n_removed_lines) for r in got) == sorted([((False, k), f"x{k}", 1) for k in range(10)] + [((True, 0), "a", 1), ((True, 0), "b", 2), ((False, 3), "", 1), ((False, 3), "", 1)])

@@ -9,7 +9,7 @@ from gramtide.functions import specfun
 from gramtide.operators import corr, laws, peaks, spectral
 from gramtide.plans import burst_queries as b
 from gramtide.plans import catalog
-from gramtide.plans.series_queries import _spearman, array_windows, long_windows
+from gramtide.plans.series_queries import _ranks, array_windows, long_windows
 from gramtide.plans.tables import Tables
 
 SF = "/root/testdata/sf0.001"
@@ -38,8 +38,8 @@ def days(t):
 
 @pytest.fixture(scope="module")
 def correlations(t):
-    names, c = corr.matrix(_spearman(t).toPandas())
-    return names, c
+    wide = _ranks(t).toPandas().pivot(index="date", columns="mot", values="avg_rank")
+    return list(wide.columns), np.corrcoef(wide.to_numpy(float), rowvar=False)
 
 
 def shares(m):

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gramtide.functions import dates, markup, specfun, text
-from gramtide.operators import corr, laws, monitor, ngrams, peaks, series, spectral, urls, vocab, windows
+from gramtide.operators import corr, lanczos, laws, monitor, ngrams, peaks, series, spectral, urls, vocab, windows
 from gramtide.streaming import incremental
 
 
@@ -312,12 +312,97 @@ def test_kernel_shares_sum_to_one(spark):
     assert got == pytest.approx(1)
 
 
-def test_average_linkage_finds_planted_groups():
-    d = np.full((6, 6), 0.95)
-    d[:3, :3] = d[3:, 3:] = 0.1
-    g = corr.average_linkage(d, 0.85)
-    assert len(set(g[:3])) == len(set(g[3:])) == 1 and g[0] != g[3]
-    assert len(set(corr.average_linkage(np.full((4, 4), 0.99), 0.85))) == 4
+def plain_linkage(d, cut):
+    groups = [[i] for i in range(len(d))]
+    while len(groups) > 1:
+        best = min((np.mean([d[i][j] for i in x for j in y]), a, c) for a, x in enumerate(groups) for c, y in enumerate(groups) if a < c)
+        if best[0] > cut:
+            break
+        groups[best[1]] = sorted(groups[best[1]] + groups.pop(best[2]))
+    return {frozenset(g) for g in groups}
+
+
+@pytest.mark.parametrize("seed,cut", [(1, 0.85), (2, 0.97), (3, 0.5), (4, 0.99)])
+def test_average_linkage(spark, seed, cut):
+    rng = np.random.default_rng(seed)
+    near = np.abs(np.corrcoef(rng.standard_normal((6, 14)) + 2 * rng.standard_normal((6, 4))[:, rng.integers(0, 4, 14)], rowvar=False))
+    near[near < 0.1] = 0  # pairs that aren't there
+    rows = [(f"w{i:02}", f"w{j:02}", float(near[i, j])) for i in range(14) for j in range(i + 1, 14) if near[i, j]]
+    words = spark.createDataFrame([(f"w{i:02}",) for i in range(15)], "mot string")  # w14 is near none
+    got = corr.average_linkage(spark.createDataFrame(rows, "mot_i string, mot_j string, s double"), words, cut).toPandas()
+    mine = {frozenset(int(w[1:]) for w in g.mot) for _, g in got.groupby("cluster")}
+    assert mine == plain_linkage(1 - near, cut) | {frozenset([14])}
+    assert all(len(g) == g["size"].iloc[0] and g.mot.min() == k for k, g in got.groupby("cluster"))
+
+
+@pytest.mark.parametrize("panel", [1, 2000, 1 << 22])
+def test_lanczos_equals_a_dense_spectrum(panel):
+    rng = np.random.default_rng(8)
+    for values in (np.geomspace(100, 1e-3, 150), np.repeat([5.0, 3.0, 1.0], 50), np.concatenate([[40, 39.99], rng.uniform(0, 2, 148)])):
+        q = np.linalg.qr(rng.standard_normal((150, 150)))[0]
+        m = (q * values) @ q.T
+        found = lanczos.spectrum(lambda v: m @ v, 150, 12, panel=panel)  # noqa: B023
+        want = np.sort(values)[::-1]
+        assert np.allclose(found.values[:12], want[:12], atol=1e-8 * want[0]) and found.weights.sum() == pytest.approx(150)
+        assert np.allclose(m @ found.vectors[:, :12], found.vectors[:, :12] * found.values[:12], atol=1e-6 * want[0])
+        assert (found.weights * found.nodes).sum() == pytest.approx(values.sum(), rel=0.15)
+        if found.whole:
+            assert np.allclose(np.sort(found.values), np.sort(values), atol=1e-8 * want[0])
+    with pytest.raises(ValueError):
+        lanczos.spectrum(lambda v: m @ v, 150, 100, panel=1, most=150 * 20)
+
+
+def test_kernel_by_steps(spark, monkeypatch):
+    """Blocks of a few vectors and panels of a few columns give what one dense matrix does."""
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.standard_normal((300, 6)), np.zeros((40, 6))])  # copies are no hot key
+    df = spark.createDataFrame([(x.tolist(),) for x in v], "z array<double>")
+    k, h = np.exp(-0.2 * ((v[:, None] - v[None]) ** 2).sum(-1)), np.eye(len(v)) - 1 / len(v)
+    want = np.linalg.eigvalsh(h @ k @ h)[::-1] / (np.trace(k) - k.sum() / len(v))
+    monkeypatch.setattr(spectral, "SPECTRUM_BLOCK", 90)
+    got = spectral.kernel_spectra(df, "z", [0.2], 30, panel=340 * 40).orderBy("rank").toPandas()
+    assert np.abs(got.share - want[:30]).max() < 1e-8
+    assert spectral.kernel_spectra(df.limit(0), "z", [0.2]).count() == 0
+
+
+def test_correlation_spectrum_by_steps(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.standard_normal((90, 40)) + 2 * rng.standard_normal((90, 1)) * (np.arange(40) < 9)
+    df = spark.createDataFrame([(f"w{j:02}", i, float(x[i, j])) for i in range(90) for j in range(40)] + [("flat", i, 1.0) for i in range(90)], "mot string, date int, v double")
+    c = np.corrcoef(x, rowvar=False)
+    want, vectors = np.linalg.eigh(c)
+    for panel in (40 * 8, 1 << 22):
+        found, words, days = corr.spectrum(df, "v", 3, panel=panel)
+        assert words == [f"w{j:02}" for j in range(40)] and days == 90 and np.allclose(found.values[:3], want[::-1][:3], atol=1e-8)
+    monkeypatch.setattr(corr, "TILE_WORDS", 7)
+    monkeypatch.setattr(corr, "TILE_DAYS", 25)
+    got = corr.denoised(df, "v").toPandas()
+    values, vecs, rest = corr.spikes(found, 90)
+    m = (vecs * (values - rest)) @ vecs.T + rest * np.eye(40)
+    m = m / np.sqrt(np.outer(np.diag(m), np.diag(m)))
+    i, j = (got[k].str[1:].astype(int).to_numpy() for k in ("mot_i", "mot_j"))
+    assert len(got) == 780 and np.allclose(got.r, c[i, j]) and np.allclose(got.clean, m[i, j]) and len(values) < 40
+
+
+def test_correlations_over_common_days(spark, monkeypatch):
+    monkeypatch.setattr(corr, "TILE_WORDS", 3)
+    monkeypatch.setattr(corr, "TILE_DAYS", 10)
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((40, 9)) + 1e4
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[:20, 7], x[20:, 8] = np.nan, np.nan  # no common day
+    x[:, 6] = 5.0
+    df = spark.createDataFrame([(f"w{j}", i, float(x[i, j])) for i in range(40) for j in range(9) if not np.isnan(x[i, j])], "mot string, date int, v double")
+    got = {(r.mot_i, r.mot_j): r.r for r in corr.pairs(df, "v").collect()}
+    assert len(got) == 35
+    for (a, b), r in got.items():
+        both = x[:, [int(a[1]), int(b[1])]]
+        both = both[~np.isnan(both).any(1)]
+        assert r is None if "w6" in (a, b) else r == pytest.approx(np.corrcoef(both, rowvar=False)[0, 1], abs=1e-9)
+    near = corr.neighbours(df, "v", 3).collect()
+    for w in range(9):
+        want = sorted(((-round(r, 9), (set(k) - {f"w{w}"}).pop()) for k, r in got.items() if f"w{w}" in k and r is not None))[:3]
+        assert [(-round(r.r, 9), r.other) for r in sorted(near, key=lambda r: r["rank"]) if r.mot == f"w{w}"] == want
 
 
 def test_noise_edge_holds_white_noise():
@@ -328,8 +413,8 @@ def test_noise_edge_holds_white_noise():
     assert s2 == pytest.approx(1, abs=0.1) and q == pytest.approx(60 / 4000, rel=0.3) and (values <= high * 1.05).all() and (values >= low * 0.9).all()
     spiked = np.append(values, [9.0, 30.0])
     assert (spiked > corr.fit_noise(spiked, 60 / 4000)[3]).sum() <= 4 and (spiked[-2:] > corr.fit_noise(spiked, 60 / 4000)[3]).all()
-    c = corr.denoised(np.corrcoef(x, rowvar=False), 4000)
-    assert np.abs(c - np.eye(60)).max() < 0.05
+    whole = lanczos.spectrum(lambda v: np.corrcoef(x, rowvar=False) @ v, 60, 60)
+    assert len(corr.spikes(whole, 4000)[0]) <= 2
 
 
 def test_noise_density_is_a_density():
