@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut, small_enough
+from .quantiles import exact
+
 MIN_HISTORY, SIGMAS = 5, 3.0
 # fixed values: 0 to do, 1 failed once, 2 done, 3 covered elsewhere, 4 failed again, 5 no article
 
@@ -27,8 +30,12 @@ def failure_rate(queue: DataFrame) -> DataFrame:
 
 
 def length_stats(articles: DataFrame, words: Column) -> DataFrame:
-    rows = articles.select("media", words.alias("w")).rollup("media").agg(F.grouping("media").alias("g"), F.count("*").alias("n"), F.bround(F.avg("w"), 0).alias("mean"), F.bround(F.percentile("w", F.lit(0.5)), 0).alias("median"), F.min("w").alias("min"), F.max("w").alias("max"))
-    return rows.select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col("media")).alias("media"), "n", "mean", "median", "min", "max")
+    """Lengths by medium and of all (TOTAL): each article counts in both."""
+    of = articles.select("media", words.alias("w"))
+    both = cut(of.select(F.explode(F.array(F.struct(F.lit(0).alias("g"), "media"), F.struct(F.lit(1).alias("g"), F.lit("TOTAL").alias("media")))).alias("s"), "w").select("s.g", "s.media", "w"))
+    medians = exact(both, ["g", "media"], "w", (0.5,)).select("g", F.col("media").alias("of"), F.bround(F.col("v")[0], 0).alias("median"))
+    rows = both.groupBy("g", "media").agg(F.count("*").alias("n"), F.bround(F.avg("w"), 0).alias("mean"), F.min("w").alias("min"), F.max("w").alias("max")).withColumnRenamed("g", "kind")
+    return rows.join(F.broadcast(medians) if small_enough(medians) else medians, (F.col("kind") == F.col("g")) & F.col("media").eqNullSafe(F.col("of")), "left").select("media", "n", "mean", "median", "min", "max")
 
 
 def top_values(df: DataFrame, column: str, k: int) -> DataFrame:

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+from .quantiles import exact
+
 KEY = ("mot",)
 
 
@@ -42,8 +45,8 @@ def jumps(series: DataFrame, k: int, keys: Sequence[str] = KEY) -> DataFrame:
 
 
 def extreme_jumps(series: DataFrame, k: int, quantile: float = 0.99, most: int = 15, keys: Sequence[str] = KEY) -> DataFrame:
-    d = jumps(series, k, keys)
-    bounds = d.groupBy(*keys).agg(F.percentile("d", F.lit(quantile)).alias("high"), F.percentile("d", F.lit(1 - quantile)).alias("low"))
+    d = cut(jumps(series, k, keys))
+    bounds = exact(d, list(keys), "d", (quantile, 1 - quantile)).select(*keys, F.col("v")[0].alias("high"), F.col("v")[1].alias("low"))
     rows = d.join(bounds, list(keys)).withColumn("way", F.when(F.col("d") > F.col("high"), "up").when(F.col("d") < F.col("low"), "down")).where("way is not null")
     order = Window.partitionBy(*keys, "way").orderBy(F.desc(F.abs("d")), "date")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(*keys, "way", "rank", "date", "d")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import lanczos
 from .lineage import cut
+from .quantiles import exact
 
 
 def _squared_distance(a: str, b: str):
@@ -51,7 +52,7 @@ def median_distance(df: DataFrame, key: str, vector: str, shift: int) -> DataFra
     """Median squared distance over the pairs (k, k + shift), and gamma = 1 / (2 median)."""
     v = df.select(F.col(key).alias("i"), F.col(vector).cast("array<double>").alias("a"))
     pairs = v.join(v.select((F.col("i") - shift).alias("i"), F.col("a").alias("b")), "i")
-    return pairs.agg(F.percentile(_squared_distance("a", "b"), F.lit(0.5)).alias("median")).withColumn("gamma", 1 / (2 * F.col("median")))
+    return exact(pairs, [], _squared_distance("a", "b"), (0.5,)).select(F.col("v")[0].alias("median")).withColumn("gamma", 1 / (2 * F.col("median")))
 
 
 # A matrix of windows has D columns (tens to a hundred): its D x D moments are summed by Spark, and only they reach one

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 # fixed values: file endings and traces that no article's address has
 FILES = (".jpg", ".jpeg", ".png", ".webp", ".gif", ".pdf", ".mp3", ".mp4", ".xml")
 TRACES = ("image:media", "httpRequest", "%20http")
@@ -70,15 +72,23 @@ def next_urls(queue: DataFrame) -> DataFrame:
     return queue.where(F.col("state").isin(0, 1)).withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
-def tree(spark_edges: DataFrame, roots: DataFrame, bound: str, depth: int = 4) -> DataFrame:
-    """Breadth-first expansion of a sitemap index, edges(parent, child, lastmod), pruned by ``may_cover``."""
-    edges = spark_edges.where(may_cover(F.col("child"), F.col("lastmod"), bound)).select("parent", "child")
-    level = roots.select(F.col("node"), F.lit(0).alias("depth"))
-    out = level
-    for d in range(1, depth):
-        level = level.join(edges, level.node == edges.parent).select(F.col("child").alias("node"), F.lit(d).alias("depth")).distinct()
-        out = out.unionByName(level)
-    return out.groupBy("node").agg(F.min("depth").alias("depth"))
+def tree(edges: DataFrame, roots: DataFrame, bound: str, depth: int | None = None) -> DataFrame:
+    """(node, depth): breadth-first expansion of a sitemap index, edges(parent, child, lastmod), pruned by ``may_cover``.
+
+    A level at a time, until one brings nothing new or ``depth`` levels are there. Nodes that were seen aren't gone
+    through again, so cycles end and a shared child has its least depth; each level is checkpointed.
+    """
+    kept = cut(edges.where(may_cover(F.col("child"), F.col("lastmod"), bound)).select("parent", "child"))
+    level = seen = cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
+    d = 1
+    while depth is None or d < depth:
+        found = kept.join(level, kept.parent == level.node, "left_semi").select(F.col("child").alias("node")).distinct()
+        level = cut(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
+        if level.limit(1).count() == 0:
+            break
+        seen = seen.unionByName(level)
+        d += 1
+    return seen
 
 
 def append_new(target: DataFrame, rows: DataFrame, key: str) -> DataFrame:

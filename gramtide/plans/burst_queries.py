@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import corr, peaks, series, spectral, vocab, windows
+from ..operators import corr, peaks, quantiles, series, spectral, vocab, windows
 from ..operators.lineage import cut, sized_join
 from . import law_sql
 from .registry import query, sql
@@ -491,7 +491,9 @@ def corr_denoise(t: Tables):
 def denoise_shift(t: Tables):
     """How far denoising moves a coefficient, by its size."""
     band = F.width_bucket(F.abs("r"), F.lit(0.0), F.lit(0.1), F.lit(5))
-    return _denoised(t).groupBy(band.alias("band")).agg(F.count("*").alias("pairs"), F.percentile(F.abs(F.col("clean") - F.col("r")), F.lit(0.5)).alias("median_shift"))
+    shifts = cut(_denoised(t).select(band.alias("band"), F.abs(F.col("clean") - F.col("r")).alias("shift")))
+    medians = quantiles.exact(shifts, ["band"], "shift", (0.5,)).select("band", F.col("v")[0].alias("median_shift"))
+    return shifts.groupBy("band").agg(F.count("*").alias("pairs")).join(medians, "band")
 
 
 @query("axis_words")

@@ -313,7 +313,7 @@ def sitemap_bound(t: Tables):
     return _index(t).where(urls.may_cover(F.col("loc"), F.col("lastmod"), "2024-05")).select("page_id", "loc")
 
 
-@query("sitemap_tree", "WITH RECURSIVE e AS (SELECT (page_id // 3)::VARCHAR AS parent, page_id::VARCHAR AS child FROM pages WHERE page_id > 0 AND page_id % 5 <> 0), w AS (SELECT '0' AS node, 0 AS depth UNION ALL SELECT child, depth + 1 FROM w JOIN e ON parent = node WHERE depth < 3) SELECT node, min(depth) AS depth FROM w GROUP BY node")
+@query("sitemap_tree", "WITH RECURSIVE e AS (SELECT (page_id // 3)::VARCHAR AS parent, page_id::VARCHAR AS child FROM pages WHERE page_id > 0 AND page_id % 5 <> 0), w AS (SELECT '0' AS node, 0 AS depth UNION ALL SELECT child, depth + 1 FROM w JOIN e ON parent = node) SELECT node, min(depth) AS depth FROM w GROUP BY node")
 def sitemap_tree(t: Tables):
     lastmod = F.when(F.col("page_id") % 5 == 0, "2020-01-01").otherwise("2024-06-01")
     edges = t.raw("pages").where("page_id > 0").select(F.floor(F.col("page_id") / 3).cast("string").alias("parent"), F.col("page_id").cast("string").alias("child"), lastmod.alias("lastmod"))

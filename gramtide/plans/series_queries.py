@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..operators import ngrams, series, vocab, windows
-from ..operators.lineage import sized_join
+from ..operators.lineage import cut, sized_join
+from ..operators.quantiles import exact as exact_quantiles
 from .registry import query, sql
 from .tables import Tables
 from .text_queries import WORDS, matrix
@@ -59,7 +60,7 @@ def moments(t: Tables):
 @query("quantiles", " UNION ALL ".join(f"SELECT l_returnflag AS flag, {q}::DOUBLE AS q, round(quantile_cont(l_extendedprice, {q}), 4) AS value FROM lineitem GROUP BY ALL" for q in (0.01, 0.25, 0.5, 0.75, 0.99)))
 def quantiles(t: Tables):
     qs = [0.01, 0.25, 0.5, 0.75, 0.99]
-    out = t.raw("lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.percentile("l_extendedprice", F.array(*map(F.lit, qs))).alias("v"))
+    out = exact_quantiles(t.raw("lineitem").select(F.col("l_returnflag").alias("flag"), "l_extendedprice"), ["flag"], "l_extendedprice", qs)
     return out.select("flag", F.explode(F.arrays_zip(F.array(*map(F.lit, qs)).alias("q"), F.col("v").alias("value"))).alias("s")).select("flag", "s.q", r("s.value", 4).alias("value"))
 
 
@@ -274,7 +275,7 @@ def profile_shape(t: Tables):
 def profile_slices(t: Tables):
     """Mean windows of the lowest tenth, the middle and the highest tenth by asymmetry."""
     scored = array_windows(t).withColumn("a", r(windows.asymmetry(F.col("w"), HALF)))
-    q = scored.agg(F.percentile("a", F.array(*[F.lit(x) for x in (0.1, 0.35, 0.65, 0.9)])).alias("q"))
+    q = exact_quantiles(scored, [], "a", (0.1, 0.35, 0.65, 0.9)).withColumnRenamed("v", "q")
     a = F.col("a")
     slice_ = F.when(a <= F.col("q")[0], "low").when(a >= F.col("q")[3], "high").when(a.between(F.col("q")[1], F.col("q")[2]), "middle")
     rows = scored.crossJoin(F.broadcast(q)).withColumn("slice", slice_).where("slice is not null").select("slice", F.posexplode("w").alias("k", "f"))
@@ -298,7 +299,7 @@ def subsample(t: Tables):
 def volume_filter(t: Tables):
     """Centres of at least max(median, 3) occurrences, or all of them if under 30 would be left."""
     rows = centres(t).join(grid(t).select("mot", "pos", "x"), ["mot", "pos"]).select("mot", F.col("pos").alias("centre"), "x")
-    floor = rows.agg(F.greatest(F.percentile("x", F.lit(0.5)), F.lit(3)).alias("floor"))
+    floor = exact_quantiles(rows, [], "x", (0.5,)).select(F.greatest(F.col("v")[0], F.lit(3)).alias("floor"))
     held = rows.crossJoin(F.broadcast(floor)).withColumn("kept", F.col("x") >= F.col("floor"))
     left = held.agg(F.count_if("kept").alias("left"))
     return held.crossJoin(F.broadcast(left)).where("kept or left < 30").select("mot", "centre", "x")
@@ -381,8 +382,9 @@ def corr_spearman(t: Tables):
 
 @query("corr_summary", f"SELECT count(*) AS pairs, round(avg(r), 6) AS mean, round(quantile_cont(r, 0.01), 6) AS q01, round(quantile_cont(r, 0.5), 6) AS q50, round(quantile_cont(r, 0.99), 6) AS q99 FROM ({_SPEAR})")
 def corr_summary(t: Tables):
-    q = F.percentile("r", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
-    return _spearman(t).agg(F.count("*").alias("pairs"), r(F.avg("r")).alias("mean"), r(q[0]).alias("q01"), r(q[1]).alias("q50"), r(q[2]).alias("q99"))
+    pairs, q = cut(_spearman(t)), F.col("v")
+    means = pairs.agg(F.count("*").alias("pairs"), r(F.avg("r")).alias("mean"))
+    return means.crossJoin(F.broadcast(exact_quantiles(pairs, [], "r", (0.01, 0.5, 0.99)))).select("pairs", "mean", r(q[0]).alias("q01"), r(q[1]).alias("q50"), r(q[2]).alias("q99"))
 
 
 @query("corr_neighbours", f"SELECT mot, other, round(r, 6) AS r, rank FROM (SELECT *, row_number() OVER (PARTITION BY mot ORDER BY round(r, 9) DESC, other) AS rank FROM (SELECT mot_i AS mot, mot_j AS other, r FROM ({_SPEAR}) UNION ALL SELECT mot_j, mot_i, r FROM ({_SPEAR}))) WHERE rank <= 5")

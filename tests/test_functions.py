@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from gramtide.functions import dates, markup, specfun, text
-from gramtide.operators import corr, lanczos, laws, monitor, ngrams, peaks, series, spectral, urls, vocab, windows
+from gramtide.operators import corr, lanczos, laws, monitor, ngrams, peaks, quantiles, series, spectral, urls, vocab, windows
 from gramtide.streaming import incremental
 
 
@@ -235,11 +235,50 @@ def test_breaks_are_found():
     rng = np.random.default_rng(8)
     n = np.full(900, 1000.0)
     x = rng.poisson(np.repeat([0.004, 0.02, 0.006], 300) * n)
-    days = [d for d, _ in peaks.segmented(x, n, 20.0)]
+    days = [d for d, *_ in peaks.segmented(x, n, 20.0)]
     assert len(days) == 2 and abs(days[0] - 300) < 5 and abs(days[1] - 600) < 10
     assert peaks.segmented(rng.poisson(5, 900), n, 25.0) == []
 
 
+def test_p_values_of_the_scan_are_uniform_without_a_break():
+    """The law of one known date calls most of these series broken; that of the best date does not."""
+    rng, n, p, naive = np.random.default_rng(12), np.full(240, 1000.0), [], []
+    for k in range(150):
+        x = rng.poisson(5.0, 240).astype(float)
+        ratio = peaks.break_scan(x, n, 30)[1]
+        p.append(peaks.scan_p(x, n, ratio, 30, 99, 7, k))
+        naive.append(peaks.sf.chi2_sf(ratio, 1))
+    p = np.array(p)
+    assert 0.4 < p.mean() < 0.6 and (p <= 0.05).mean() < 0.12 and 0.1 < (p <= 0.25).mean() < 0.4 and (np.array(naive) <= 0.05).mean() > 0.2
+    broken = rng.poisson(np.repeat([4.0, 7.0], 120)).astype(float)
+    assert peaks.scan_p(broken, n, peaks.break_scan(broken, n, 30)[1], 30, 99, 7) == 0.01
+    assert peaks.scan_p(np.zeros(20), np.zeros(20), 0.0) == 1
+
+
+def test_sitemap_tree_with_cycles(spark):
+    edges = [("r", "a"), ("r", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "r"), ("d", "d"), ("x", "y"), ("d", "e"), ("e", "f"), ("f", "g")]
+    df = spark.createDataFrame([(*e, "2024-06-01") for e in edges] + [("r", "old", "2020-01-01")], "parent string, child string, lastmod string")
+    roots = spark.createDataFrame([("r",), ("r",)], "node string")
+    got = {r.node: r.depth for r in urls.tree(df, roots, "2024-05").collect()}
+    assert got == {"r": 0, "a": 1, "b": 1, "c": 2, "d": 3, "e": 4, "f": 5, "g": 6}
+    assert {r.node for r in urls.tree(df, roots, "2024-05", 2).collect()} == {"r", "a", "b"}
+    assert urls.tree(df, roots.limit(0), "2024-05").count() == 0
+
+
+@pytest.mark.parametrize("few", [1, 5, 8192])
+def test_exact_quantiles(spark, few):
+    rng, qs = np.random.default_rng(13), (0.0, 0.01, 0.333, 0.5, 0.9, 1.0)
+    groups = {"a": rng.standard_normal(700), "b": np.full(300, 2.5), None: np.round(rng.exponential(3, 400)), "one": np.array([7.0]), "far": np.append(rng.standard_normal(300), [1e12, -1e9])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("a", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: r.v for r in quantiles.exact(df, ["g"], "x", qs, few).collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        assert got[g] == pytest.approx(list(np.quantile(vs, qs)), rel=1e-12, abs=1e-12), g
+    every = np.concatenate(list(groups.values()))
+    assert quantiles.exact(df, [], "x", qs, few).first().v == pytest.approx(list(np.quantile(every, qs)), rel=1e-12, abs=1e-12)
+
+
 def test_benjamini_hochberg(spark):
     p = [0.001, 0.008, 0.039, 0.041, 0.042, 0.06, 0.074, 0.205, 0.212, 0.216]
     got = {r.p: r.rejected for r in peaks.benjamini_hochberg(spark.createDataFrame([(v,) for v in p], "p double"), "p").collect()}
