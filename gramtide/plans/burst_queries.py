@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import corr, peaks, quantiles, series, spectral, vocab, windows
+from ..operators import corr, peaks, quantiles, series, shares, spectral, vocab, windows
 from ..operators.lineage import cut, sized_join
 from . import law_sql
 from .registry import query, sql
@@ -118,6 +118,12 @@ def spike_threshold_bnb(t: Tables):
     return peaks.rolling_spikes(words(t), (1,), law="bnb").groupBy("mot").agg(F.count("*").alias("spikes"), F.max("threshold").alias("threshold"))
 
 
+@query("share_break")
+def share_break(t: Tables):
+    """Each brand's share of its family before and after a known date, under the beta-binomial law."""
+    return shares.breaks_at(t.series, "1995-06-17")
+
+
 @query("break_scan")
 def break_scan(t: Tables):
     """Breaks of each word's rate by binary segmentation; those that hold when all dates are tested together."""

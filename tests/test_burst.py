@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from gramtide.functions import specfun
@@ -314,3 +315,55 @@ def test_no_query_is_left_untested():
     here = set(open(__file__).read().replace('"', " ").split())
     without = set(catalog.QUERIES) - set(catalog.ORACLE)
     assert not {name for name in without if name not in here}
+
+
+def test_share_breaks(spark, t):
+    """Against a plain search over both parameters, with the library's own log gamma left out."""
+    from math import exp, lgamma, log
+
+    def loglik(rows, mu, w):
+        return sum(lgamma(x + mu * w) - lgamma(mu * w) + lgamma(n - x + (1 - mu) * w) - lgamma((1 - mu) * w) - lgamma(n + w) + lgamma(w) for x, n in rows)
+
+    def search(parts):
+        """Coordinate steps that halve."""
+        at, step = [-3.0] * len(parts) + [4.0], 1.0
+        value = lambda v: sum(loglik(p, 1 / (1 + exp(-m)), exp(v[-1])) for p, m in zip(parts, v, strict=False))
+        best = value(at)
+        while step > 1e-5:
+            moved = False
+            for k in range(len(at)):
+                for s in (step, -step):
+                    new = at[:k] + [min(at[k] + s, log(1e7))] + at[k + 1 :]
+                    if (v := value(new)) > best + 1e-12:
+                        at, best, moved = new, v, True
+            step = step if moved else step / 2
+        return at, best
+
+    got = rows(spark, "share_break").set_index("mot")
+    frame = t.series.toPandas()
+    frame["date"] = pd.to_datetime(frame["date"])
+    assert set(got.index) == set(frame.mot)
+    for mot in sorted(got.index)[:2]:
+        g = frame[(frame.mot == mot) & (frame.n_tot > 0)]
+        parts = [list(zip(h.x, h.n_tot, strict=True)) for h in (g[g.date < "1995-06-17"], g[g.date >= "1995-06-17"])]
+        _, one = search([parts[0] + parts[1]])
+        at, two = search(parts)
+        mine = got.loc[mot]
+        assert mine.lrt == pytest.approx(max(0.0, 2 * (two - one)), abs=2e-3)
+        assert [mine.before, mine.after] == pytest.approx([1 / (1 + exp(-m)) for m in at[:2]], rel=1e-2)
+
+
+def test_share_breaks_hold_their_level():
+    """Over-dispersed shares without a break are seldom called broken, which binomial ones would be."""
+    from gramtide.operators import shares
+
+    rng, p = np.random.default_rng(5), []
+    late = np.arange(300) >= 150
+    for _ in range(40):
+        n = rng.integers(20, 60, 300)
+        p.append(shares.break_test(rng.binomial(n, rng.beta(3, 27, 300)), n, late)[4])
+    assert 0.35 < np.mean(p) < 0.65 and np.mean(np.array(p) < 0.05) < 0.15
+    n = rng.integers(20, 60, 300)
+    before, after, rho, _, q = shares.break_test(rng.binomial(n, rng.beta(np.where(late, 6, 3), np.where(late, 24, 27))), n, late)
+    assert q < 1e-3 and abs(before - 0.1) < 0.02 and abs(after - 0.2) < 0.03 and abs(rho - 1 / 31) < 0.015
+    assert shares.break_test(np.zeros(4), np.zeros(4), np.zeros(4, bool))[3:] == (0.0, 1.0)
