@@ -8,51 +8,111 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ngrams
+from ..sources import commits
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+COUNTS = "media string, date int, gram string, n long"
 
 
-def upsert(batch: DataFrame, store: str, token: int, size: int = 1) -> bool:
-    """Counts a batch of articles(id, media, date, contenu) into a store of partial counts; False if nothing was new.
+def _names(held: dict) -> list[str]:
+    return [p["name"] for p in held.get("parts", [])]
 
-    The store holds one folder for each batch (``token=N``) with the counts and, beside it, the ids that it counted.
-    Ids of other batches are left out, so an article counts once; a batch that runs again overwrites its own folders
-    and nothing else: a restart after a failure neither loses nor doubles counts.
-    """
-    spark = batch.sparkSession
-    fresh = batch.dropDuplicates(["id"])
-    if path_exists(spark, f"{store}/ids"):
-        ledger = spark.read.schema("id long, token int").parquet(f"{store}/ids").where(F.col("token") != token)
-        fresh = fresh.join(ledger.select("id"), "id", "left_anti")
-    fresh = fresh.persist()
-    if not fresh.limit(1).count():
-        fresh.unpersist()
-        return False
-    ngrams.counts(fresh, size).write.mode("overwrite").parquet(f"{store}/counts/token={token}")
-    fresh.select("id").write.mode("overwrite").parquet(f"{store}/ids/token={token}")
-    fresh.unpersist()
-    return True
 
+def _read(spark: SparkSession, store: str, held: dict, what: str, schema: str) -> DataFrame | None:
+    paths = [f"{commits.data(store, n)}/{what}" for n in _names(held)]
+    return spark.read.schema(schema).parquet(*paths) if paths else None
 
-def stored_counts(spark: SparkSession, store: str) -> DataFrame:
-    """The counts of all batches that are complete: those that have their ids."""
-    done = spark.read.schema("id long, token int").parquet(f"{store}/ids").select("token").distinct()
-    parts = spark.read.schema("media string, date int, gram string, n long, token int").parquet(f"{store}/counts")
-    return parts.join(F.broadcast(done), "token", "left_semi").groupBy("media", "date", "gram").agg(F.sum("n").alias("n"))
 
+def one_of_each(batch: DataFrame) -> DataFrame:
+    """One article for each id: of several the least by date, medium and text, whatever the order they come in.
 
-def compact(spark: SparkSession, store: str, into: str) -> None:
-    """Rewrites the parts of a store as one, at another place."""
-    stored_counts(spark, store).repartitionByRange("gram").sortWithinPartitions("gram", "date").write.mode("overwrite").parquet(f"{into}/counts/token=0")
-    spark.read.schema("id long, token int").parquet(f"{store}/ids").select("id").write.mode("overwrite").parquet(f"{into}/ids/token=0")
+    Articles without an id can't be told from one another: all of them stay.
+    """
+    rest = ["date", "media", "contenu"]
+    least = batch.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct(*rest)).alias("s")).select("id", *[f"s.{c}" for c in rest])
+    return least.unionByName(batch.where("id IS NULL").select("id", *rest))
+
+
+def upsert(batch: DataFrame, store: str, token: int, size: int = 1, writer: str = "") -> bool:
+    """Counts a batch of articles(id, media, date, contenu) into a store of partial counts; False if nothing was new.
+
+    A commit adds one part: the counts of the batch and the ids that it counted, under a name that no other attempt has.
+    Ids of earlier parts are left out, so an article counts once. ``writer`` (a stream's id) numbers its batches upwards
+    with ``token``: one that is committed isn't counted again (True), so a restart neither loses nor doubles counts, and
+    two writers, or a second stream that starts at 0, don't meet. If another writer commits first, the batch is counted
+    anew against what that one brought. Articles without an id count in each batch that brings them.
+    """
+    spark = batch.sparkSession
+    batch = one_of_each(batch)
+    while True:
+        held = commits.manifest(spark, store)
+        if held.get("done", {}).get(writer, -1) >= token:
+            return True
+        ledger = _read(spark, store, held, "ids", "id long")
+        fresh = batch if ledger is None else batch.join(ledger, "id", "left_anti")
+        fresh = fresh.persist()
+        try:
+            if fresh.isEmpty():
+                return False
+            name = commits.fresh()
+            ngrams.counts(fresh, size).write.parquet(f"{commits.data(store, name)}/counts")
+            fresh.where("id IS NOT NULL").select("id").write.parquet(f"{commits.data(store, name)}/ids")
+        finally:
+            fresh.unpersist()
+        part = {"name": name, "writer": writer, "token": token}
+        after = {"parts": [*held.get("parts", []), part], "done": held.get("done", {}) | {writer: token}}
+        if commits.commit(spark, store, held, after):
+            return True
+
+
+def stored_counts(spark: SparkSession, store: str, version: int | None = None) -> DataFrame:
+    """The counts of one version of a store, the newest by default; later commits don't change what this reads."""
+    parts = _read(spark, store, commits.manifest(spark, store, version), "counts", COUNTS)
+    if parts is None:
+        return spark.createDataFrame([], COUNTS)
+    return parts.groupBy("media", "date", "gram").agg(F.sum("n").alias("n"))
+
+
+def compact(spark: SparkSession, store: str, into: str | None = None) -> None:
+    """Rewrites the parts of a store as one, in place or as a new store; which batches are done is kept.
+
+    In place it is one more version. Readers of an older one keep its parts until ``vacuum``. If a batch is committed
+    meanwhile, its part stays beside the new one.
+    """
+    held = commits.manifest(spark, store)
+    into = into or store
+    if not held.get("parts"):
+        return
+    name = commits.fresh()
+    stored_counts(spark, store, held["version"]).repartitionByRange("gram").sortWithinPartitions("gram", "date").write.parquet(f"{commits.data(into, name)}/counts")
+    _read(spark, store, held, "ids", "id long").write.parquet(f"{commits.data(into, name)}/ids")
+    one = {"name": name, "writer": "compact", "token": held["version"]}
+    while True:
+        now = commits.manifest(spark, into)
+        if into != store and now["version"] >= 0:
+            raise ValueError(f"{into} is a store already")
+        old = set(_names(held)) if into == store else set()
+        if into == store and not old <= set(_names(now)):
+            raise RuntimeError("another compaction came first")
+        later = [p for p in now.get("parts", []) if p["name"] not in old]
+        done = now.get("done", {}) if into == store else held.get("done", {})
+        if commits.commit(spark, into, now, {"parts": [one, *later], "done": done}):
+            return
+
+
+def vacuum(spark: SparkSession, store: str, keep: int = 2, hours: float = 48.0) -> list[str]:
+    """Removes parts that none of the last versions names: those that were compacted, and failed attempts."""
+    return commits.vacuum(spark, store, _names, keep, hours)
 
 
 def stream_upsert(source: DataFrame, store: str, checkpoint: str, size: int = 1):
-    """Runs ``upsert`` for each micro-batch of a stream until its source is used up."""
-    return source.writeStream.foreachBatch(lambda df, n: upsert(df, store, n, size)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs ``upsert`` for each micro-batch of a stream until its source is used up; the stream's id is the writer."""
+    spark = source.sparkSession
+
+    def count(df: DataFrame, n: int) -> None:
+        upsert(df, store, n, size, spark.read.json(f"{checkpoint}/metadata").first()["id"])
+
+    return source.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def deduplicated(stream: DataFrame, keys: list[str], time: str, window: str = "48 hours") -> DataFrame:
