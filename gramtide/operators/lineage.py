@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared one; what is in it goes when the process ends."""
+    path = f"{shared_dir(spark)}/gramtide/{name}-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        try:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        except Exception:  # the session is gone
+            pass
+
+    atexit.register(remove)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: what is used more than once is made once, and a lost executor doesn't make it again."""
     shared_dir(df.sparkSession)

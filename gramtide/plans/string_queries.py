@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import markup, text
 from ..operators import ngrams
+from ..operators.lineage import scratch
 from ..sources import readers
 from .registry import query, sql
 from .tables import Tables
@@ -221,9 +221,8 @@ def refetch_ratio(t: Tables):
 
 
 def _folder(t: Tables, name: str) -> str:
-    """A fresh folder that all executors see: under the checkpoint folder, else the warehouse."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/gramtide/{name}-{uuid.uuid4().hex}"
+    """A fresh folder that all executors see; removed when the process ends."""
+    return scratch(t.spark, name)
 
 
 def _written(t: Tables, name: str) -> str:

@@ -120,6 +120,16 @@ def deduplicated(stream: DataFrame, keys: list[str], time: str, window: str = "4
     return stream.withWatermark(time, window).dropDuplicatesWithinWatermark(keys)
 
 
+def stays(stream: DataFrame, keys: list[str], time: str, window: str = "48 hours", late: str = "1 hour") -> DataFrame:
+    """(keys, start, n): a key comes with its first row, and as a new stay once ``window`` has passed without it.
+
+    A stay comes when the watermark closes it; until then its bounds are the state of a key. Unlike ``deduplicated``, what
+    comes back doesn't hang on where the batches are cut.
+    """
+    w = F.session_window(time, window).alias("w")
+    return stream.withWatermark(time, late).groupBy(*keys, w).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), "n")
+
+
 def windowed(stream: DataFrame, time: str, size: str, late: str, *keys: str) -> DataFrame:
     return stream.withWatermark(time, late).groupBy(F.window(time, size).alias("w"), *keys).agg(F.count("*").alias("n"))
 
