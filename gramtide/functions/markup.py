@@ -140,6 +140,11 @@ def node_meta(node: dict) -> dict[str, str]:
     return meta | {"free": "oui" if access == "true" else "non" if access == "false" else ""}
 
 
+def article_text(node: dict) -> str:
+    """articleBody without its (escaped) tags, white space squashed."""
+    return re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", html.unescape(str(node.get("articleBody", ""))))).strip()
+
+
 META = StructType([StructField(n, StringType()) for n in ("titre", "auteur", "date", "section", "free", "contenu")])
 
 
@@ -152,7 +157,7 @@ def extract(text: str, container: str = "article", drop_last: str | None = None)
     paragraphs = body(tree, container)
     if drop_last and paragraphs and re.search(drop_last, paragraphs[-1]):
         paragraphs.pop()
-    content = "\n".join(paragraphs) or re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", html.unescape(str(node.get("articleBody", ""))))).strip()
+    content = "\n".join(paragraphs) or article_text(node)
     return meta | {"titre": meta["titre"] or title, "date": meta["date"] or when, "contenu": content}
 
 
@@ -190,7 +195,7 @@ def jsonld_node(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def jsonld_body(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """articleBody without its (escaped) tags."""
     for s in pages:
-        yield s.map(lambda x: re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", html.unescape(str(article_node(parse(x).jsonld).get("articleBody", ""))))).strip())
+        yield s.map(lambda x: article_text(article_node(parse(x).jsonld)))
 
 
 def _containers(page: str, most: int = 8):

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import markup, text
-from ..operators import ngrams
+from ..operators import extraction, ngrams
 from ..operators.lineage import scratch
 from ..sources import readers
 from .registry import query, sql
@@ -177,6 +177,31 @@ def extract_article(t: Tables):
     return t.raw("pages").select("page_id", markup.extract_article("html").alias("a")).select("page_id", "a.*")
 
 
+def _plain(text: str) -> str:
+    for entity, sign in (("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+        text = f"replace({text}, '&{entity};', '{sign}')"
+    return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'))"
+
+
+_ITEMS = f"list_filter(list_transform(regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a></li>', 1), lambda x: {_plain('x')}), lambda x: x <> '')"
+_RULED = f"""SELECT page_id, CASE page_id % 3 WHEN 1 THEN {_plain("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} ELSE {_plain("regexp_extract(html, '<title>([^<]*)</title>', 1)")} END AS titre,
+    CASE page_id % 3 WHEN 0 THEN coalesce({_ITEMS}[1], '') ELSE '' END AS auteur, CASE page_id % 3 WHEN 0 THEN {_plain("regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1)")} ELSE '' END AS date,
+    CASE page_id % 3 WHEN 2 THEN array_to_string({_ITEMS}, chr(10)) ELSE array_to_string(ps, chr(10)) END AS contenu FROM {_PARAGRAPHS}"""
+
+
+@query("extract_by_rules", _RULED)
+def extract_by_rules(t: Tables):
+    """Each page by the selectors of its medium, from a table of rules."""
+    rules = [
+        (0, "tags", "body > article p", "head title", "nav li a[href^='/']", "footer"),
+        (1, "tags", "article", "article > h1", "", ""),
+        (2, "tags", "nav ul li", "h1, title", "", ""),
+    ]
+    pages = t.raw("pages").select("page_id", (F.col("page_id") % 3).cast("int").alias("media"), "html")
+    out = extraction.by_rules(pages, t.rows(rules, "media int, strategy string, body string, titre string, auteur string, date string"))
+    return out.select("page_id", *[f"article.{c}" for c in ("titre", "auteur", "date", "contenu")])
+
+
 @query("html_containers", f"SELECT page_id, 'article' AS selector, list_sum(list_transform(ps, lambda p: len(string_split(p, ' '))))::BIGINT AS words FROM {_PARAGRAPHS} WHERE len(ps) > 0")
 def html_containers(t: Tables):
     t.spark.udtf.register("html_containers", markup.HtmlContainers)
