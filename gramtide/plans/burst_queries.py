@@ -212,12 +212,21 @@ def nms(t: Tables):
     return peaks.nms(_candidates(t)).select("mot", "pos")
 
 
-@query("nms_absorbed", _chosen_sql(f"SELECT k.mot, p.date, k.pos, p.x, p.n_tot, round(p.f, 6) AS f, round(p.surprise, 6) AS surprise, coalesce(o.absorbed, 0) AS absorbed FROM a k JOIN a_pk p USING (mot, pos) LEFT JOIN {_ABSORBED} o USING (mot, pos)", ("a", 0, 31)))
+_KEPT = _chosen_sql(f"SELECT k.mot, p.date, k.pos, p.x, p.n_tot, round(p.f, 6) AS f, round(p.surprise, 6) AS surprise, coalesce(o.absorbed, 0) AS absorbed FROM a k JOIN a_pk p USING (mot, pos) LEFT JOIN {_ABSORBED} o USING (mot, pos)", ("a", 0, 31))
+
+
+@query("nms_absorbed", _KEPT)
 def nms_absorbed(t: Tables):
     """The kept peaks with what each took in."""
     return peaks.nms(_candidates(t)).select("mot", "date", "pos", "x", "n_tot", F.round("f", 6).alias("f"), F.round("surprise", 6).alias("surprise"), "absorbed")
 
 
+@query("nms_rounds", _KEPT)
+def nms_rounds(t: Tables):
+    """The same for series of any length, in chunks of 512 days that wait for one another."""
+    return peaks.nms_rounds(_candidates(t), chunk=512).select("mot", "date", "pos", "x", "n_tot", F.round("f", 6).alias("f"), F.round("surprise", 6).alias("surprise"), "absorbed")
+
+
 @query("nms_crosscheck")
 def nms_crosscheck(t: Tables):
     """Surprise has two decimals here, so that there are ties and stretches of one height, where the methods differ."""
