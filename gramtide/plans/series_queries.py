@@ -284,7 +284,8 @@ def profile_slices(t: Tables):
 
 @query("array_roll", "SELECT vec_id, list_concat(e[65 - k:64], e[1:64 - k]) AS rolled FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x, 5)) AS e, (vec_id % 64)::INT AS k FROM embeddings)")
 def array_roll(t: Tables):
-    e = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.round(x, 5))
+    # a negative that is rounded to zero keeps its sign
+    e = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when((x < 0) & (F.round(x, 5) == 0), -F.lit(0.0)).otherwise(F.round(x, 5)))
     return t.raw("embeddings").select("vec_id", windows.roll(e, F.col("vec_id") % 64).alias("rolled"))
 
 
