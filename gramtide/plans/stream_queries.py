@@ -29,13 +29,18 @@ def stream_upsert(t: Tables):
     return incremental.stored_counts(t.spark, store)
 
 
+#: Events of a file of the feed, about, and files of a micro-batch.
+FEED_ROWS, FEED_FILES = 200_000, 8
+
+
 def _events(t: Tables):
+    """Events as a feed of files in the order of time: a range of times each, their ages in the order of the ranges."""
     files = _folder(t, "events")
     events = t.raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
-    middle = events.agg(F.timestamp_micros(F.avg(F.unix_micros("ts")).cast("long"))).first()[0]
-    for part in (F.col("ts") < middle, (F.col("ts") >= middle) | F.col("ts").isNull()):  # one after the other: files come by their age
-        events.where(part).write.mode("append").parquet(files)
-    return t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(files)
+    parts = max(2, -(-events.count() // FEED_ROWS))
+    events.repartitionByRange(parts, F.col("ts").asc_nulls_first()).write.parquet(files)
+    incremental.aged(t.spark, files)
+    return t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", min(FEED_FILES, -(-parts // 2))).parquet(files)
 
 
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
