@@ -124,9 +124,10 @@ def stays(stream: DataFrame, keys: list[str], time: str, window: str = "48 hours
     """(keys, start, n): a key comes with its first row, and as a new stay once ``window`` has passed without it.
 
     A stay comes when the watermark closes it; until then its bounds are the state of a key. Unlike ``deduplicated``, what
-    comes back doesn't hang on where the batches are cut.
+    comes back doesn't hang on where the batches are cut. A row that comes just ``window`` after the last one is a new stay:
+    Spark would join it, so its sessions are a microsecond shorter.
     """
-    w = F.session_window(time, window).alias("w")
+    w = F.session_window(time, f"{window} -1 microseconds").alias("w")
     return stream.withWatermark(time, late).groupBy(*keys, w).agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("start"), "n")
 
 
