@@ -43,8 +43,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8 or more) stays: the one with the smallest id.
 
     Texts without words, null ones included, are one group. All rows that repeat the id that stays do so; a null id stays
-    only where its group has no other. An empty table stays empty. SimHash bits can't tell 0.8 (see ``near_copies``), so
-    candidates come from MinHash bands and every similarity is taken exactly.
+    only where its group has no other. An empty table stays empty. Candidates are what SimHash links by its deletion
+    variants, and what MinHash bands add where 4 bits are too few (see ``near_copies``); every similarity is taken exactly.
     """
     found = near_copies.groups(docs)
     return _with(docs, found.where("doc_id <=> component_id").select("doc_id").distinct())

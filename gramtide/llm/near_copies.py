@@ -1,9 +1,10 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of at least a bound.
 
-SimHash bits say too little at 0.8, where pairs differ in about 10 of 64 bits and segments get too short to part
-the corpus. Candidates come from MinHash bands instead: a pair of similarity 0.8 shares one of 20 bands of 6 minima
-with probability 0.998, a more similar one more likely. Members of a band's bucket are tied to its least member, so
-a bucket gives fewer rows than members, and what is tied is a group in which every similarity is taken exactly.
+Candidates come from SimHash: fingerprints of the sets meet by the deletion variants of ``simhash.links``, and those
+that differ in at most 4 bits are tied. At 0.8 pairs differ in about 10 of 64 bits, and segments for that get too short
+to part the corpus, so MinHash bands tie what the bits leave apart: a pair of similarity 0.8 shares one of 20 bands of 6
+minima with probability 0.998, a more similar one more likely. Members of a bucket are tied to its least member, so a
+bucket gives fewer rows than members, and what is tied is a group in which every similarity is taken exactly.
 
 A group of up to GROUP members (and GROUP_SHINGLES) is looked at in one task. A larger one never is: its members are
 compared, in blocks, with PIVOTS of them; most then hang together. Those that don't are compared with all members, again
@@ -21,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import cut, sized_join, stored, text_slices
 from .graph import components
 
@@ -62,6 +64,14 @@ def _node(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64))
 
 
+def print_of(found: np.ndarray) -> int:
+    """SimHash of a set, signed: a bit is 1 if it is in over half the hashes."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(found), 1 << 14):
+        ones += np.unpackbits(found[i : i + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(found)).tobytes(), "big", signed=True)
+
+
 def _bytes(batch: pa.RecordBatch) -> list[bytes]:
     return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in batch.column("text").cast(pa.binary())]
 
@@ -72,7 +82,8 @@ def _signed(shingle: int):
             for batch in text_slices(whole):
                 found = [shingles(t, shingle) for t in _bytes(batch)]
                 nodes, keys = pa.array(map(_node, found), pa.int64()), pa.array(map(bands, found), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held"), nodes, keys, pa.array(map(len, found), pa.int64())], ["doc_id", "held", "node", "bands", "n"])
+                prints, sizes = pa.array(map(print_of, found), pa.int64()), pa.array(map(len, found), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held"), nodes, prints, keys, sizes], ["doc_id", "held", "node", "fp", "bands", "n"])
 
     return run
 
@@ -173,6 +184,19 @@ def _large(sets: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
     return links.unionByName(_compared(asked, met, ["root", "block", "part"], similarity))
 
 
+def tied(nodes: DataFrame) -> DataFrame:
+    """nodes(node, fp, bands, n) -> (a, b): what SimHash links, and what shares a band; sets without shingles aren't tied."""
+    prints = cut(nodes.where("n > 0").groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    side = lambda fp, name: prints.select(F.col("fp").alias(fp), F.col("first").alias(name))
+    edges = simhash.links(prints.select("fp")).withColumnsRenamed({"a": "x", "b": "y"})
+    near = sized_join(sized_join(edges, side("x", "a"), "x", "inner"), side("y", "b"), "y", "inner").select("a", "b")
+    same = sized_join(nodes.where("n > 0").select("node", "fp"), cut(prints.where("n > 1").select("fp", "first")), "fp", "inner")
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    met = same.select("node", "first").unionByName(keyed.join(shared, "key").select("node", "first"))
+    return near.unionByName(met.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))).distinct()
+
+
 def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """docs(doc_id, text, ...) -> (doc_id, component_id), one row for each row of docs.
 
@@ -182,12 +206,9 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARI
     are ignored; no rows give no rows. BANDS and ROWS suit bounds of 0.8 and more.
     """
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("held"))
-    rows = cut(texts.mapInArrow(_signed(shingle), "doc_id long, held long, node long, bands array<long>, n long"))
-    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("held").alias("held"), F.first("bands").alias("bands"), F.first("n").alias("n")))
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    tied = cut(keyed.join(shared, "key").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
-    candidates = cut(components(tied).join(nodes.select("node", "held", "n"), "node").select("node", "root", "held", "n"))
+    rows = cut(texts.mapInArrow(_signed(shingle), "doc_id long, held long, node long, fp long, bands array<long>, n long"))
+    nodes = cut(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("held").alias("held"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("n").alias("n")))
+    candidates = cut(components(cut(tied(nodes))).join(nodes.select("node", "held", "n"), "node").select("node", "root", "held", "n"))
     sizes = candidates.groupBy("root").agg(F.count("*").alias("members_n"), F.sum("n").alias("shingles"))
     large = cut(sizes.where((F.col("members_n") > GROUP) | (F.col("shingles") > GROUP_SHINGLES)))
     met = sized_join(texts.select("text", "held"), candidates.drop("n"), "held", "inner").dropDuplicates(["held"])

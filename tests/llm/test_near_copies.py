@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from gramtide.llm import near_copies
+from gramtide.llm import near_copies, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,6 +56,27 @@ def test_near_copies_leave_the_pipeline(spark, docs):
     assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near-dedup"](spark, docs(rows), "").collect()} == want
 
 
+def test_stage_ties_by_simhash(spark, docs, monkeypatch):
+    """The stage links the fingerprints of all its sets by deletion variants; these ties hold without any band."""
+    seen, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps: seen.append({r.fp for r in fps.collect()}) or links(fps))
+    rng = np.random.default_rng(4)
+    base = " ".join(f"w{x}" for x in rng.integers(0, 1 << 30, 400))
+    rows = [(1, None), (2, base), (3, base.upper()), (4, copies(rng, base, 1)), (5, "a b c")]
+    assert {r.doc_id for r in dict(corpus_pipeline.STAGES)["near-dedup"](spark, docs(rows), "").collect()} == {1, 2, 5}
+    want = {simhash.fingerprint(t.encode(), 5) for t in (base, rows[3][1], "a b c")}  # shingles of these don't repeat
+    assert seen == [{int(np.uint64(v).view(np.int64)) for v in want}]
+
+    fps = [0, 0b1011, 1 << 63, 7 << 40, 7 << 40, (1 << 50) - 1]
+    nodes = [(k, int(np.uint64(v).view(np.int64)), [], 9) for k, v in enumerate(fps)] + [(9, 0, [], 0)]
+    pairs = near_copies.tied(spark.createDataFrame(nodes, "node long, fp long, bands array<long>, n long")).collect()
+    root = list(range(6))
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert root == [0, 0, 0, 0, 0, 5]
+
+
 def test_edge_rows(spark, docs):
     long = "word " * 50_000 + "end"
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "ONE"), (6, "one two three"), (7, long), (8, long + " more"), (9, "a b c d e f"), (9, "a b c d e f")]
