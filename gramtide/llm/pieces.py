@@ -35,6 +35,8 @@ REMEMBERED = 300_000
 RUNS_AT_ONCE = 1 << 20
 #: Remembered answers on neighbouring pieces: of the window, and half of 2 ** PAIR_BITS of the lanes.
 PAIRS, PAIR_BITS = 500_000, 20
+#: Stands for a piece without text; no text that can be encoded holds it.
+HELD = "\udb00"
 
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -284,7 +286,10 @@ class Lanes:
         return known > 0
 
     def encode(self, runs: list[str]) -> list[tuple[int, ...]]:
-        """The ids of runs of known signs."""
+        return [tuple(np.frombuffer(ids, np.int32).tolist()) for ids in self.packed(runs)]
+
+    def packed(self, runs: list[str]) -> list[bytes]:
+        """The ids of runs of known signs, 4 bytes each."""
         order = sorted(range(len(runs)), key=lambda k: -len(runs[k]))  # lanes that are still open come first
         n = np.array([len(runs[k]) for k in order], np.int64)
         width = int(n[0]) if len(n) else 0
@@ -311,7 +316,7 @@ class Lanes:
         self.fed += int(n.sum())
         return self._paths(best, n, order)
 
-    def _paths(self, best: np.ndarray, n: np.ndarray, order: list[int]) -> list[tuple[int, ...]]:
+    def _paths(self, best: np.ndarray, n: np.ndarray, order: list[int]) -> list[bytes]:
         lane, at, back = np.arange(len(n)), n.copy(), []
         while len(lane := lane[at[lane] > 0]):
             i = best[lane, at[lane]]
@@ -319,16 +324,18 @@ class Lanes:
             at[lane] -= self.length[i]
         lanes, ids = (np.concatenate([b[k] for b in back[::-1]]) if back else np.zeros(0, np.int64) for k in (0, 1))
         by = np.argsort(lanes, kind="stable")
-        ends, flat = np.cumsum(np.bincount(lanes, minlength=len(n))).tolist(), ids[by].tolist()
-        out: list = [()] * len(n)
+        ends, flat = (4 * np.cumsum(np.bincount(lanes, minlength=len(n)))).tolist(), ids[by].astype(np.int32).tobytes()
+        out = [b""] * len(n)
         for k, a, b in zip(order, [0, *ends], ends):
-            out[k] = tuple(flat[a:b])
+            out[k] = flat[a:b]
         return out
 
 
 class Encoder(dict):
     """Text -> ids by the streaming pass; remembers its answers for runs of signs between sure boundaries.
 
+    Answers are bytes, 4 for each id: they are joined without a number made, and the garbage collector passes them by.
+
     ``remembered``: runs that are remembered, in each of two generations.
     """
 
@@ -350,12 +357,12 @@ class Encoder(dict):
         self.window.widest = max(self.window.widest, run.widest)
         self.window.fed += run.fed
 
-    def __missing__(self, run: str) -> tuple[int, ...]:
+    def __missing__(self, run: str) -> bytes:
         ids = []
         for at in range(PART, len(run), PART):
             ids += self.window.feed(run[at - PART : at])
         ids += self.window.feed(run[(len(run) - 1) // PART * PART :], last=True)
-        return tuple(ids)
+        return np.array(ids, np.int32).tobytes()
 
     def learn(self, runs: set[str]) -> None:
         """Encodes the runs that aren't remembered and fit in the window, together."""
@@ -366,15 +373,15 @@ class Encoder(dict):
         self.update({run: self.older[run] for run in again})
         known = self.pieces.characters.issuperset
         new = [run for run in runs - self.keys() if len(run) <= COMMIT_EVERY and known(run)]
-        self.update(zip(new, self.lanes.encode(new), strict=True))
+        self.update(zip(new, self.lanes.packed(new), strict=True))
 
     def runs(self, text: str) -> list[str]:
         return self.pieces.words.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+    def arrays(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text; texts are worked on in groups of about RUNS_AT_ONCE signs."""
         if self.pieces.words is None:  # nothing but the whole text lies between sure boundaries
-            yield from (list(self.stream([text])) for text in texts)
+            yield from (np.fromiter(self.stream([text]), np.int32) for text in texts)
             return
         group, held = [], 0
         for k, text in enumerate(texts):
@@ -383,9 +390,12 @@ class Encoder(dict):
             if held > RUNS_AT_ONCE or k == len(texts) - 1:
                 self.learn(set(chain.from_iterable(group)))
                 for runs in group:
-                    yield list(chain.from_iterable(map(self.__getitem__, runs)))
+                    yield np.frombuffer(b"".join(map(self.__getitem__, runs)), np.int32)
                 group, held = [], 0
 
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        yield from (ids.tolist() for ids in self.arrays(texts))
+
     def encode(self, text: str) -> list[int]:
         return next(self.encode_all([text]))
 
@@ -396,6 +406,8 @@ class Decoder:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.parts = ["" if i in pieces.special else None if i in pieces.bytes else p.replace(SPACE, " ") for i, p in enumerate(pieces.text)]
+        # for whole texts: ASCII bytes are signs by themselves, other bytes lone surrogates until all are there
+        self.whole = [chr(b if b < 128 else 0xDC00 + b) if (b := pieces.bytes.get(i)) is not None else p or HELD for i, p in enumerate(self.parts)]
 
     def stream(self, ids: Iterable[int]) -> Iterator[str]:
         held, begun = bytearray(), False
@@ -414,10 +426,18 @@ class Decoder:
             yield held.decode("utf-8", "replace")
 
     def decode(self, ids: list[int]) -> str:
-        parts = list(map(self.parts.__getitem__, ids))
-        if None in parts:
+        text = "".join(map(self.whole.__getitem__, ids))
+        if text[:1] == " " and ids[0] not in self.pieces.bytes:
+            text = text[1:]
+        try:
+            text.encode()
+            return text
+        except UnicodeEncodeError:
+            pass
+        try:
+            return text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+        except UnicodeEncodeError:  # a special piece parts the bytes beside it
             return "".join(self.stream(ids))
-        return "".join(parts)[1:] if parts and parts[0][:1] == " " else "".join(parts)
 
 
 _LOADED: dict[str, tuple[Encoder, Decoder]] = {}
@@ -445,10 +465,10 @@ def encoded(docs: DataFrame, model_path: str) -> DataFrame:
             for batch in text_slices(whole):
                 values, ends, same = [], [0], []
                 texts = [text or "" for text in batch.column("text").to_pylist()]
-                for text, ids in zip(texts, encoder.encode_all(texts), strict=True):
-                    values.append(np.array(ids, np.int32))
+                for text, ids in zip(texts, encoder.arrays(texts), strict=True):
+                    values.append(ids)
                     ends.append(ends[-1] + len(ids))
-                    same.append(decoder.decode(ids) == text)
+                    same.append(decoder.decode(ids.tolist()) == text)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(np.diff(ends), pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
 

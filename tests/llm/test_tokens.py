@@ -137,3 +137,15 @@ def test_token_files_edge_rows(spark, docs):
     tokenizer = token_counts._tokenizer(RANKS, CUT)
     assert [(r.doc_id, r.n_tokens) for r in got] == [(i, len(tokenizer.encode_ordinary(t or ""))) for i, t in rows]
     assert token_counts.documents_counts(docs([]), RANKS, CUT, END_OF_DOCUMENT).count() == 0
+
+
+def test_sentencepiece_answers_are_bytes_and_decode_as_the_stream(vocabulary):
+    """What is remembered is no object that the garbage collector walks; whole texts decode as streams do."""
+    encoder, decoder = pieces.Encoder(vocabulary), pieces.Decoder(vocabulary)
+    text = "a naïve line\n\tof 漢字 and 🜁🜂, twice: a naïve line\n"
+    ids = encoder.encode(text)
+    assert encoder and all(type(v) is bytes for v in encoder.values()) and decoder.decode(ids) == text
+    special, words = sorted(vocabulary.special), encoder.encode("x of the")
+    of = lambda *b: [vocabulary.byte_ids[x] for x in b]
+    for odd in ([special[0], *words], [*of(0xE2), special[0], *of(0x82, 0xAC)], [*of(0xE2, 0x82, 0xAC), *words], of(0x20, 0x0A), [*of(0xE2, 0x82), *words], []):
+        assert decoder.decode(odd) == "".join(decoder.stream(odd))
