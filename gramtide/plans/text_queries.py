@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 from ..operators import ngrams, series, vocab
+from ..operators.lineage import cut, small_enough
 from .registry import query, sql
 from .tables import Tables
 
@@ -243,13 +244,14 @@ def media_bounds(t: Tables):
 
 @query("decode_tokens", sql("SELECT w1, w2, date, n FROM (SELECT split_part(gram, ' ', 1) AS w1, split_part(gram, ' ', 2) AS w2, date, n FROM bi)", "bi"))
 def decode_tokens(t: Tables):
-    """Facts by word id, joined back to their words."""
-    facts = t.bi.select(F.split_part("gram", F.lit(" "), F.lit(1)).alias("a"), F.split_part("gram", F.lit(" "), F.lit(2)).alias("b"), "date", "n")
-    words = facts.select(F.col("a").alias("word")).union(facts.select("b")).distinct()
-    ids = vocab.new_ids(t.rows([], "id long, word string"), words)
-    coded = facts.join(ids.select(F.col("word").alias("a"), F.col("id").alias("i")), "a").join(ids.select(F.col("word").alias("b"), F.col("id").alias("j")), "b").select("i", "j", "date", "n")
-    left, right = ids.select(F.col("id").alias("i"), F.col("word").alias("w1")), ids.select(F.col("id").alias("j"), F.col("word").alias("w2"))
-    return coded.join(left, "i").join(right, "j").select("w1", "w2", "date", "n")
+    """Facts by word id, joined back to their words. Facts and ids are made once; ids are broadcast if they are few."""
+    facts = cut(t.bi.select(F.split_part("gram", F.lit(" "), F.lit(1)).alias("a"), F.split_part("gram", F.lit(" "), F.lit(2)).alias("b"), "date", "n"))
+    words = facts.select(F.explode(F.array("a", "b")).alias("word")).distinct()
+    ids = cut(vocab.new_ids(t.rows([], "id long, word string"), words))
+    few = small_enough(ids)
+    side = lambda i, word: (F.broadcast if few else lambda x: x)(ids.select(F.col("id").alias(i), F.col("word").alias(word)))
+    coded = facts.join(side("i", "a"), "a").join(side("j", "b"), "b").select("i", "j", "date", "n")
+    return coded.join(side("i", "w1"), "i").join(side("j", "w2"), "j").select("w1", "w2", "date", "n")
 
 
 @query("vocab_ids", sql("SELECT 1000 + row_number() OVER (ORDER BY word) AS id, word FROM (SELECT DISTINCT gram AS word FROM uni WHERE media = 'fr' AND gram NOT IN (SELECT gram FROM uni WHERE media = 'es'))", "uni"))
